@@ -58,12 +58,18 @@ class Analysis:
 
     @cached_property
     def kept(self) -> DataFrame:
+        """Kept files (not template, long enough): terms and line overlap."""
+        return self.facts.where(F.col("is_kept"))
+
+    @cached_property
+    def compared(self) -> DataFrame:
+        """Kept files that take part in comparisons (opt-in token minimum)."""
         return fingerprint.kept_files(self.facts, self.params)
 
     # -- fingerprints -------------------------------------------------------
     @cached_property
     def sets(self) -> DataFrame:
-        s = fingerprint.shingle_sets(self.kept, self.params)
+        s = fingerprint.shingle_sets(self.compared, self.params)
         return self._keep(s, "shingle_sets")
 
     @cached_property
