@@ -19,6 +19,9 @@ DEFAULT_TERMS = ("any", "exception", "todo")
 DEFAULT_MIN_LINES = 10
 DEFAULT_MAX_FLAGGED = 20
 DEFAULT_TOP_N = 5
+# below this overall threshold a prefix keeps most of every shingle set and
+# the pruning costs more than the full self-join it avoids
+PRUNE_MIN_THRESH = 0.3
 DEFAULT_EXCLUDED_DIRS = (
     "dist-electron", "dist", "public", "__pycache__", ".git", "node_modules",
     "build", "target", "out", "bin", "obj", "venv", "env", ".idea", ".vscode",
@@ -45,8 +48,9 @@ class Params:
     compat_strip: bool = False
     # join on the shingle text instead of its 64-bit hash
     exact_keys: bool = False
-    # lossless pruning of submission pairs (prefix + length filter)
-    prune: bool = True
+    # lossless pruning of submission pairs (prefix + length filter):
+    # None = automatic (on for overall thresholds >= PRUNE_MIN_THRESH)
+    prune: bool | None = None
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
@@ -58,6 +62,14 @@ class Params:
         object.__setattr__(self, "exclude_dirs", tuple(self.exclude_dirs))
         object.__setattr__(self, "terms", normalise_terms(self.terms))
 
+    @property
+    def pruning(self) -> bool:
+        if self.overall_thresh <= 0:
+            return False
+        if self.prune is None:
+            return self.overall_thresh >= PRUNE_MIN_THRESH
+        return bool(self.prune)
+
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 

@@ -104,7 +104,7 @@ class Analysis:
     def _scored(self) -> tuple[DataFrame, DataFrame]:
         """(positive similarities, overall) of the pairs that matter."""
         p = self.params
-        if p.prune and p.overall_thresh > 0:
+        if p.pruning:
             cand = self.candidate_pairs
             counts = similarity.shared_shingle_counts_within(self.shingles, cand)
             pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")

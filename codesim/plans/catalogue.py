@@ -191,8 +191,9 @@ def suspicious_pairs(spark, sf):
     return rounded(_analysis(spark, sf).pairs)
 
 
-def suspicious_pairs_unpruned(spark, sf):
-    return rounded(_analysis(spark, sf, FIXTURE.with_(prune=False)).pairs)
+def suspicious_pairs_pruned(spark, sf):
+    """The flagship through lossless submission-pair pruning (forced on)."""
+    return rounded(_analysis(spark, sf, FIXTURE.with_(prune=True)).pairs)
 
 
 def flagged_files_top20(spark, sf):
@@ -259,7 +260,7 @@ QUERIES = {
     "submission_pairs": submission_pairs,
     "overall_similarity": overall_similarity,
     "suspicious_pairs": suspicious_pairs,
-    "suspicious_pairs_unpruned": suspicious_pairs_unpruned,
+    "suspicious_pairs_pruned": suspicious_pairs_pruned,
     "flagged_files_top20": flagged_files_top20,
     "pair_report_nested": pair_report_nested,
     "line_overlap": line_overlap,

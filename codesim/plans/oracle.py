@@ -256,7 +256,7 @@ def sqls() -> dict[str, str]:
         "overall_similarity": _with(f"SELECT id_a, id_b, {r('overall')} FROM overall"),
         "suspicious_pairs": _with(f"SELECT id_a, id_b, submission_a, submission_b, {r('overall')}, severity, "
                                   f"student_lines_a, student_lines_b FROM pairs"),
-        "suspicious_pairs_unpruned": _with(f"SELECT id_a, id_b, submission_a, submission_b, {r('overall')}, severity, "
+        "suspicious_pairs_pruned": _with(f"SELECT id_a, id_b, submission_a, submission_b, {r('overall')}, severity, "
                                            f"student_lines_a, student_lines_b FROM pairs"),
         "flagged_files_top20": _with(f"SELECT id_a, id_b, rank, path_a, path_b, kind, {r('similarity')}, severity "
                                      f"FROM flagged"),

@@ -55,8 +55,9 @@ def code_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False) -
         rev = (files.where(F.col("slot") % 7 == 3)
                .withColumn("content", F.concat(F.col("content"), F.lit("revised entry\n")))
                .withColumn("entry_ordinal", F.lit(1)))
-        files = files.unionByName(rev)
-    return files.drop("slot")
+        return files.unionByName(rev).drop("slot")
+    # one entry per name: no ordinal, so no last-entry-wins shuffle
+    return files.drop("slot", "entry_ordinal")
 
 
 def submission_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False) -> DataFrame:
