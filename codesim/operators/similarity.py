@@ -14,8 +14,6 @@ skew-join split spreads a hot ``h`` over several tasks.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,20 +132,21 @@ def prefix_length(n, tau: float):
     return n - F.ceil(F.lit(tau) * n - EPS) + 1
 
 
-def pairs_at_least(sh: DataFrame, sizes: DataFrame, tau: float) -> DataFrame:
+def pairs_at_least(sets: DataFrame, tau: float) -> DataFrame:
     """Exact file pairs (any path) with Jaccard >= tau > 0, found with the
     prefix filter: each file keeps only its rarest shingles (global order by
     document frequency, then key), candidates must share a prefix shingle and
-    pass the length filter, then exact counts verify them.  Hot shingles sit
-    at the end of the order and rarely enter a prefix."""
+    pass the length filter, then each candidate is verified once by
+    intersecting the two files' key arrays.  Hot shingles sit at the end of
+    the order and rarely enter a prefix, so they never fan out."""
     if tau <= 0:
         raise ValueError("tau must be > 0")
-    df = sh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    sized = sh.join(sizes.select("submission_id", "path", "n_shingles"), ["submission_id", "path"])
-    ranked = sized.join(df, "h")
     from pyspark.sql import Window
+    sh = sets.select("submission_id", "path", "n_shingles", T.explode_rows("keys").alias("h")).where(
+        F.col("h").isNotNull())
+    df = sh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("submission_id", "path").orderBy("df", "h")
-    prefix = (ranked.withColumn("_pos", F.row_number().over(w))
+    prefix = (sh.join(df, "h").withColumn("_pos", F.row_number().over(w))
               .where(F.col("_pos") <= prefix_length(F.col("n_shingles"), tau))
               .select("submission_id", "path", "h", "n_shingles"))
     pa = prefix.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"), "h",
@@ -159,22 +158,23 @@ def pairs_at_least(sh: DataFrame, sizes: DataFrame, tau: float) -> DataFrame:
     cand = (pa.join(pb, "h")
             .where((F.col("id_a") < F.col("id_b")) & (F.col("n_b") >= lo) & (F.col("n_b") <= hi))
             .select(*PAIR).distinct())
-    # verify: route every shingle of file A to its candidates, match in file B
-    ca = cand.join(_side(sh, "a"), ["id_a", "path_a"])
-    counts = (ca.join(_side(sh, "b"), ["id_b", "path_b", "h"])
-              .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("inter")))
-    sims = positive_similarities(counts, sizes)
+    ka = sets.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"), F.col("ext"),
+                     F.col("keys").alias("keys_a"), F.col("n_shingles").alias("n_a"))
+    kb = sets.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"),
+                     F.col("keys").alias("keys_b"), F.col("n_shingles").alias("n_b"))
+    v = cand.join(ka, ["id_a", "path_a"]).join(kb, ["id_b", "path_b"])
+    inter = F.size(F.array_intersect("keys_a", "keys_b")).cast("long")
+    sims = v.select("id_a", "id_b", "path_a", "path_b", "ext",
+                    F.when(F.col("path_a") == F.col("path_b"), "same").otherwise("cross").alias("kind"),
+                    inter.alias("inter"), "n_a", "n_b", T.jaccard(inter, F.col("n_a"), F.col("n_b")).alias("similarity"))
     return sims.where(F.col("similarity") >= F.lit(tau) - EPS)
 
 
-def candidate_submission_pairs(sh: DataFrame, sizes: DataFrame, tau: float) -> DataFrame:
+def candidate_submission_pairs(sets: DataFrame, sizes: DataFrame, tau: float) -> DataFrame:
     """Submission pairs that contain a file pair with similarity >= tau
     (both-empty common paths count as 1.0).  Any pair whose top-k mean
     reaches tau is among them."""
-    hit = pairs_at_least(sh, sizes, tau).select("id_a", "id_b")
+    hit = pairs_at_least(sets, tau).select("id_a", "id_b")
     empty = empty_same_path_pairs(sizes).select("id_a", "id_b")
     return hit.unionByName(empty).distinct()
 
-
-def ceil_tau(n: int, tau: float) -> int:
-    return n - math.ceil(tau * n - EPS) + 1

@@ -97,7 +97,7 @@ class Analysis:
     @cached_property
     def candidate_pairs(self) -> DataFrame:
         """Submission pairs that can reach the overall threshold (R1)."""
-        return similarity.candidate_submission_pairs(self.shingles, self.sizes,
+        return similarity.candidate_submission_pairs(self.sets, self.sizes,
                                                      self.params.overall_thresh)
 
     @cached_property

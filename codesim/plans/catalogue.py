@@ -162,7 +162,7 @@ def cross_path_flagged(spark, sf):
 def cross_path_flagged_pruned(spark, sf):
     """Same result through the prefix + length filter (no full self-join)."""
     a = _analysis(spark, sf)
-    s = similarity.pairs_at_least(a.shingles, a.sizes, FIXTURE.cross_thresh)
+    s = similarity.pairs_at_least(a.sets, FIXTURE.cross_thresh)
     s = s.where(F.col("kind") == "cross")
     return rounded(s.select("id_a", "path_a", "id_b", "path_b", "similarity"))
 
