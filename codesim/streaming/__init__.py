@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is a batch comparison of a closed cohort; it has no
+streams, watermarks, windows or state.  New submissions are handled by
+re-running ``codesim.analyze`` on the cohort (the shared stages can be
+persisted with ``persist=True``).
+"""
