@@ -47,8 +47,10 @@ def overall_from_positive(pos: DataFrame, common: DataFrame, top_n: int) -> Data
     min(top_n, n_cross + n_common).  Pairs without a positive similarity
     are not returned (their overall is 0.0)."""
     top = top_similarities(pos, top_n)
-    n_cross = (pos.where(F.col("kind") == "cross").groupBy("id_a", "id_b")
-               .agg(F.count(F.lit(1)).alias("n_cross")))
+    # a conditional count over the same unfiltered input (a filter would be
+    # pushed into the shingle join and stop Spark from reusing its shuffle)
+    n_cross = (pos.groupBy("id_a", "id_b")
+               .agg(F.sum(F.when(F.col("kind") == "cross", 1).otherwise(0)).alias("n_cross")))
     j = top.join(n_cross, ["id_a", "id_b"], "left").join(common, ["id_a", "id_b"], "left")
     n_all = F.coalesce(F.col("n_cross"), F.lit(0)) + F.coalesce(F.col("n_common"), F.lit(0))
     return j.select("id_a", "id_b",

@@ -112,6 +112,9 @@ class Analysis:
         else:
             pos = self._positive(self.counts)
             common = similarity.common_path_counts(self.sizes)
+        # two consumers (top-n and counts): write it once instead of running
+        # the shingle join twice
+        pos = self._keep(pos, "positive_pairs")
         overall = report.overall_from_positive(pos, common, p.top_n)
         if p.overall_thresh <= 0:
             everyone = report.all_submission_pairs(self.submissions)
