@@ -22,15 +22,28 @@ def kept_files(facts: DataFrame, params: Params) -> DataFrame:
     return kept
 
 
+def content_class(ext, norm_hash) -> tuple[F.Column, F.Column]:
+    """120-bit id of (extension, normalised text): files with the same id have
+    the same shingle set.  Two 60-bit slices of a SHA-256, so ids are plain
+    longs in the join tables."""
+    digest = F.sha2(F.concat_ws(":", ext, norm_hash), 256)
+    hi = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    lo = F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
+    return hi, lo
+
+
 def shingle_sets(kept: DataFrame, params: Params) -> DataFrame:
-    """(submission_id, path, ext, keys array, n_shingles) per kept file."""
+    """(submission_id, path, ext, cls_hi, cls_lo, keys array, n_shingles) per
+    kept file; (cls_hi, cls_lo) identifies its content class."""
     k = params.shingle_size
     # tokens get their own projection: referenced from inside the shingle
     # lambda, an inline token expression would be re-run per shingle
-    tok = kept.select("submission_id", "path", "ext", T.tokens("norm").alias("tok"))
+    hi, lo = content_class(F.col("ext"), F.col("norm_hash"))
+    tok = kept.select("submission_id", "path", "ext", hi.alias("cls_hi"), lo.alias("cls_lo"),
+                      T.tokens("norm").alias("tok"))
     texts = T.shingle_texts(F.col("tok"), k)
     keys = F.array_distinct(F.transform(texts, lambda s: T.shingle_key(F.col("ext"), s, params.exact_keys)))
-    return (tok.select("submission_id", "path", "ext", keys.alias("keys"))
+    return (tok.select("submission_id", "path", "ext", "cls_hi", "cls_lo", keys.alias("keys"))
             .withColumn("n_shingles", F.size("keys").cast("long")))
 
 

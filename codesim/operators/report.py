@@ -40,21 +40,27 @@ def top_similarities(sims: DataFrame, n: int) -> DataFrame:
             .agg(F.sort_array(F.collect_list("similarity"), asc=False).alias("top")))
 
 
-def overall_from_positive(pos: DataFrame, common: DataFrame, top_n: int) -> DataFrame:
+def pair_counts(pos: DataFrame) -> DataFrame:
+    """(id_a, id_b, n_pos, n_cross) per submission pair of the positive table."""
+    return pos.groupBy("id_a", "id_b").agg(
+        F.count(F.lit(1)).alias("n_pos"),
+        F.sum(F.when(F.col("kind") == "cross", 1).otherwise(0)).alias("n_cross"))
+
+
+def overall_from_positive(pos: DataFrame, common: DataFrame, top_n: int,
+                          counts: DataFrame | None = None) -> DataFrame:
     """Exact overall = mean of the top ``top_n`` of all file similarities of a
     pair, from the positive ones only: zeros (same-path pairs sharing
-    nothing) never enter a top-n sum, they only raise the count
-    min(top_n, n_cross + n_common).  Pairs without a positive similarity
-    are not returned (their overall is 0.0)."""
+    nothing) never enter a top-n sum, they only raise the divisor
+    min(top_n, n_cross + n_common).  ``common`` may cover only the pairs with
+    fewer than ``top_n`` positives: for the others the divisor is top_n.
+    Pairs without a positive similarity are not returned (overall 0.0)."""
     top = top_similarities(pos, top_n)
-    # a conditional count over the same unfiltered input (a filter would be
-    # pushed into the shingle join and stop Spark from reusing its shuffle)
-    n_cross = (pos.groupBy("id_a", "id_b")
-               .agg(F.sum(F.when(F.col("kind") == "cross", 1).otherwise(0)).alias("n_cross")))
-    j = top.join(n_cross, ["id_a", "id_b"], "left").join(common, ["id_a", "id_b"], "left")
-    n_all = F.coalesce(F.col("n_cross"), F.lit(0)) + F.coalesce(F.col("n_common"), F.lit(0))
-    return j.select("id_a", "id_b",
-                    (neumaier_sum(F.col("top")) / F.least(F.lit(top_n), n_all)).alias("overall"))
+    counts = pair_counts(pos) if counts is None else counts
+    j = top.join(counts, ["id_a", "id_b"]).join(common, ["id_a", "id_b"], "left")
+    n_all = F.col("n_cross") + F.coalesce(F.col("n_common"), F.lit(0))
+    denom = F.least(F.lit(top_n), F.greatest(F.col("n_pos"), n_all))
+    return j.select("id_a", "id_b", (neumaier_sum(F.col("top")) / denom).alias("overall"))
 
 
 def overall_from_all(sims: DataFrame, top_n: int) -> DataFrame:

@@ -42,6 +42,51 @@ def shared_shingle_counts(sh: DataFrame) -> DataFrame:
             .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("inter")))
 
 
+def shared_shingle_counts_by_class(sets: DataFrame) -> DataFrame:
+    """``shared_shingle_counts`` with copies collapsed first, plus the set
+    sizes and extension of both files (so no size lookup is needed later).
+
+    Files with identical normalised content (same extension) form one content
+    class and enter the shingle self-join once: d copies of a file cost one
+    class instead of d^2 x (shingles per file) join rows.  Class pairs are
+    then expanded to the file pairs of their members (different
+    submissions, oriented id_a < id_b); a class paired with itself gives its
+    members' pairs with the full set as intersection.  Classes keep one key
+    array each via a partial ``first`` aggregate (one array per class per
+    map task crosses the shuffle)."""
+    cls = ["cls_hi", "cls_lo"]
+    reps = sets.groupBy(*cls).agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"),
+                                  F.first("ext").alias("ext"), F.count(F.lit(1)).alias("members"))
+    csh = reps.select(*cls, "n", "ext", T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
+    a = csh.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
+                   "ext", "h")
+    b = csh.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("n").alias("n_2"), "h")
+    lt = (F.col("hi_1") < F.col("hi_2")) | ((F.col("hi_1") == F.col("hi_2")) & (F.col("lo_1") < F.col("lo_2")))
+    across = (a.join(b, "h").where(lt).groupBy("hi_1", "lo_1", "n_1", "ext", "hi_2", "lo_2", "n_2")
+              .agg(F.count(F.lit(1)).alias("inter")))
+    within = (reps.where((F.col("members") > 1) & (F.col("n") > 0))
+              .select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
+                      "ext", F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
+                      F.col("n").alias("n_2"), F.col("n").alias("inter")))
+    pairs = across.unionByName(within)
+    m1 = sets.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"),
+                     F.col("submission_id").alias("id_x"), F.col("path").alias("path_x"))
+    m2 = sets.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
+                     F.col("submission_id").alias("id_y"), F.col("path").alias("path_y"))
+    same_cls = (F.col("hi_1") == F.col("hi_2")) & (F.col("lo_1") == F.col("lo_2"))
+    fp = (pairs.join(m1, ["hi_1", "lo_1"]).join(m2, ["hi_2", "lo_2"])
+          .where(F.when(same_cls, F.col("id_x") < F.col("id_y")).otherwise(F.col("id_x") != F.col("id_y"))))
+    x_first = F.col("id_x") < F.col("id_y")
+
+    def pick(x, y):
+        return F.when(x_first, F.col(x)).otherwise(F.col(y))
+
+    return fp.select(pick("id_x", "id_y").alias("id_a"), pick("path_x", "path_y").alias("path_a"),
+                     pick("id_y", "id_x").alias("id_b"), pick("path_y", "path_x").alias("path_b"),
+                     F.col("inter").cast("long").alias("inter"), "ext",
+                     pick("n_1", "n_2").alias("n_a"), pick("n_2", "n_1").alias("n_b"))
+
+
 def shared_shingle_counts_within(sh: DataFrame, sub_pairs: DataFrame) -> DataFrame:
     """Same as ``shared_shingle_counts`` restricted to the submission pairs
     (id_a, id_b) given.  Each shingle of A is routed to A's partners and
@@ -62,8 +107,9 @@ def with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def positive_similarities(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Counted pairs -> (id_a, id_b, path_a, path_b, ext, kind, inter, n_a, n_b, similarity)."""
-    p = with_sizes(counts, sizes)
+    """Counted pairs -> (id_a, id_b, path_a, path_b, ext, kind, inter, n_a, n_b, similarity).
+    Set sizes are looked up unless the counts already carry them."""
+    p = counts if "n_a" in counts.columns else with_sizes(counts, sizes)
     return p.select("id_a", "id_b", "path_a", "path_b", "ext",
                     F.when(F.col("path_a") == F.col("path_b"), "same").otherwise("cross").alias("kind"),
                     F.col("inter").cast("long").alias("inter"), "n_a", "n_b",

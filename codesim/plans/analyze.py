@@ -83,7 +83,9 @@ class Analysis:
     # -- similarities -------------------------------------------------------
     @cached_property
     def counts(self) -> DataFrame:
-        return similarity.shared_shingle_counts(self.shingles)
+        """Shared-shingle counts of every file pair; copies are collapsed into
+        content classes before the self-join."""
+        return similarity.shared_shingle_counts_by_class(self.sets)
 
     @cached_property
     def file_similarities(self) -> DataFrame:
@@ -108,14 +110,17 @@ class Analysis:
             cand = self.candidate_pairs
             counts = similarity.shared_shingle_counts_within(self.shingles, cand)
             pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")
-            common = similarity.common_path_counts(self.sizes, cand)
         else:
             pos = self._positive(self.counts)
-            common = similarity.common_path_counts(self.sizes)
         # two consumers (top-n and counts): write it once instead of running
         # the shingle join twice
         pos = self._keep(pos, "positive_pairs")
-        overall = report.overall_from_positive(pos, common, p.top_n)
+        per_pair = report.pair_counts(pos)
+        # common paths matter only where fewer than top_n positives leave room
+        # for zeros in the top-n: a keyed lookup for exactly those pairs
+        few = per_pair.where(F.col("n_pos") < p.top_n).select("id_a", "id_b")
+        common = similarity.common_path_counts(self.sizes, few)
+        overall = report.overall_from_positive(pos, common, p.top_n, per_pair)
         if p.overall_thresh <= 0:
             everyone = report.all_submission_pairs(self.submissions)
             overall = (everyone.join(overall, ["id_a", "id_b"], "left")

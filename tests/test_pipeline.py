@@ -135,3 +135,25 @@ def test_params_defaults():
     p = Params()
     assert (p.shingle_size, p.file_thresh, p.cross_thresh, p.overall_thresh, p.min_lines) == (5, 0.6, 0.7, 0.4, 10)
     assert p.pruning and not p.with_(overall_thresh=0.1).pruning and p.with_(overall_thresh=0.1, prune=True).pruning
+
+
+def test_class_collapsed_counts_equal_file_counts(spark):
+    from codesim.operators import similarity as S
+    a = analyze(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001), overall_thresh=0.05)
+    x = S.shared_shingle_counts(a.shingles)
+    y = S.shared_shingle_counts_by_class(a.sets).select(*S.PAIR, "inter")
+    assert x.count() > 0 and x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_copies_of_one_file_across_submissions(spark):
+    """A group of identical copies (one per submission, different paths)
+    plus a near copy: every pair is found once, oriented id_a < id_b."""
+    body = "\n".join(f"acc_{i} = fold(acc_{i - 1}, row_{i})" for i in range(1, 14)) + "\n"
+    rows = [(i, f"s{i}", f"s{i}/f{i % 3}.py", body) for i in range(6)]
+    rows.append((6, "s6", "s6/g.py", body.replace("row_5", "col_5")))
+    files = spark.createDataFrame(rows, "submission_id long, submission string, raw_path string, content string")
+    a = analyze(files, None, overall_thresh=0.0)
+    subs = [(name, [(p, c)]) for _, name, p, c in rows]
+    students, pairs, _ = B.analyse(subs, [], set(DEFAULT_ALLOWED_EXTS), set(DEFAULT_EXCLUDED_DIRS), overall_t=0.0)
+    got = {(r["id_a"], r["id_b"]): r["overall"] for r in a.pairs.collect()}
+    assert got == pytest.approx({(i, j): o for i, j, o in pairs})
