@@ -26,9 +26,13 @@ class Analysis:
     params: Params = Params()
     roster: DataFrame | None = None        # submission_id, submission (submissions without files)
     persist: bool = False
+    check_input: bool = True               # reject an empty input (reads at most one row)
 
     def __post_init__(self):
         configure(self.files.sparkSession)
+        source = self.roster if self.roster is not None else self.files
+        if self.check_input and source.isEmpty():
+            raise ValueError("no submissions given")
 
     @property
     def spark(self):
