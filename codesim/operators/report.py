@@ -150,3 +150,10 @@ def line_overlap(flags: DataFrame, files: DataFrame) -> DataFrame:
     return (flags.select(*key).join(out, key, "left")
             .select(*key, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                             for c in ("common", "only_a", "only_b")]))
+
+
+def term_counts_wide(counts: DataFrame, terms) -> DataFrame:
+    """One row per submission, one column per term (the term table's wide view)."""
+    terms = list(terms)
+    return (counts.groupBy("submission_id").pivot("term", terms).agg(F.first("n"))
+            .select("submission_id", *[F.coalesce(F.col(t), F.lit(0)).cast("long").alias(t) for t in terms]))

@@ -120,9 +120,7 @@ def term_counts(spark, sf):
 
 
 def term_counts_wide(spark, sf):
-    tc = _analysis(spark, sf).term_counts
-    return (tc.groupBy("submission_id").pivot("term", list(FIXTURE_TERMS))
-            .agg(F.first("n")).select("submission_id", *[F.col(t).cast("long") for t in FIXTURE_TERMS]))
+    return report.term_counts_wide(_analysis(spark, sf).term_counts, FIXTURE_TERMS)
 
 
 # -- similarities ----------------------------------------------------------
