@@ -98,6 +98,42 @@ def shared_shingle_counts_within(sh: DataFrame, sub_pairs: DataFrame) -> DataFra
             .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("inter")))
 
 
+def shared_shingle_counts_within_by_class(sets: DataFrame, sub_pairs: DataFrame) -> DataFrame:
+    """``shared_shingle_counts_within`` on content classes, with set sizes.
+
+    Each class of submission A is routed once to each distinct partner B of
+    A (a class held by many submissions goes to the union of their
+    partners once, not once per pair); its shingles meet B's class shingles
+    on (B, h); the per-(B, class, class) counts are then expanded to the
+    member files of each candidate pair (A, B)."""
+    cls = ["cls_hi", "cls_lo"]
+    reps = sets.groupBy(*cls).agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"),
+                                  F.first("ext").alias("ext"))
+    owned = sets.select("submission_id", *cls).distinct()
+    pairs = sub_pairs.select("id_a", "id_b")
+    # (partner B, class of some A paired with B)
+    routed = (owned.withColumnRenamed("submission_id", "id_a").join(pairs, "id_a")
+              .select("id_b", F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1")).distinct())
+    ksh = reps.select(*cls, T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
+    left = routed.join(ksh.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), "h"),
+                       ["hi_1", "lo_1"])
+    right = (owned.join(ksh, cls)
+             .select(F.col("submission_id").alias("id_b"), F.col("cls_hi").alias("hi_2"),
+                     F.col("cls_lo").alias("lo_2"), "h"))
+    cc = (left.join(right, ["id_b", "h"])
+          .groupBy("id_b", "hi_1", "lo_1", "hi_2", "lo_2").agg(F.count(F.lit(1)).alias("inter")))
+    size1 = reps.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_a"), "ext")
+    size2 = reps.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("n").alias("n_b"))
+    cc = cc.join(size1, ["hi_1", "lo_1"]).join(size2, ["hi_2", "lo_2"])
+    ma = sets.select(F.col("submission_id").alias("id_a"), F.col("cls_hi").alias("hi_1"),
+                     F.col("cls_lo").alias("lo_1"), F.col("path").alias("path_a"))
+    mb = sets.select(F.col("submission_id").alias("id_b"), F.col("cls_hi").alias("hi_2"),
+                     F.col("cls_lo").alias("lo_2"), F.col("path").alias("path_b"))
+    fp = pairs.join(ma, "id_a").join(cc, ["id_b", "hi_1", "lo_1"]).join(mb, ["id_b", "hi_2", "lo_2"])
+    return fp.select("id_a", "path_a", "id_b", "path_b", F.col("inter").cast("long").alias("inter"),
+                     "ext", "n_a", "n_b")
+
+
 def with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     sa = sizes.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"),
                       F.col("ext"), F.col("n_shingles").alias("n_a"))

@@ -112,7 +112,7 @@ class Analysis:
         p = self.params
         if p.pruning:
             cand = self.candidate_pairs
-            counts = similarity.shared_shingle_counts_within(self.shingles, cand)
+            counts = similarity.shared_shingle_counts_within_by_class(self.sets, cand)
             pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")
         else:
             pos = self._positive(self.counts)

@@ -157,3 +157,12 @@ def test_copies_of_one_file_across_submissions(spark):
     students, pairs, _ = B.analyse(subs, [], set(DEFAULT_ALLOWED_EXTS), set(DEFAULT_EXCLUDED_DIRS), overall_t=0.0)
     got = {(r["id_a"], r["id_b"]): r["overall"] for r in a.pairs.collect()}
     assert got == pytest.approx({(i, j): o for i, j, o in pairs})
+
+
+def test_class_routed_counts_equal_file_routed(spark):
+    from codesim.operators import similarity as S
+    a = analyze(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001), overall_thresh=0.05)
+    cand = S.candidate_submission_pairs(a.sets, a.sizes, 0.05)
+    x = S.shared_shingle_counts_within(a.shingles, cand)
+    y = S.shared_shingle_counts_within_by_class(a.sets, cand).select(*S.PAIR, "inter")
+    assert x.count() > 0 and x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
