@@ -110,7 +110,7 @@ class Analysis:
     def _scored(self) -> tuple[DataFrame, DataFrame]:
         """(positive similarities, overall) of the pairs that matter."""
         p = self.params
-        if p.pruning:
+        if p.pruning(lambda: self.submissions.count()):
             cand = self.candidate_pairs
             counts = similarity.shared_shingle_counts_within_by_class(self.sets, cand)
             pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")

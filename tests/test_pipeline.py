@@ -134,7 +134,8 @@ def test_exact_keys_equal_hashed(spark):
 def test_params_defaults():
     p = Params()
     assert (p.shingle_size, p.file_thresh, p.cross_thresh, p.overall_thresh, p.min_lines) == (5, 0.6, 0.7, 0.4, 10)
-    assert p.pruning and not p.with_(overall_thresh=0.1).pruning and p.with_(overall_thresh=0.1, prune=True).pruning
+    assert not p.pruning(18) and p.pruning(100) and p.with_(prune=True).pruning(2)
+    assert not p.with_(overall_thresh=0.0, prune=True).pruning(1000)
 
 
 def test_class_collapsed_counts_equal_file_counts(spark):
