@@ -18,6 +18,10 @@ from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
 from ..session import configure, materialise
 
+# phase 2 of the pruned path joins globally when the candidates cover more
+# than this share of all submission pairs, else it routes per candidate pair
+DENSE_CANDIDATES = 0.25
+
 
 @dataclass
 class Analysis:
@@ -106,13 +110,23 @@ class Analysis:
         return similarity.candidate_submission_pairs(self.sets, self.sizes,
                                                      self.params.overall_thresh)
 
+    @cached_property
+    def _n_submissions(self) -> int:
+        return self.submissions.count()
+
     @cached_property
     def _scored(self) -> tuple[DataFrame, DataFrame]:
         """(positive similarities, overall) of the pairs that matter."""
         p = self.params
-        if p.pruning(lambda: self.submissions.count()):
-            cand = self.candidate_pairs
-            counts = similarity.shared_shingle_counts_within_by_class(self.sets, cand)
+        if p.pruning(lambda: self._n_submissions):
+            cand = self._keep(self.candidate_pairs, "candidate_pairs")
+            n = self._n_submissions
+            if cand.count() > DENSE_CANDIDATES * n * (n - 1) / 2:
+                # most pairs survive: one global class join beats routing each
+                # class to most of the cohort
+                counts = self.counts.join(cand, ["id_a", "id_b"], "left_semi")
+            else:
+                counts = similarity.shared_shingle_counts_within_by_class(self.sets, cand)
             pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")
         else:
             pos = self._positive(self.counts)

@@ -167,3 +167,15 @@ def test_class_routed_counts_equal_file_routed(spark):
     x = S.shared_shingle_counts_within(a.shingles, cand)
     y = S.shared_shingle_counts_within_by_class(a.sets, cand).select(*S.PAIR, "inter")
     assert x.count() > 0 and x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_routed_phase_two_end_to_end(spark, brute, monkeypatch):
+    """Force the per-candidate routing branch of the pruned path."""
+    import codesim.plans.analyze as AN
+    monkeypatch.setattr(AN, "DENSE_CANDIDATES", 1.0)
+    ids, (students, pairs, flagged) = brute
+    a = analyze(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001),
+                overall_thresh=0.05, prune=True, terms=("the", "license"))
+    got = {(r["id_a"], r["id_b"]): r["overall"] for r in a.pairs.collect()}
+    want = {(ids[i], ids[j]): o for i, j, o in pairs}
+    assert got == pytest.approx(want, abs=1e-12)
