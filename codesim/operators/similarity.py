@@ -42,33 +42,36 @@ def shared_shingle_counts(sh: DataFrame) -> DataFrame:
             .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("inter")))
 
 
-def shared_shingle_counts_by_class(sets: DataFrame) -> DataFrame:
-    """``shared_shingle_counts`` with copies collapsed first, plus the set
-    sizes and extension of both files (so no size lookup is needed later).
+CLS = ["cls_hi", "cls_lo"]
 
-    Files with identical normalised content (same extension) form one content
-    class and enter the shingle self-join once: d copies of a file cost one
-    class instead of d^2 x (shingles per file) join rows.  Class pairs are
-    then expanded to the file pairs of their members (different
-    submissions, oriented id_a < id_b); a class paired with itself gives its
-    members' pairs with the full set as intersection.  Classes keep one key
-    array each via a partial ``first`` aggregate (one array per class per
-    map task crosses the shuffle)."""
-    cls = ["cls_hi", "cls_lo"]
-    reps = sets.groupBy(*cls).agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"),
+
+def class_reps(sets: DataFrame) -> DataFrame:
+    """One row per content class: (cls_hi, cls_lo, keys, n, ext, members).
+    ``first`` is partially aggregated: one key array per class per map task
+    crosses the shuffle, however many copies the class has."""
+    return sets.groupBy(*CLS).agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"),
                                   F.first("ext").alias("ext"), F.count(F.lit(1)).alias("members"))
-    csh = reps.select(*cls, "n", "ext", T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
-    a = csh.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
-                   "ext", "h")
-    b = csh.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("n").alias("n_2"), "h")
-    lt = (F.col("hi_1") < F.col("hi_2")) | ((F.col("hi_1") == F.col("hi_2")) & (F.col("lo_1") < F.col("lo_2")))
-    across = (a.join(b, "h").where(lt).groupBy("hi_1", "lo_1", "n_1", "ext", "hi_2", "lo_2", "n_2")
-              .agg(F.count(F.lit(1)).alias("inter")))
-    within = (reps.where((F.col("members") > 1) & (F.col("n") > 0))
-              .select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
-                      "ext", F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
-                      F.col("n").alias("n_2"), F.col("n").alias("inter")))
-    pairs = across.unionByName(within)
+
+
+def _cls_lt():
+    return (F.col("hi_1") < F.col("hi_2")) | ((F.col("hi_1") == F.col("hi_2")) & (F.col("lo_1") < F.col("lo_2")))
+
+
+def _within_class_pairs(reps: DataFrame) -> DataFrame:
+    """A class paired with itself (copies in different files): the full set
+    is the intersection.  Empty classes share nothing (same-path empties are
+    handled separately)."""
+    return (reps.where((F.col("members") > 1) & (F.col("n") > 0))
+            .select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
+                    "ext", F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
+                    F.col("n").alias("n_2"), F.col("n").alias("inter")))
+
+
+def expand_class_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Class pairs (hi_1, lo_1, n_1, ext, hi_2, lo_2, n_2, inter), class 1 <=
+    class 2, to the file pairs of their members in different submissions,
+    oriented id_a < id_b: (id_a, path_a, id_b, path_b, inter, ext, n_a, n_b).
+    Output-sized: every row is a file pair of the result."""
     m1 = sets.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"),
                      F.col("submission_id").alias("id_x"), F.col("path").alias("path_x"))
     m2 = sets.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
@@ -87,6 +90,24 @@ def shared_shingle_counts_by_class(sets: DataFrame) -> DataFrame:
                      pick("n_1", "n_2").alias("n_a"), pick("n_2", "n_1").alias("n_b"))
 
 
+def shared_shingle_counts_by_class(sets: DataFrame) -> DataFrame:
+    """``shared_shingle_counts`` with copies collapsed first, plus the set
+    sizes and extension of both files (so no size lookup is needed later).
+
+    Files with identical normalised content (same extension) form one content
+    class and enter the shingle self-join once: d copies of a file cost one
+    class instead of d^2 x (shingles per file) join rows.  Class pairs are
+    then expanded to the file pairs of their members."""
+    reps = class_reps(sets)
+    csh = reps.select(*CLS, "n", "ext", T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
+    a = csh.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
+                   "ext", "h")
+    b = csh.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("n").alias("n_2"), "h")
+    across = (a.join(b, "h").where(_cls_lt()).groupBy("hi_1", "lo_1", "n_1", "ext", "hi_2", "lo_2", "n_2")
+              .agg(F.count(F.lit(1)).alias("inter")))
+    return expand_class_pairs(across.unionByName(_within_class_pairs(reps)), sets)
+
+
 def shared_shingle_counts_within(sh: DataFrame, sub_pairs: DataFrame) -> DataFrame:
     """Same as ``shared_shingle_counts`` restricted to the submission pairs
     (id_a, id_b) given.  Each shingle of A is routed to A's partners and
@@ -106,9 +127,8 @@ def shared_shingle_counts_within_by_class(sets: DataFrame, sub_pairs: DataFrame)
     partners once, not once per pair); its shingles meet B's class shingles
     on (B, h); the per-(B, class, class) counts are then expanded to the
     member files of each candidate pair (A, B)."""
-    cls = ["cls_hi", "cls_lo"]
-    reps = sets.groupBy(*cls).agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"),
-                                  F.first("ext").alias("ext"))
+    cls = CLS
+    reps = class_reps(sets)
     owned = sets.select("submission_id", *cls).distinct()
     pairs = sub_pairs.select("id_a", "id_b")
     # (partner B, class of some A paired with B)
@@ -213,49 +233,58 @@ def prefix_length(n, tau: float):
     return n - F.ceil(F.lit(tau) * n - EPS) + 1
 
 
-def pairs_at_least(sets: DataFrame, tau: float) -> DataFrame:
-    """Exact file pairs (any path) with Jaccard >= tau > 0, found with the
-    prefix filter: each file keeps only its rarest shingles (global order by
-    document frequency, then key), candidates must share a prefix shingle and
-    pass the length filter, then each candidate is verified once by
-    intersecting the two files' key arrays.  Hot shingles sit at the end of
-    the order and rarely enter a prefix, so they never fan out."""
+def class_pairs_at_least(reps: DataFrame, tau: float) -> DataFrame:
+    """Class pairs with Jaccard >= tau > 0 (class 1 < class 2, plus each
+    multi-member class with itself), by the prefix filter: each class keeps
+    only its rarest shingles (global order by document frequency over
+    classes, then key), candidates must share a prefix shingle and pass the
+    length filter, and each candidate is verified once by intersecting the
+    two key arrays.  Hot shingles sit at the end of the order and rarely
+    enter a prefix; copies are one class, so they never multiply."""
     if tau <= 0:
         raise ValueError("tau must be > 0")
     from pyspark.sql import Window
-    sh = sets.select("submission_id", "path", "n_shingles", T.explode_rows("keys").alias("h")).where(
-        F.col("h").isNotNull())
+    sh = reps.select(*CLS, "n", T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
     df = sh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("submission_id", "path").orderBy("df", "h")
+    w = Window.partitionBy(*CLS).orderBy("df", "h")
     prefix = (sh.join(df, "h").withColumn("_pos", F.row_number().over(w))
-              .where(F.col("_pos") <= prefix_length(F.col("n_shingles"), tau))
-              .select("submission_id", "path", "h", "n_shingles"))
-    pa = prefix.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"), "h",
-                       F.col("n_shingles").alias("n_a"))
-    pb = prefix.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"), "h",
-                       F.col("n_shingles").alias("n_b"))
-    lo = F.lit(tau) * F.col("n_a") - EPS
-    hi = F.col("n_a") / F.lit(tau) + EPS
-    cand = (pa.join(pb, "h")
-            .where((F.col("id_a") < F.col("id_b")) & (F.col("n_b") >= lo) & (F.col("n_b") <= hi))
-            .select(*PAIR).distinct())
-    ka = sets.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"), F.col("ext"),
-                     F.col("keys").alias("keys_a"), F.col("n_shingles").alias("n_a"))
-    kb = sets.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"),
-                     F.col("keys").alias("keys_b"), F.col("n_shingles").alias("n_b"))
-    v = cand.join(ka, ["id_a", "path_a"]).join(kb, ["id_b", "path_b"])
-    inter = F.size(F.array_intersect("keys_a", "keys_b")).cast("long")
-    sims = v.select("id_a", "id_b", "path_a", "path_b", "ext",
-                    F.when(F.col("path_a") == F.col("path_b"), "same").otherwise("cross").alias("kind"),
-                    inter.alias("inter"), "n_a", "n_b", T.jaccard(inter, F.col("n_a"), F.col("n_b")).alias("similarity"))
-    return sims.where(F.col("similarity") >= F.lit(tau) - EPS)
+              .where(F.col("_pos") <= prefix_length(F.col("n"), tau)).select(*CLS, "h", "n"))
+    pa = prefix.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), "h", F.col("n").alias("n_1"))
+    pb = prefix.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), "h", F.col("n").alias("n_2"))
+    lo = F.lit(tau) * F.col("n_1") - EPS
+    hi = F.col("n_1") / F.lit(tau) + EPS
+    cand = (pa.join(pb, "h").where(_cls_lt() & (F.col("n_2") >= lo) & (F.col("n_2") <= hi))
+            .select("hi_1", "lo_1", "hi_2", "lo_2").distinct())
+    k1 = reps.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("keys").alias("k1"),
+                     F.col("n").alias("n_1"), "ext")
+    k2 = reps.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("keys").alias("k2"),
+                     F.col("n").alias("n_2"))
+    inter = F.size(F.array_intersect("k1", "k2")).cast("long")
+    v = (cand.join(k1, ["hi_1", "lo_1"]).join(k2, ["hi_2", "lo_2"])
+         .select("hi_1", "lo_1", "n_1", "ext", "hi_2", "lo_2", "n_2", inter.alias("inter")))
+    v = v.where(T.jaccard("inter", "n_1", "n_2") >= F.lit(tau) - EPS)
+    return v.unionByName(_within_class_pairs(reps))
+
+
+def pairs_at_least(sets: DataFrame, tau: float) -> DataFrame:
+    """Exact file pairs (any path, different submissions) with Jaccard >= tau,
+    via the class-level prefix filter and the member expansion."""
+    fp = expand_class_pairs(class_pairs_at_least(class_reps(sets), tau), sets)
+    return positive_similarities(fp, None)
 
 
 def candidate_submission_pairs(sets: DataFrame, sizes: DataFrame, tau: float) -> DataFrame:
     """Submission pairs that contain a file pair with similarity >= tau
     (both-empty common paths count as 1.0).  Any pair whose top-k mean
     reaches tau is among them."""
-    hit = pairs_at_least(sets, tau).select("id_a", "id_b")
+    cp = class_pairs_at_least(class_reps(sets), tau).select("hi_1", "lo_1", "hi_2", "lo_2")
+    owner = sets.select(*CLS, "submission_id").distinct()
+    s1 = owner.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"),
+                      F.col("submission_id").alias("id_x"))
+    s2 = owner.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
+                      F.col("submission_id").alias("id_y"))
+    hit = (cp.join(s1, ["hi_1", "lo_1"]).join(s2, ["hi_2", "lo_2"]).where(F.col("id_x") != F.col("id_y"))
+           .select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")))
     empty = empty_same_path_pairs(sizes).select("id_a", "id_b")
     return hit.unionByName(empty).distinct()
 
