@@ -35,10 +35,11 @@ def main():
     names = sys.argv[1:] or HEADLINE
     scratch = tempfile.mkdtemp(prefix="codesim-bench-")
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, scratch=scratch)
-    # warm-up on the smallest scale: JVM JIT, codegen caches
-    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    if os.path.isdir(warm):
-        catalogue.suspicious_pairs(spark, warm).write.format("noop").mode("overwrite").save()
+    # warm-up on the smaller scales (not timed): JVM JIT, codegen caches
+    for small in ("sf0.001", "sf0.01"):
+        warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), small)
+        if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
+            catalogue.suspicious_pairs(spark, warm).write.format("noop").mode("overwrite").save()
     catalogue.files_admitted(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
