@@ -16,9 +16,11 @@ from ..params import Params
 
 
 def kept_files(facts: DataFrame, params: Params) -> DataFrame:
+    """Kept files taking part in comparisons (opt-in token minimum)."""
     kept = facts.where(F.col("is_kept"))
     if params.min_tokens > 0:
-        kept = kept.where(F.size(T.tokens("norm")) >= params.min_tokens)
+        n_tok = F.col("n_tokens") if "n_tokens" in facts.columns else F.size(T.tokens("norm"))
+        kept = kept.where(n_tok >= params.min_tokens)
     return kept
 
 
@@ -32,19 +34,30 @@ def content_class(ext, norm_hash) -> tuple[F.Column, F.Column]:
     return hi, lo
 
 
-def shingle_sets(kept: DataFrame, params: Params) -> DataFrame:
-    """(submission_id, path, ext, cls_hi, cls_lo, keys array, n_shingles) per
-    kept file; (cls_hi, cls_lo) identifies its content class."""
+def with_fingerprints(files: DataFrame, params: Params, on=None) -> DataFrame:
+    """Add cls_hi, cls_lo, n_tokens, keys and n_shingles to files carrying
+    ``norm``, ``norm_hash`` and ``ext``; rows where ``on`` is false get nulls
+    (no shingling of template or short files)."""
     k = params.shingle_size
+    on = F.lit(True) if on is None else on
+    hi, lo = content_class(F.col("ext"), F.col("norm_hash"))
     # tokens get their own projection: referenced from inside the shingle
     # lambda, an inline token expression would be re-run per shingle
-    hi, lo = content_class(F.col("ext"), F.col("norm_hash"))
-    tok = kept.select("submission_id", "path", "ext", hi.alias("cls_hi"), lo.alias("cls_lo"),
-                      T.tokens("norm").alias("tok"))
-    texts = T.shingle_texts(F.col("tok"), k)
+    f = (files.withColumn("cls_hi", hi).withColumn("cls_lo", lo)
+         .withColumn("_tok", F.when(on, T.tokens("norm"))))
+    texts = T.shingle_texts(F.col("_tok"), k)
     keys = F.array_distinct(F.transform(texts, lambda s: T.shingle_key(F.col("ext"), s, params.exact_keys)))
-    return (tok.select("submission_id", "path", "ext", "cls_hi", "cls_lo", keys.alias("keys"))
-            .withColumn("n_shingles", F.size("keys").cast("long")))
+    return (f.withColumn("keys", F.when(F.col("_tok").isNotNull(), keys))
+            .withColumn("n_tokens", F.when(F.col("_tok").isNotNull(), F.size("_tok").cast("long")))
+            .withColumn("n_shingles", F.when(F.col("keys").isNotNull(), F.size("keys").cast("long")))
+            .drop("_tok"))
+
+
+def shingle_sets(kept: DataFrame, params: Params) -> DataFrame:
+    """(submission_id, path, ext, cls_hi, cls_lo, keys array, n_shingles) per
+    kept file; (cls_hi, cls_lo) identifies its content class."""
+    f = with_fingerprints(kept, params)
+    return f.select("submission_id", "path", "ext", "cls_hi", "cls_lo", "keys", "n_shingles")
 
 
 def shingles(sets: DataFrame) -> DataFrame:

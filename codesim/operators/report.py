@@ -108,20 +108,32 @@ def flagged(sims: DataFrame, kept_pairs: DataFrame, params: Params) -> DataFrame
                     T.severity("similarity").alias("severity")))
 
 
+def with_term_counts(files: DataFrame, params: Params, on=None) -> DataFrame:
+    """Add ``term_n``: per-file counts of each watch term (in parameter
+    order) over the raw content, whole words, any case; null where ``on``
+    is false.  One literal pattern per term, compiled once per task."""
+    on = F.lit(True) if on is None else on
+    terms = list(params.terms)
+    low = F.lower(F.col("content"))
+    counts = F.array(*[T.term_count(low, t) for t in terms]) if terms else F.array().cast("array<long>")
+    return files.withColumn("term_n", F.when(on, counts))
+
+
 def term_counts(kept: DataFrame, subs: DataFrame, params: Params) -> DataFrame:
-    """(submission_id, term, n) for every submission and term, zeros included;
-    counted over the raw content of kept files, whole words, any case.  One
-    literal pattern per term (compiled once per task), summed per
-    submission with a partial aggregate."""
+    """(submission_id, term, n) for every submission and term, zeros included,
+    summed per submission with a partial aggregate.  ``kept`` carries
+    ``term_n`` (see ``with_term_counts``) or the raw ``content``."""
     terms = list(params.terms)
     if not terms:
         return subs.sparkSession.createDataFrame([], "submission_id long, term string, n long")
-    low = F.lower(F.col("content"))
-    per_file = kept.select("submission_id", T.explode_rows(F.array(*[
-        F.struct(F.lit(t).alias("term"), T.term_count(low, t).alias("n")) for t in terms])).alias("tc"))
-    counts = (per_file.groupBy("submission_id", F.col("tc.term").alias("term"))
-              .agg(F.sum("tc.n").alias("n")))
-    grid = subs.select("submission_id", F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
+    if "term_n" not in kept.columns:
+        kept = with_term_counts(kept, params)
+    names = F.array(*[F.lit(t) for t in terms])
+    per_file = kept.select("submission_id", T.explode_rows(F.arrays_zip(names.alias("term"),
+                                                                       F.col("term_n").alias("n"))).alias("tc"))
+    counts = (per_file.where(F.col("tc").isNotNull())
+              .groupBy("submission_id", F.col("tc.term").alias("term")).agg(F.sum("tc.n").alias("n")))
+    grid = subs.select("submission_id", F.explode(names).alias("term"))
     return (grid.join(counts, ["submission_id", "term"], "left")
             .select("submission_id", "term", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 

@@ -1,9 +1,10 @@
 """The whole analysis as one DataFrame plan per result table.
 
 ``Analysis`` builds every intermediate lazily and shares it; with
-``materialise=True`` the expensive shared stages (file facts, shingle sets)
-are written once to the shared checkpoint folder and read back, which cuts
-lineage and stops every consumer from re-running the regex normaliser.
+``persist=True`` the expensive shared stages (narrow file facts with shingle
+keys, positive file pairs) are written once to the shared checkpoint folder
+and read back, which cuts lineage and stops every consumer from re-running
+the regex normaliser.
 """
 
 from __future__ import annotations
@@ -54,10 +55,21 @@ class Analysis:
     def template_hashes(self) -> DataFrame:
         return template.template_hashes(self.template, self.params, self.spark)
 
+    @cached_property
+    def normalized(self) -> DataFrame:
+        """Prepared files with content, normalised text and flags (lazy)."""
+        return template.file_facts(self.prepared, self.template_hashes, self.params)
+
     @cached_property
     def facts(self) -> DataFrame:
-        f = template.file_facts(self.prepared, self.template_hashes, self.params)
-        return self._keep(f, "file_facts")
+        """One pass over the normalised files: flags, content class, shingle
+        keys and watch-term counts of kept files.  No content and no
+        normalised text are kept, so the persisted table stays narrow;
+        contents are re-read only for flagged files."""
+        kept = F.col("is_kept")
+        f = fingerprint.with_fingerprints(self.normalized, self.params, on=kept)
+        f = report.with_term_counts(f, self.params, on=kept)
+        return self._keep(f.drop("content", "norm"), "file_facts")
 
     @cached_property
     def submissions(self) -> DataFrame:
@@ -77,8 +89,7 @@ class Analysis:
     # -- fingerprints -------------------------------------------------------
     @cached_property
     def sets(self) -> DataFrame:
-        s = fingerprint.shingle_sets(self.compared, self.params)
-        return self._keep(s, "shingle_sets")
+        return self.compared.select("submission_id", "path", "ext", "cls_hi", "cls_lo", "keys", "n_shingles")
 
     @cached_property
     def shingles(self) -> DataFrame:
@@ -168,7 +179,7 @@ class Analysis:
 
     @cached_property
     def line_overlap(self) -> DataFrame:
-        return report.line_overlap(self.flagged_files, self.kept)
+        return report.line_overlap(self.flagged_files, self.prepared)
 
     @cached_property
     def summary(self) -> DataFrame:

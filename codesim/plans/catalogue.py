@@ -51,7 +51,7 @@ def duplicate_entries_last_wins(spark, sf):
 
 def _normalized(spark, sf, py: bool):
     a = _analysis(spark, sf)
-    f = a.facts.where((F.col("ext") == "py") if py else (F.col("ext") != "py"))
+    f = a.normalized.where((F.col("ext") == "py") if py else (F.col("ext") != "py"))
     return f.select("submission_id", "path", F.md5("norm").alias("norm_md5"),
                     F.length("norm").cast("long").alias("norm_len"))
 
@@ -70,7 +70,7 @@ def norm_hash(spark, sf):
 
 def tokens_per_file(spark, sf):
     a = _analysis(spark, sf)
-    tok = a.facts.select("submission_id", "path", T.tokens("norm").alias("tok"))
+    tok = a.normalized.select("submission_id", "path", T.tokens("norm").alias("tok"))
     return tok.select("submission_id", "path", F.size("tok").cast("long").alias("n_tokens"),
                       F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
 
