@@ -134,7 +134,7 @@ def test_exact_keys_equal_hashed(spark):
 def test_params_defaults():
     p = Params()
     assert (p.shingle_size, p.file_thresh, p.cross_thresh, p.overall_thresh, p.min_lines) == (5, 0.6, 0.7, 0.4, 10)
-    assert not p.pruning(18) and p.pruning(100) and p.with_(prune=True).pruning(2)
+    assert not p.pruning(18) and not p.pruning(200) and p.pruning(1000) and p.with_(prune=True).pruning(2)
     assert not p.with_(overall_thresh=0.0, prune=True).pruning(1000)
 
 
