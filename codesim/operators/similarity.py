@@ -108,6 +108,18 @@ def shared_shingle_counts_by_class(sets: DataFrame) -> DataFrame:
     return expand_class_pairs(across.unionByName(_within_class_pairs(reps)), sets)
 
 
+def join_sizes(sets: DataFrame, sub_pairs: DataFrame) -> tuple[int, int]:
+    """Rows each phase-2 strategy would join, as two scalars: the global class
+    self-join emits sum(df^2) over shingle keys (df = classes holding the
+    key); routing sends each candidate pair's submission-A shingles."""
+    csh = class_reps(sets).select(T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
+    global_rows = (csh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+                   .agg(F.sum(F.col("df") * F.col("df")).alias("s")).first()["s"] or 0)
+    per_sub = sets.groupBy(F.col("submission_id").alias("id_a")).agg(F.sum("n_shingles").alias("s"))
+    routed_rows = (sub_pairs.select("id_a").join(per_sub, "id_a").agg(F.sum("s").alias("s")).first()["s"] or 0)
+    return int(global_rows), int(routed_rows)
+
+
 def shared_shingle_counts_within(sh: DataFrame, sub_pairs: DataFrame) -> DataFrame:
     """Same as ``shared_shingle_counts`` restricted to the submission pairs
     (id_a, id_b) given.  Each shingle of A is routed to A's partners and

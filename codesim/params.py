@@ -22,7 +22,7 @@ DEFAULT_TOP_N = 5
 # automatic pruning from this many submissions on.  Measured on views of
 # the documents table at sf0.1, the plain class-level self-join was faster
 # at 18 submissions (about 1.5x, thresholds 0.1/0.4/0.7) and at 200
-# submissions (11.8 s vs 33 s at 0.4); pruning guards very large cohorts,
+# submissions (10.5 s vs 16 s at 0.4); pruning guards very large cohorts,
 # where the plain join's sum of squared shingle frequencies explodes.
 PRUNE_MIN_SUBMISSIONS = 1000
 DEFAULT_EXCLUDED_DIRS = (

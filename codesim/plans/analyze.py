@@ -19,9 +19,6 @@ from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
 from ..session import configure, materialise
 
-# phase 2 of the pruned path joins globally when the candidates cover more
-# than this share of all submission pairs, else it routes per candidate pair
-DENSE_CANDIDATES = 0.25
 
 
 @dataclass
@@ -32,6 +29,7 @@ class Analysis:
     roster: DataFrame | None = None        # submission_id, submission (submissions without files)
     persist: bool = False
     check_input: bool = True               # reject an empty input (reads at most one row)
+    force_routing: bool = False            # tests: always take the routed phase 2
 
     def __post_init__(self):
         configure(self.files.sparkSession)
@@ -131,13 +129,14 @@ class Analysis:
         p = self.params
         if p.pruning(lambda: self._n_submissions):
             cand = self._keep(self.candidate_pairs, "candidate_pairs")
-            n = self._n_submissions
-            if cand.count() > DENSE_CANDIDATES * n * (n - 1) / 2:
-                # most pairs survive: one global class join beats routing each
-                # class to most of the cohort
-                counts = self.counts.join(cand, ["id_a", "id_b"], "left_semi")
-            else:
+            # phase 2 takes whichever join emits fewer rows: the global class
+            # self-join restricted to the candidates, or routing each
+            # candidate's shingles to its partner (two scalar aggregates)
+            global_rows, routed_rows = similarity.join_sizes(self.sets, cand)
+            if self.force_routing or routed_rows < global_rows:
                 counts = similarity.shared_shingle_counts_within_by_class(self.sets, cand)
+            else:
+                counts = self.counts.join(cand, ["id_a", "id_b"], "left_semi")
             pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")
         else:
             pos = self._positive(self.counts)

@@ -171,11 +171,10 @@ def test_class_routed_counts_equal_file_routed(spark):
 
 def test_routed_phase_two_end_to_end(spark, brute, monkeypatch):
     """Force the per-candidate routing branch of the pruned path."""
-    import codesim.plans.analyze as AN
-    monkeypatch.setattr(AN, "DENSE_CANDIDATES", 1.0)
+    from codesim.plans.analyze import Analysis
     ids, (students, pairs, flagged) = brute
-    a = analyze(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001),
-                overall_thresh=0.05, prune=True, terms=("the", "license"))
+    a = Analysis(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001),
+                 Params(overall_thresh=0.05, prune=True, terms=("the", "license")), force_routing=True)
     got = {(r["id_a"], r["id_b"]): r["overall"] for r in a.pairs.collect()}
     want = {(ids[i], ids[j]): o for i, j, o in pairs}
     assert got == pytest.approx(want, abs=1e-12)
