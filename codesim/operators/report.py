@@ -63,12 +63,6 @@ def overall_from_positive(pos: DataFrame, common: DataFrame, top_n: int,
     return j.select("id_a", "id_b", (neumaier_sum(F.col("top")) / denom).alias("overall"))
 
 
-def overall_from_all(sims: DataFrame, top_n: int) -> DataFrame:
-    """Overall from the full similarity table (zeros included)."""
-    top = top_similarities(sims, top_n)
-    return top.select("id_a", "id_b", (neumaier_sum(F.col("top")) / F.size("top")).alias("overall"))
-
-
 def all_submission_pairs(subs: DataFrame) -> DataFrame:
     """Every (id_a, id_b), id_a < id_b, over dense ids 0..n-1, generated per
     submission with ``sequence`` (no cross join)."""
