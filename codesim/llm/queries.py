@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality, simhash
-from .common import table
+from . import decontam, lm, packing, pii, quality, simhash, token_counts, toxicity, url_rules, warc
+from .common import ship_code, table
 
 
 def op1_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op2_warc_normaliser(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offences").cast("long").alias("n_offences"))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_sequence_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark, sf_dir):
+    found = url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,4 +53,12 @@ def op10_pii_pseudonyms(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_sequence_packing, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_pii_pseudonyms)}
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship_code(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_quality_rules, op2_warc_normaliser, op3_token_counts, op4_toxicity, op5_lm_scoring, op6_sequence_packing, op7_url_filters, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_pii_pseudonyms)}
