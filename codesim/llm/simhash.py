@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_key
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -80,16 +80,16 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per row of ``docs``."""
+    """doc_id, key (of the text), fp (the 64 bits as a signed long), one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = [shingle_hashes(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            runs = [shingle_hashes(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
             sizes = np.array([len(r) for r in runs], np.int64)
             hashes = np.fromiter((h for r in runs for h in r), np.uint64, int(sizes.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(majority_bits(hashes, sizes).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(majority_bits(hashes, sizes).view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 class BKTree:
@@ -216,23 +216,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = 2048) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of ``docs``; component_id is the
+    """doc_id, key, fp, root, component_id: one row per row of ``docs``; root names the component and component_id is the
     smallest doc_id of the texts reachable over links, the row's own included."""
     prints = stored(fingerprints(docs, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(distinct.select("fp"), radius, tile))
     rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
-    Rows that repeat that doc_id are one document, of which one row stays; in a
-    component without any doc_id one row per fingerprint stays."""
-    found = stored(near_duplicates(docs, shingle, radius))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    once, more = kept.where("n = 1").select("doc_id"), kept.where("n > 1").select("doc_id")
-    same = lambda ids: docs["doc_id"].eqNullSafe(ids["doc_id"])
-    repeated = docs.join(more, same(more), "left_semi")
-    return docs.join(once, same(once), "left_semi").unionByName(repeated.dropDuplicates(["doc_id"]))
+    """``docs`` with one document of each component: the one with the smallest doc_id; where rows repeat that
+    id, or the component has no id at all, the one with the smallest text key, and one of equal rows."""
+    found = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    kept = stored(rows.groupBy("root").agg(F.min(F.struct("key", "doc_id", "n")).alias("best")).select(F.col("best.key").alias("_key"), F.col("best.doc_id").alias("_id"), F.col("best.n").alias("n")))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key"))
+    repeated = docs.join(kept.where("n > 1"), same, "left_semi").withColumn("_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return docs.join(kept.where("n = 1"), same, "left_semi").unionByName(repeated)

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+SIZE = 1 << 20
 
 
-def features(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in (3, 4, 5, 6) if len(word) >= k)]
+def features(word: str) -> list[int]:
+    """Hashed: the word, and its first 3 to 6 letters."""
+    return [crc32(word.encode()) % SIZE, *(crc32(b"%d*" % k + word[:k].encode()) % SIZE for k in (3, 4, 5, 6) if len(word) >= k)]
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -44,58 +48,75 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 class Model:
-    def __init__(self, bias: float, weights: dict[str, float], prior: float | None = None):
+    def __init__(self, bias: float, weights: np.ndarray, prior: float | None = None):
         self.bias, self.weights, self.prior = bias, weights, prior
 
 
-def fit(texts: list[str], labels: np.ndarray, share: np.ndarray, least: int = 5, rounds: int = 400, rate: float = 0.3, decay: float = 2e-4) -> Model:
-    """Noisy-or likelihood by full-batch Adagrad steps."""
+def fit(texts: list[str], labels: np.ndarray, share: np.ndarray, least: int = 8, rounds: int = 500, rate: float = 0.6, sparse: float = 1.0, settle: int = 150) -> Model:
+    """Noisy-or likelihood by full-batch Adagrad steps, each followed by a shrinking step: a feature keeps weight
+    only against the pull of ``sparse`` documents, else it would learn single documents by heart.  After ``settle``
+    rounds only features that have weight go on."""
     number: dict[str, int] = {}
-    words, at, doc = [], [], []
-    n = 0
+    hashed: dict[str, list[int]] = {}
+    words, at, doc = array("i"), array("i"), array("i")
+    seen = np.zeros(SIZE, np.int32)
     for d, text in enumerate(texts):
+        own = set()
         for _, _, ws in sentences(text):
-            words.extend(number.setdefault(w, len(number)) for w in ws)
-            at.extend([n] * len(ws))
+            words.extend([number.setdefault(w, len(number)) for w in ws])
+            at.extend([len(doc)] * len(ws))
             doc.append(d)
-            n += 1
-    words, at, doc = np.array(words, np.int32), np.array(at, np.int32), np.array(doc, np.int32)
-    # features by word, kept if they occur in enough documents
-    seen: dict[str, set] = {}
-    names: dict[str, int] = {}
-    spread = np.unique(np.stack([words.astype(np.int64), doc[at].astype(np.int64)], axis=1), axis=0)
-    vocabulary = list(number)
-    for w, d in spread.tolist():
-        for f in features(vocabulary[w]):
-            s = seen.setdefault(f, set())
-            if len(s) < least:
-                s.add(d)
-    rows, cols = [], []
+            own.update(ws)
+        if own:
+            for w in own:
+                if w not in hashed:
+                    hashed[w] = features(w)
+            seen[np.unique([f for w in own for f in hashed[w]])] += 1
+    words, at, doc = (np.frombuffer(x, np.int32) for x in (words, at, doc))
+    n = len(doc)
+    rows, cols = array("i"), array("i")
     for w, i in number.items():
-        for f in features(w):
-            if len(seen[f]) >= least:
+        for f in hashed[w]:
+            if seen[f] >= least:
                 rows.append(i)
-                cols.append(names.setdefault(f, len(names)))
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+                cols.append(f)
+    rows = np.frombuffer(rows, np.int32)
+    used, cols = np.unique(np.frombuffer(cols, np.int32), return_inverse=True)
+    # only words with a feature count
+    known = np.zeros(len(number), bool)
+    known[rows] = True
+    words, at = words[known[words]], at[known[words]]
+    pull = sparse / len(texts)
     share = share / share.sum()
-    theta, bias, size = np.zeros(len(names)), -4.0, np.full(len(names), 1e-8)
-    bias_size = 1e-8
-    for _ in range(rounds):
+    theta, bias = np.zeros(len(used)), -4.0
+    size, bias_size = np.full(len(used), 1e-8), 1e-8
+    for done in range(rounds):
+        if done == settle:
+            live = theta != 0
+            kept = live[cols]
+            rows, cols = rows[kept], (np.cumsum(live) - 1)[cols[kept]]
+            used, theta, size = used[live], theta[live], size[live]
+            known = np.zeros(len(number), bool)
+            known[rows] = True
+            words, at = words[known[words]], at[known[words]]
         u = np.bincount(rows, theta[cols], len(number))
         s = np.clip(bias + np.bincount(at, u[words], n), -30, 30)
         p = 1 / (1 + np.exp(-s))
         # log(1 - P) of the document is the sum of log(1 - p)
         rest = np.bincount(doc, np.log1p(-p), len(texts))
-        whole = -np.expm1(rest)
-        blame = np.where(labels == 1, np.exp(rest) / np.maximum(whole, 1e-12), -1.0) * share
+        blame = np.where(labels == 1, np.exp(rest) / np.maximum(-np.expm1(rest), 1e-12), -1.0) * share
         g = blame[doc] * p
-        step = np.bincount(cols, np.bincount(words, g[at], len(number))[rows], len(names)) - decay * theta / max(1, len(texts)) ** 0.5
+        step = np.bincount(cols, np.bincount(words, g[at], len(number))[rows], len(used))
         size += step * step
-        theta += rate * step / np.sqrt(size)
+        pace = rate / np.sqrt(size)
+        theta += pace * step
+        theta = np.sign(theta) * np.maximum(np.abs(theta) - pace * pull, 0)
         b = g.sum()
         bias_size += b * b
         bias += rate * b / math.sqrt(bias_size)
-    return Model(float(bias), {f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3})
+    weights = np.zeros(SIZE, np.float32)
+    weights[used] = theta
+    return Model(float(bias), weights)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -116,19 +137,19 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -> tup
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 3, sample: int = 4000) -> Model:
     texts, y, share = labelled(docs, labels, folds, sample)
     if len(set(y.tolist())) < 2:
-        return Model(0.0, {}, prior=float(y.mean()) if len(y) else 0.0)
+        return Model(0.0, np.zeros(SIZE, np.float32), prior=float(y.mean()) if len(y) else 0.0)
     return fit(texts, y, share)
 
 
 class _Weights(dict):
     """Summed weight of each word; forgets all at ``most`` words."""
 
-    def __init__(self, weights: dict[str, float], most: int = 300_000):
+    def __init__(self, weights: np.ndarray, most: int = 300_000):
         super().__init__()
         self.weights, self.most = weights, most
 
     def __missing__(self, word: str) -> float:
-        u = sum(self.weights.get(f, 0.0) for f in features(word))
+        u = float(sum(self.weights[f] for f in features(word)))
         if len(self) >= self.most:
             self.clear()
         if len(word) < 64:
@@ -152,7 +173,7 @@ def judge(text: str, model: Model, known: dict[str, float]) -> tuple[float, list
 def scored(docs: DataFrame, model: Model, offence: float = 0.5) -> DataFrame:
     """Per row of ``docs``: doc_id, score and offences, an array of (start, end, p) of the sentences with p >= ``offence``,
     in characters of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most as large as the sample's vocabulary
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE weights
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
