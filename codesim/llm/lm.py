@@ -319,6 +319,9 @@ def scores(docs: DataFrame, folds: int = 5, weight: float = 0.15, base: float =
                 context = np.empty(len(t.ids))
                 context[1:] = words[t.ids[:-1]]
                 context[starts] = documents
+                # a pair is filed only if seen twice, so where either part was seen less often the answer is false
+                most = np.minimum(context, words[t.ids])
+                both = np.where(most >= 2, np.minimum(both, most), 0.0)
                 p = weight * np.minimum(1.0, np.divide(both, context, out=np.zeros(len(both)), where=context > 0)) + (1 - weight) * (words[t.ids] + least) / whole
                 score[here] = np.add.reduceat(np.log10(p), starts)
             ids = pa.array(np.arange(uid, uid + n))

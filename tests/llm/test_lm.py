@@ -52,9 +52,10 @@ def test_exact_columns_and_model(docs_of, frequent):
     want = Counter((d, held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base(t), 6)) for d, t in rows)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     exact = {d: model(t) for d, t in rows}
-    for r in got:  # quantised counts and false positives move a token's probability a little
-        assert abs(r.score - exact[r.doc_id]) <= 0.12 * r.n_tokens
-        assert r.score < 0
+    for r in got:  # quantised counts move a token's probability a little, the odd false positive by more
+        assert abs(r.score - exact[r.doc_id]) <= 0.1 * r.n_tokens + 2
+    assert abs(sum(r.score - exact[r.doc_id] for r in got)) <= 0.03 * sum(r.n_tokens for r in got)
+    assert all(r.score < 0 for r in got)
     copies = [r for r in got if r.doc_id is not None and 1000 <= r.doc_id < 1060 and r.held_out]
     assert copies and all(r.score > r.base_score for r in copies)
 
