@@ -105,7 +105,8 @@ def jaccard(inter, n_a, n_b) -> Column:
 def term_pattern(term: str) -> str:
     """Whole-word, literal term in lower-cased text; word edges follow
     Python's Unicode ``\\w``."""
-    return f"(?iu)(?<!{P.WORD_CHAR})\\Q{term.lower()}\\E(?!{P.WORD_CHAR})"
+    literal = "".join(c if c.isalnum() or c in "_ " else f"\\x{{{ord(c):x}}}" for c in term.lower())
+    return f"(?iu)(?<!{P.WORD_CHAR}){literal}(?!{P.WORD_CHAR})"
 
 
 def term_count(lower_content, term: str) -> Column:
@@ -113,7 +114,7 @@ def term_count(lower_content, term: str) -> Column:
 
 
 def severity(sim) -> Column:
-    """Band of sim*100: >=80 critical, >=60 high, >=40 medium, else low."""
+    """Band of sim*100 (fixed values): >=80 critical, >=60 high, >=40 medium, else low."""
     pct = _c(sim) * 100
     return (F.when(pct >= 80, "critical").when(pct >= 60, "high")
             .when(pct >= 40, "medium").otherwise("low"))

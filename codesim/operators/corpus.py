@@ -29,13 +29,21 @@ def last_entry_wins(files: DataFrame) -> DataFrame:
             .agg(F.max_by("content", "entry_ordinal").alias("content")))
 
 
+def admitted(files: DataFrame, params: Params) -> DataFrame:
+    """The files that count, contents included.  ``params.scan_partitions`` deals them out anew,
+    for inputs whose reader cannot split them; 0 leaves them as read."""
+    f = last_entry_wins(admit(files, params))
+    return f.repartition(params.scan_partitions) if params.scan_partitions else f
+
+
 def strip_common_prefix(files: DataFrame, compat: bool = False) -> DataFrame:
     """Drop the first path component of every file of a submission when all of
     its admitted files share it (one level only).  Adds ``path``.
 
     The per-submission test is an aggregate (partial, a few bytes per
     submission) joined back, not a window: a submission holding a third of
-    all files must not land in one task."""
+    all files must not land in one task.  Give it narrow rows: what it is
+    given may be shuffled by submission."""
     c0 = T.first_component("raw_path")
     per_sub = (files.groupBy("submission_id")
                .agg(F.min(c0).alias("_c0_min"), F.max(c0).alias("_c0_max"))
@@ -44,21 +52,3 @@ def strip_common_prefix(files: DataFrame, compat: bool = False) -> DataFrame:
             .withColumn("path", F.when(F.col("_strip"), T.drop_first_component("raw_path", compat))
                         .otherwise(F.col("raw_path")))
             .drop("_strip"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan produced fewer
-    partitions than there are cores (a few large row groups); a scan that is
-    already split stays as it is, without a shuffle."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
-def prepare(files: DataFrame, params: Params) -> DataFrame:
-    """admit -> last entry wins -> strip prefix -> ext of the stripped path."""
-    f = last_entry_wins(spread(admit(files, params)))
-    f = strip_common_prefix(f, params.compat_strip)
-    return f.withColumn("ext", T.extension("path"))

@@ -1,9 +1,8 @@
-"""Fingerprints: tokens, k-shingle sets, the long-form shingle table and the
-per-file set sizes.
+"""Fingerprints: tokens, k-shingle sets, content classes, MinHash signatures and TF-IDF vectors.
 
-The shingle table ``(submission_id, path, h)`` holds one row per distinct
-shingle of a kept file; ``h`` is a 64-bit hash of (ext, shingle text), so an
-equi-join on ``h`` pairs only files of the same extension.
+A shingle key is a 64-bit hash of (ext, shingle text), so an equi-join on it pairs only files
+of the same extension; ``Params.exact_keys`` keys on the text instead, for corpora with so many
+distinct shingles that 64-bit collisions matter.
 """
 
 from __future__ import annotations
@@ -14,14 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..params import Params
 
+#: MinHash: 128 functions (a * x + b) mod 2^31 - 1 of a 31-bit hash x; a and b follow from the function's number.
+N_HASHES = 128
+PRIME = 2**31 - 1
 
-def kept_files(facts: DataFrame, params: Params) -> DataFrame:
-    """Kept files taking part in comparisons (opt-in token minimum)."""
-    kept = facts.where(F.col("is_kept"))
-    if params.min_tokens > 0:
-        n_tok = F.col("n_tokens") if "n_tokens" in facts.columns else F.size(T.tokens("norm"))
-        kept = kept.where(n_tok >= params.min_tokens)
-    return kept
+
+def hash_parameters(n: int = N_HASHES) -> list[tuple[int, int]]:
+    return [(1 + (1103515245 * (i + 1) + 12345) % (PRIME - 1), (69069 * (i + 1) * (i + 1) + 1) % PRIME) for i in range(n)]
 
 
 def content_class(ext, norm_hash) -> tuple[F.Column, F.Column]:
@@ -37,7 +35,7 @@ def content_class(ext, norm_hash) -> tuple[F.Column, F.Column]:
 def with_fingerprints(files: DataFrame, params: Params, on=None) -> DataFrame:
     """Add cls_hi, cls_lo, n_tokens, keys and n_shingles to files carrying
     ``norm``, ``norm_hash`` and ``ext``; rows where ``on`` is false get nulls
-    (no shingling of template or short files)."""
+    (no shingling of short files)."""
     k = params.shingle_size
     on = F.lit(True) if on is None else on
     hi, lo = content_class(F.col("ext"), F.col("norm_hash"))
@@ -53,24 +51,50 @@ def with_fingerprints(files: DataFrame, params: Params, on=None) -> DataFrame:
             .drop("_tok"))
 
 
-def shingle_sets(kept: DataFrame, params: Params) -> DataFrame:
-    """(submission_id, path, ext, cls_hi, cls_lo, keys array, n_shingles) per
-    kept file; (cls_hi, cls_lo) identifies its content class."""
-    f = with_fingerprints(kept, params)
-    return f.select("submission_id", "path", "ext", "cls_hi", "cls_lo", "keys", "n_shingles")
-
-
-def shingles(sets: DataFrame) -> DataFrame:
-    """Long form: one row per (file, distinct shingle key)."""
-    return (sets.select("submission_id", "path", T.explode_rows("keys").alias("h"))
-            .where(F.col("h").isNotNull()))
-
-
-def file_sizes(sets: DataFrame) -> DataFrame:
-    """(submission_id, path, ext, n_shingles), empty files included."""
-    return sets.select("submission_id", "path", "ext", "n_shingles")
-
-
-def shingle_df(sh: DataFrame) -> DataFrame:
-    """Document frequency of each shingle key (the inverted index, counted)."""
-    return sh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+def shingle_df(reps: DataFrame) -> DataFrame:
+    """Document frequency of each shingle key over files (the inverted index, counted)."""
+    from .similarity import class_shingles
+
+    return class_shingles(reps).groupBy("h").agg(F.sum("members").cast("long").alias("df"))
+
+
+def minhash_signatures(files: DataFrame, params: Params) -> DataFrame:
+    """(submission_id, path, ext, norm) to (submission_id, path, sig): 128 minima, null for a file without shingles.
+    The shingles of a file lie in one row, so the partial aggregate shrinks them to one row before the shuffle."""
+    toks = files.select("submission_id", "path", "ext", T.tokens("norm").alias("_tok"))
+    sh = toks.select("submission_id", "path", T.explode_rows(
+        F.transform(T.shingle_texts("_tok", params.shingle_size),
+                    lambda s: F.conv(F.substring(F.md5(F.concat_ws(" ", F.col("ext"), s)), 1, 8), 16, 10).cast("long").bitwiseAND(PRIME))).alias("x"))
+    minima = [F.min(F.pmod(F.col("x") * a + b, F.lit(PRIME))) for a, b in hash_parameters()]
+    return sh.groupBy("submission_id", "path").agg(F.array(*minima).alias("m")).select(
+        "submission_id", "path", F.when(F.element_at("m", 1).isNotNull(), F.col("m")).alias("sig"))
+
+
+def minhash_estimate(a, b) -> F.Column:
+    """Share of equal minima."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return same / F.lit(float(N_HASHES))
+
+
+def tfidf_cosine(files: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id_a, id_b, cosine) of the given submission pairs: cosine of the TF-IDF vectors of all tokens of their
+    ``kept`` (submission_id, raw_path) files; tf is the count, idf = ln((1 + N) / (1 + df)) + 1 over the N submissions that have
+    tokens.  Tokens are counted by file where ``files`` (submission_id, raw_path, norm) are read; only tokens of submissions in ``pairs``
+    are joined.  A pair without common token gets 0.0."""
+    by_file = (files.select("submission_id", "raw_path", T.explode_rows(T.tokens("norm")).alias("token")).where(F.col("token").isNotNull())
+               .groupBy("submission_id", "raw_path", "token").agg(F.count(F.lit(1)).alias("c")))
+    tf = by_file.join(kept, ["submission_id", "raw_path"], "left_semi").groupBy("submission_id", "token").agg(F.sum("c").alias("tf"))
+    n = tf.agg(F.countDistinct("submission_id")).scalar()
+    idf = (tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+           .select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("submission_id")).distinct()
+    w = (tf.join(ids, "submission_id", "left_semi").join(idf, "token")
+         .select("submission_id", "token", (F.col("tf") * F.col("idf")).alias("w")))
+    norms = w.groupBy("submission_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    a = w.select(F.col("submission_id").alias("id_a"), "token", F.col("w").alias("w_a")).join(pairs.select("id_a", "id_b"), "id_a")
+    b = w.select(F.col("submission_id").alias("id_b"), "token", F.col("w").alias("w_b"))
+    dot = a.join(b, ["id_b", "token"]).groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
+    na = norms.select(F.col("submission_id").alias("id_a"), F.col("norm").alias("norm_a"))
+    nb = norms.select(F.col("submission_id").alias("id_b"), F.col("norm").alias("norm_b"))
+    out = pairs.select("id_a", "id_b").join(dot, ["id_a", "id_b"], "left").join(na, "id_a", "left").join(nb, "id_b", "left")
+    return out.select("id_a", "id_b", F.coalesce(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), F.lit(0.0)).alias("cosine"))

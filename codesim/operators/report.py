@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..params import Params
+from .blocks import LIMIT, self_pairs
 
-EPS = 1e-9
 
 
 def neumaier_sum(arr) -> F.Column:
@@ -63,13 +63,12 @@ def overall_from_positive(pos: DataFrame, common: DataFrame, top_n: int,
     return j.select("id_a", "id_b", (neumaier_sum(F.col("top")) / denom).alias("overall"))
 
 
-def all_submission_pairs(subs: DataFrame) -> DataFrame:
-    """Every (id_a, id_b), id_a < id_b, over dense ids 0..n-1, generated per
-    submission with ``sequence`` (no cross join)."""
-    last = subs.agg(F.max("submission_id")).scalar()
-    return (subs.where(F.col("submission_id") < last)
-            .select(F.col("submission_id").alias("id_a"),
-                    F.explode(F.sequence(F.col("submission_id") + 1, last)).alias("id_b")))
+def all_submission_pairs(subs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Every (id_a, id_b), id_a < id_b, for any unique ids: an equi-join of blocks of at most about
+    ``limit`` submissions, no cross join."""
+    rows = subs.select(F.lit(0).alias("_all"), "submission_id")
+    return self_pairs(rows, ["_all"], ["submission_id"], [], limit).select(
+        F.col("submission_id_1").alias("id_a"), F.col("submission_id_2").alias("id_b"))
 
 
 def name_pairs(pairs: DataFrame, subs: DataFrame) -> DataFrame:
@@ -134,20 +133,19 @@ def term_counts(kept: DataFrame, subs: DataFrame, params: Params) -> DataFrame:
 
 def line_overlap(flags: DataFrame, files: DataFrame) -> DataFrame:
     """Bag overlap of the lines of each flagged file pair: common, only_a,
-    only_b (order-free; stands in for a side-by-side diff).  Contents are
-    joined only to the already limited flagged rows."""
+    only_b (order-free; stands in for a side-by-side diff).  ``files`` are the flagged
+    files (submission_id, path, content); their lines are split and counted once per file."""
     key = ["id_a", "id_b", "path_a", "path_b"]
-    fa = files.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"),
-                      F.col("content").alias("content_a"))
-    fb = files.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"),
-                      F.col("content").alias("content_b"))
-    j = flags.select(*key).join(fa, ["id_a", "path_a"]).join(fb, ["id_b", "path_b"])
-    la = j.select(*key, T.explode_rows(T.split_lines("content_a")).alias("line"),
-                  F.lit(1).alias("ca"), F.lit(0).alias("cb"))
-    lb = j.select(*key, T.explode_rows(T.split_lines("content_b")).alias("line"),
-                  F.lit(0).alias("ca"), F.lit(1).alias("cb"))
-    per_line = (la.unionByName(lb).where(F.col("line").isNotNull()).groupBy(*key, "line")
-                .agg(F.sum("ca").alias("a"), F.sum("cb").alias("b")))
+    lines = (files.select("submission_id", "path", T.explode_rows(T.split_lines("content")).alias("line"))
+             .where(F.col("line").isNotNull()).groupBy("submission_id", "path", "line").agg(F.count(F.lit(1)).alias("c")))
+
+    def side(s: str) -> DataFrame:
+        own = lines.select(F.col("submission_id").alias(f"id_{s}"), F.col("path").alias(f"path_{s}"), "line", "c")
+        zero = F.lit(0).cast("long")
+        return flags.select(*key).join(own, [f"id_{s}", f"path_{s}"]).select(
+            *key, "line", (F.col("c") if s == "a" else zero).alias("ca"), (F.col("c") if s == "b" else zero).alias("cb"))
+
+    per_line = side("a").unionByName(side("b")).groupBy(*key, "line").agg(F.sum("ca").alias("a"), F.sum("cb").alias("b"))
     out = per_line.groupBy(*key).agg(
         F.sum(F.least("a", "b")).cast("long").alias("common"),
         F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).cast("long").alias("only_a"),

@@ -1,4 +1,4 @@
-"""File-pair similarity between submissions (exact Jaccard of shingle sets).
+"""File-pair similarity between submissions (Jaccard of shingle sets).
 
 Orientation is always ``id_a < id_b`` (input order).  Two kinds of pairs feed
 the overall score:
@@ -6,190 +6,110 @@ the overall score:
 - *same-path*: every common path of two submissions, zeros included;
 - *cross-path*: different paths of the same extension sharing >= 1 shingle.
 
-Any pair sharing a shingle is found by one equi-join of the shingle table
-with itself on ``h``; intersection sizes are partially aggregated right after
-the join, so a hot shingle's pairs are combined inside the join task.  AQE's
-skew-join split spreads a hot ``h`` over several tasks.
+Files with identical normalised content (same extension) form one *content
+class*.  Classes meet in one self-join of their shingles; class pairs are then
+expanded to the file pairs of their members.  Every self-join goes through
+``blocks.self_pairs``, which cuts hot keys (a shingle in every class, a class
+with very many copies, a very common path) into blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .blocks import LIMIT, blocked, self_pairs
 
 EPS = 1e-9
 PAIR = ["id_a", "path_a", "id_b", "path_b"]
+CLS = ["cls_hi", "cls_lo"]
+CLS_PAIR = ["cls_hi_1", "cls_lo_1", "cls_hi_2", "cls_lo_2"]
 
 
-def _side(sh: DataFrame, s: str) -> DataFrame:
-    return sh.select(F.col("submission_id").alias(f"id_{s}"), F.col("path").alias(f"path_{s}"),
-                     F.col("h"))
+def class_reps(sets: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One row per content class of ``sets``: (cls_hi, cls_lo, n, ext, members, keys).
+    ``keyed`` has the key array of every scanned file; ``first`` is partially
+    aggregated, so one array per class and map task crosses the shuffle,
+    however many copies the class has."""
+    members = sets.groupBy(*CLS).agg(F.first("n_shingles").alias("n"), F.first("ext").alias("ext"),
+                                     F.count(F.lit(1)).alias("members"))
+    arrays = keyed.where(F.col("keys").isNotNull()).groupBy(*CLS).agg(F.first("keys").alias("keys"))
+    return members.join(arrays, CLS)
 
 
-def shared_shingle_counts(sh: DataFrame) -> DataFrame:
-    """(id_a, path_a, id_b, path_b, inter) for every file pair of different
-    submissions sharing at least one shingle (same or different path).
+def class_shingles(reps: DataFrame) -> DataFrame:
+    return (reps.select(*CLS, "n", "members", "ext", T.explode_rows("keys").alias("h"))
+            .where(F.col("h").isNotNull()))
 
-    Both sides come from one shuffle of the shingle table on ``h`` (Spark
-    reuses it).  Shingles held by a single file are not filtered out first:
-    that needs a document-frequency aggregate and a semi-join over the same
-    shuffle, while the sort-merge join passes them at linear cost (measured
-    ~40% slower with the filter)."""
-    a, b = _side(sh, "a"), _side(sh, "b")
-    return (a.join(b, "h").where(F.col("id_a") < F.col("id_b"))
-            .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("inter")))
 
+def across_class_counts(reps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Class pairs that share a shingle, with sizes, members and ``inter``."""
+    pairs = self_pairs(class_shingles(reps), ["h"], CLS, ["n", "members", "ext"], limit)
+    return (pairs.groupBy(*CLS_PAIR, "n_1", "n_2", "members_1", "members_2", F.col("ext_1").alias("ext"))
+            .agg(F.count(F.lit(1)).alias("inter")))
 
-CLS = ["cls_hi", "cls_lo"]
 
+def within_class_pairs(sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """File pairs of copies (one class, different submissions); empty files share nothing here."""
+    full = sets.where(F.col("n_shingles") > 0)
+    p = self_pairs(full, CLS, ["submission_id", "path"], ["n_shingles", "ext"], limit)
+    n = F.col("n_shingles_1")
+    return (p.where(F.col("submission_id_1") < F.col("submission_id_2"))
+            .select(F.col("submission_id_1").alias("id_a"), F.col("path_1").alias("path_a"),
+                    F.col("submission_id_2").alias("id_b"), F.col("path_2").alias("path_b"),
+                    n.cast("long").alias("inter"), F.col("ext_1").alias("ext"), n.alias("n_a"), n.alias("n_b")))
+
+
+def expand_class_pairs(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs of different classes to the file pairs of their members in different submissions, oriented
+    id_a < id_b: (id_a, path_a, id_b, path_b, inter, ext, n_a, n_b).  Output-sized: every row is a file pair of the
+    result.  The members of a large class are dealt out by blocks."""
+    seats = blocked(sets.select(*CLS, "submission_id", "path"), CLS, ["submission_id", "path"], limit).drop("_k")
+
+    def side(s: str, id_: str) -> DataFrame:
+        return seats.select(*[F.col(c).alias(f"{c}_{s}") for c in CLS], F.col("_t").alias(f"_t{s}"),
+                            F.col("submission_id").alias(f"id_{id_}"), F.col("path").alias(f"path_{id_}"))
 
-def class_reps(sets: DataFrame) -> DataFrame:
-    """One row per content class: (cls_hi, cls_lo, keys, n, ext, members).
-    ``first`` is partially aggregated: one key array per class per map task
-    crosses the shuffle, however many copies the class has."""
-    return sets.groupBy(*CLS).agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"),
-                                  F.first("ext").alias("ext"), F.count(F.lit(1)).alias("members"))
-
-
-def _cls_lt():
-    return (F.col("hi_1") < F.col("hi_2")) | ((F.col("hi_1") == F.col("hi_2")) & (F.col("lo_1") < F.col("lo_2")))
-
-
-def _within_class_pairs(reps: DataFrame) -> DataFrame:
-    """A class paired with itself (copies in different files): the full set
-    is the intersection.  Empty classes share nothing (same-path empties are
-    handled separately)."""
-    return (reps.where((F.col("members") > 1) & (F.col("n") > 0))
-            .select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
-                    "ext", F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
-                    F.col("n").alias("n_2"), F.col("n").alias("inter")))
-
-
-def expand_class_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Class pairs (hi_1, lo_1, n_1, ext, hi_2, lo_2, n_2, inter), class 1 <=
-    class 2, to the file pairs of their members in different submissions,
-    oriented id_a < id_b: (id_a, path_a, id_b, path_b, inter, ext, n_a, n_b).
-    Output-sized: every row is a file pair of the result."""
-    m1 = sets.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"),
-                     F.col("submission_id").alias("id_x"), F.col("path").alias("path_x"))
-    m2 = sets.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
-                     F.col("submission_id").alias("id_y"), F.col("path").alias("path_y"))
-    same_cls = (F.col("hi_1") == F.col("hi_2")) & (F.col("lo_1") == F.col("lo_2"))
-    fp = (pairs.join(m1, ["hi_1", "lo_1"]).join(m2, ["hi_2", "lo_2"])
-          .where(F.when(same_cls, F.col("id_x") < F.col("id_y")).otherwise(F.col("id_x") != F.col("id_y"))))
+    def blocks(s: str) -> F.Column:
+        m = F.col(f"members_{s}")
+        return F.explode_outer(F.sequence(F.lit(0), F.when(m > limit, F.ceil(m / limit) - 1).otherwise(0).cast("int")))
+
+    p = pairs.withColumn("_t1", blocks("1")).join(side("1", "x"), ["cls_hi_1", "cls_lo_1", "_t1"])
+    p = p.withColumn("_t2", blocks("2")).join(side("2", "y"), ["cls_hi_2", "cls_lo_2", "_t2"])
     x_first = F.col("id_x") < F.col("id_y")
 
     def pick(x, y):
         return F.when(x_first, F.col(x)).otherwise(F.col(y))
 
-    return fp.select(pick("id_x", "id_y").alias("id_a"), pick("path_x", "path_y").alias("path_a"),
-                     pick("id_y", "id_x").alias("id_b"), pick("path_y", "path_x").alias("path_b"),
-                     F.col("inter").cast("long").alias("inter"), "ext",
-                     pick("n_1", "n_2").alias("n_a"), pick("n_2", "n_1").alias("n_b"))
-
-
-def shared_shingle_counts_by_class(sets: DataFrame) -> DataFrame:
-    """``shared_shingle_counts`` with copies collapsed first, plus the set
-    sizes and extension of both files (so no size lookup is needed later).
-
-    Files with identical normalised content (same extension) form one content
-    class and enter the shingle self-join once: d copies of a file cost one
-    class instead of d^2 x (shingles per file) join rows.  Class pairs are
-    then expanded to the file pairs of their members."""
-    reps = class_reps(sets)
-    csh = reps.select(*CLS, "n", "ext", T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
-    a = csh.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_1"),
-                   "ext", "h")
-    b = csh.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("n").alias("n_2"), "h")
-    across = (a.join(b, "h").where(_cls_lt()).groupBy("hi_1", "lo_1", "n_1", "ext", "hi_2", "lo_2", "n_2")
-              .agg(F.count(F.lit(1)).alias("inter")))
-    return expand_class_pairs(across.unionByName(_within_class_pairs(reps)), sets)
-
-
-def join_sizes(sets: DataFrame, sub_pairs: DataFrame) -> tuple[int, int]:
-    """Rows each phase-2 strategy would join, as two scalars: the global class
-    self-join emits sum(df^2) over shingle keys (df = classes holding the
-    key); routing sends each candidate pair's submission-A shingles."""
-    csh = class_reps(sets).select(T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
-    global_rows = (csh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-                   .agg(F.sum(F.col("df") * F.col("df")).alias("s")).first()["s"] or 0)
-    per_sub = sets.groupBy(F.col("submission_id").alias("id_a")).agg(F.sum("n_shingles").alias("s"))
-    routed_rows = (sub_pairs.select("id_a").join(per_sub, "id_a").agg(F.sum("s").alias("s")).first()["s"] or 0)
-    return int(global_rows), int(routed_rows)
-
-
-def shared_shingle_counts_within(sh: DataFrame, sub_pairs: DataFrame) -> DataFrame:
-    """Same as ``shared_shingle_counts`` restricted to the submission pairs
-    (id_a, id_b) given.  Each shingle of A is routed to A's partners and
-    joined on (partner, h): a group is bounded by one submission's files
-    holding that shingle, never by the corpus."""
-    a = _side(sh, "a").join(sub_pairs.select("id_a", "id_b"), "id_a")
-    b = _side(sh, "b")
-    return (a.join(b, ["id_b", "h"])
-            .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("inter")))
-
-
-def shared_shingle_counts_within_by_class(sets: DataFrame, sub_pairs: DataFrame) -> DataFrame:
-    """``shared_shingle_counts_within`` on content classes, with set sizes.
-
-    Each class of submission A is routed once to each distinct partner B of
-    A (a class held by many submissions goes to the union of their
-    partners once, not once per pair); its shingles meet B's class shingles
-    on (B, h); the per-(B, class, class) counts are then expanded to the
-    member files of each candidate pair (A, B)."""
-    cls = CLS
-    reps = class_reps(sets)
-    owned = sets.select("submission_id", *cls).distinct()
-    pairs = sub_pairs.select("id_a", "id_b")
-    # (partner B, class of some A paired with B)
-    routed = (owned.withColumnRenamed("submission_id", "id_a").join(pairs, "id_a")
-              .select("id_b", F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1")).distinct())
-    ksh = reps.select(*cls, T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
-    left = routed.join(ksh.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), "h"),
-                       ["hi_1", "lo_1"])
-    right = (owned.join(ksh, cls)
-             .select(F.col("submission_id").alias("id_b"), F.col("cls_hi").alias("hi_2"),
-                     F.col("cls_lo").alias("lo_2"), "h"))
-    cc = (left.join(right, ["id_b", "h"])
-          .groupBy("id_b", "hi_1", "lo_1", "hi_2", "lo_2").agg(F.count(F.lit(1)).alias("inter")))
-    size1 = reps.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("n").alias("n_a"), "ext")
-    size2 = reps.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("n").alias("n_b"))
-    cc = cc.join(size1, ["hi_1", "lo_1"]).join(size2, ["hi_2", "lo_2"])
-    ma = sets.select(F.col("submission_id").alias("id_a"), F.col("cls_hi").alias("hi_1"),
-                     F.col("cls_lo").alias("lo_1"), F.col("path").alias("path_a"))
-    mb = sets.select(F.col("submission_id").alias("id_b"), F.col("cls_hi").alias("hi_2"),
-                     F.col("cls_lo").alias("lo_2"), F.col("path").alias("path_b"))
-    fp = pairs.join(ma, "id_a").join(cc, ["id_b", "hi_1", "lo_1"]).join(mb, ["id_b", "hi_2", "lo_2"])
-    return fp.select("id_a", "path_a", "id_b", "path_b", F.col("inter").cast("long").alias("inter"),
-                     "ext", "n_a", "n_b")
-
-
-def with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    sa = sizes.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"),
-                      F.col("ext"), F.col("n_shingles").alias("n_a"))
-    sb = sizes.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"),
-                      F.col("n_shingles").alias("n_b"))
-    return pairs.join(sa, ["id_a", "path_a"]).join(sb, ["id_b", "path_b"])
-
-
-def positive_similarities(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Counted pairs -> (id_a, id_b, path_a, path_b, ext, kind, inter, n_a, n_b, similarity).
-    Set sizes are looked up unless the counts already carry them."""
-    p = counts if "n_a" in counts.columns else with_sizes(counts, sizes)
-    return p.select("id_a", "id_b", "path_a", "path_b", "ext",
-                    F.when(F.col("path_a") == F.col("path_b"), "same").otherwise("cross").alias("kind"),
-                    F.col("inter").cast("long").alias("inter"), "n_a", "n_b",
-                    T.jaccard("inter", "n_a", "n_b").alias("similarity"))
-
-
-def same_path_pairs(sizes: DataFrame) -> DataFrame:
+    return p.where(F.col("id_x") != F.col("id_y")).select(
+        pick("id_x", "id_y").alias("id_a"), pick("path_x", "path_y").alias("path_a"),
+        pick("id_y", "id_x").alias("id_b"), pick("path_y", "path_x").alias("path_b"),
+        F.col("inter").cast("long").alias("inter"), "ext",
+        pick("n_1", "n_2").alias("n_a"), pick("n_2", "n_1").alias("n_b"))
+
+
+def shared_shingle_counts(reps: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(id_a, path_a, id_b, path_b, inter, ext, n_a, n_b) for every file pair of
+    different submissions that shares a shingle (same or different path)."""
+    across = expand_class_pairs(across_class_counts(reps, limit), sets, limit)
+    return across.unionByName(within_class_pairs(sets, limit))
+
+
+def positive_similarities(counts: DataFrame) -> DataFrame:
+    """Counted pairs -> (id_a, id_b, path_a, path_b, ext, kind, inter, n_a, n_b, similarity)."""
+    return counts.select("id_a", "id_b", "path_a", "path_b", "ext",
+                         F.when(F.col("path_a") == F.col("path_b"), "same").otherwise("cross").alias("kind"),
+                         F.col("inter").cast("long").alias("inter"), "n_a", "n_b",
+                         T.jaccard("inter", "n_a", "n_b").alias("similarity"))
+
+
+def same_path_pairs(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Every common path of two submissions: (id_a, id_b, path, ext, n_a, n_b).
     Output is one row per (path, submission pair) by definition."""
-    a = sizes.select(F.col("submission_id").alias("id_a"), "path", "ext", F.col("n_shingles").alias("n_a"))
-    b = sizes.select(F.col("submission_id").alias("id_b"), "path", F.col("n_shingles").alias("n_b"))
-    return a.join(b, "path").where(F.col("id_a") < F.col("id_b"))
+    p = self_pairs(sizes, ["path"], ["submission_id"], ["ext", "n_shingles"], limit)
+    return p.select(F.col("submission_id_1").alias("id_a"), F.col("submission_id_2").alias("id_b"), "path",
+                    F.col("ext_1").alias("ext"), F.col("n_shingles_1").alias("n_a"), F.col("n_shingles_2").alias("n_b"))
 
 
 def same_path_similarities(sizes: DataFrame, counts: DataFrame) -> DataFrame:
@@ -208,31 +128,34 @@ def same_path_similarities(sizes: DataFrame, counts: DataFrame) -> DataFrame:
 def empty_same_path_pairs(sizes: DataFrame) -> DataFrame:
     """Both-empty common paths (similarity 1.0): they share no shingle, so the
     shingle join cannot see them.  Only empty files take part."""
-    empty = sizes.where(F.col("n_shingles") == 0)
-    sp = same_path_pairs(empty)
+    sp = same_path_pairs(sizes.where(F.col("n_shingles") == 0))
     return sp.select("id_a", "id_b", F.col("path").alias("path_a"), F.col("path").alias("path_b"), "ext",
                      F.lit("same").alias("kind"), F.lit(0).cast("long").alias("inter"), "n_a", "n_b",
                      F.lit(1.0).alias("similarity"))
 
 
+def same_path_at_least(sizes: DataFrame, counts: DataFrame, tau: float) -> DataFrame:
+    """Same-path similarities >= tau.  Above zero only counted pairs and both-empty ones can
+    reach it, so common paths that share nothing are never paired."""
+    if tau <= 0:
+        return same_path_similarities(sizes, counts)
+    same = positive_similarities(counts.where(F.col("path_a") == F.col("path_b")))
+    return same.unionByName(empty_same_path_pairs(sizes)).where(F.col("similarity") >= tau)
+
+
 def all_file_similarities(sizes: DataFrame, counts: DataFrame) -> DataFrame:
     """Union of the same-path branch (zeros included) and cross-path pairs."""
-    cross = positive_similarities(counts.where(F.col("path_a") != F.col("path_b")), sizes)
+    cross = positive_similarities(counts.where(F.col("path_a") != F.col("path_b")))
     return same_path_similarities(sizes, counts).unionByName(cross)
 
 
-def common_path_counts(sizes: DataFrame, sub_pairs: DataFrame | None = None) -> DataFrame:
-    """(id_a, id_b, n_common): number of common kept paths per submission pair;
-    restricted to ``sub_pairs`` when given (a keyed lookup per pair instead
-    of all pairs of a path group)."""
-    if sub_pairs is None:
-        sp = same_path_pairs(sizes)
-    else:
-        a = (sizes.select(F.col("submission_id").alias("id_a"), "path")
-             .join(sub_pairs.select("id_a", "id_b"), "id_a"))
-        b = sizes.select(F.col("submission_id").alias("id_b"), "path")
-        sp = a.join(b, ["id_b", "path"])
-    return sp.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_common"))
+def common_path_counts(sizes: DataFrame, sub_pairs: DataFrame) -> DataFrame:
+    """(id_a, id_b, n_common): number of common kept paths of each given submission pair
+    (a keyed lookup per pair instead of all pairs of a path group)."""
+    a = (sizes.select(F.col("submission_id").alias("id_a"), "path")
+         .join(sub_pairs.select("id_a", "id_b"), "id_a"))
+    b = sizes.select(F.col("submission_id").alias("id_b"), "path")
+    return a.join(b, ["id_b", "path"]).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_common"))
 
 
 # ---------------------------------------------------------------------------
@@ -245,58 +168,56 @@ def prefix_length(n, tau: float):
     return n - F.ceil(F.lit(tau) * n - EPS) + 1
 
 
-def class_pairs_at_least(reps: DataFrame, tau: float) -> DataFrame:
-    """Class pairs with Jaccard >= tau > 0 (class 1 < class 2, plus each
-    multi-member class with itself), by the prefix filter: each class keeps
+def class_pairs_at_least(reps: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
+    """Pairs of different classes with Jaccard >= tau > 0, by the prefix filter: each class keeps
     only its rarest shingles (global order by document frequency over
     classes, then key), candidates must share a prefix shingle and pass the
     length filter, and each candidate is verified once by intersecting the
     two key arrays.  Hot shingles sit at the end of the order and rarely
-    enter a prefix; copies are one class, so they never multiply."""
+    enter a prefix; copies are one class, so they never multiply.  Candidates are
+    taken with a little slack; the returned rows pass the exact test."""
     if tau <= 0:
         raise ValueError("tau must be > 0")
-    from pyspark.sql import Window
-    sh = reps.select(*CLS, "n", T.explode_rows("keys").alias("h")).where(F.col("h").isNotNull())
+    sh = class_shingles(reps)
     df = sh.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy(*CLS).orderBy("df", "h")
     prefix = (sh.join(df, "h").withColumn("_pos", F.row_number().over(w))
               .where(F.col("_pos") <= prefix_length(F.col("n"), tau)).select(*CLS, "h", "n"))
-    pa = prefix.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), "h", F.col("n").alias("n_1"))
-    pb = prefix.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), "h", F.col("n").alias("n_2"))
     lo = F.lit(tau) * F.col("n_1") - EPS
     hi = F.col("n_1") / F.lit(tau) + EPS
-    cand = (pa.join(pb, "h").where(_cls_lt() & (F.col("n_2") >= lo) & (F.col("n_2") <= hi))
-            .select("hi_1", "lo_1", "hi_2", "lo_2").distinct())
-    k1 = reps.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"), F.col("keys").alias("k1"),
-                     F.col("n").alias("n_1"), "ext")
-    k2 = reps.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"), F.col("keys").alias("k2"),
-                     F.col("n").alias("n_2"))
+    cand = (self_pairs(prefix, ["h"], CLS, ["n"], limit).where((F.col("n_2") >= lo) & (F.col("n_2") <= hi))
+            .select(*CLS_PAIR).distinct())
+
+    def side(s: str) -> DataFrame:
+        return reps.select(*[F.col(c).alias(f"{c}_{s}") for c in CLS], F.col("keys").alias(f"k{s}"),
+                           F.col("n").alias(f"n_{s}"), F.col("members").alias(f"members_{s}"), F.col("ext").alias(f"ext_{s}"))
+
     inter = F.size(F.array_intersect("k1", "k2")).cast("long")
-    v = (cand.join(k1, ["hi_1", "lo_1"]).join(k2, ["hi_2", "lo_2"])
-         .select("hi_1", "lo_1", "n_1", "ext", "hi_2", "lo_2", "n_2", inter.alias("inter")))
-    v = v.where(T.jaccard("inter", "n_1", "n_2") >= F.lit(tau) - EPS)
-    return v.unionByName(_within_class_pairs(reps))
+    v = (cand.join(side("1"), ["cls_hi_1", "cls_lo_1"]).join(side("2"), ["cls_hi_2", "cls_lo_2"])
+         .select(*CLS_PAIR, "n_1", "n_2", "members_1", "members_2", F.col("ext_1").alias("ext"), inter.alias("inter")))
+    return v.where(T.jaccard("inter", "n_1", "n_2") >= F.lit(tau))
 
 
-def pairs_at_least(sets: DataFrame, tau: float) -> DataFrame:
-    """Exact file pairs (any path, different submissions) with Jaccard >= tau,
+def pairs_at_least(reps: DataFrame, sets: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
+    """File pairs (any path, different submissions) with Jaccard >= tau,
     via the class-level prefix filter and the member expansion."""
-    fp = expand_class_pairs(class_pairs_at_least(class_reps(sets), tau), sets)
-    return positive_similarities(fp, None)
+    found = expand_class_pairs(class_pairs_at_least(reps, tau, limit), sets, limit)
+    copies = within_class_pairs(sets, limit)
+    return positive_similarities(found.unionByName(copies)).where(F.col("similarity") >= F.lit(tau))
 
 
-def candidate_submission_pairs(sets: DataFrame, sizes: DataFrame, tau: float) -> DataFrame:
-    """Submission pairs that contain a file pair with similarity >= tau
+def candidate_submission_pairs(reps: DataFrame, sets: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
+    """Submission pairs that contain a file pair with similarity >= tau, less a rounding slack
     (both-empty common paths count as 1.0).  Any pair whose top-k mean
     reaches tau is among them."""
-    cp = class_pairs_at_least(class_reps(sets), tau).select("hi_1", "lo_1", "hi_2", "lo_2")
-    owner = sets.select(*CLS, "submission_id").distinct()
-    s1 = owner.select(F.col("cls_hi").alias("hi_1"), F.col("cls_lo").alias("lo_1"),
-                      F.col("submission_id").alias("id_x"))
-    s2 = owner.select(F.col("cls_hi").alias("hi_2"), F.col("cls_lo").alias("lo_2"),
-                      F.col("submission_id").alias("id_y"))
-    hit = (cp.join(s1, ["hi_1", "lo_1"]).join(s2, ["hi_2", "lo_2"]).where(F.col("id_x") != F.col("id_y"))
-           .select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")))
-    empty = empty_same_path_pairs(sizes).select("id_a", "id_b")
-    return hit.unionByName(empty).distinct()
+    found = pairs_at_least(reps, sets, max(tau - EPS, tau / 2), limit).select("id_a", "id_b")
+    return found.unionByName(empty_same_path_pairs(sets).select("id_a", "id_b")).distinct()
+
 
+def counts_of_candidates(reps: DataFrame, sets: DataFrame, candidates: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``shared_shingle_counts`` of the given submission pairs.  Files of submissions without
+    a candidate, and classes without such files, leave before the shingle join."""
+    ids = candidates.select(F.explode(F.array("id_a", "id_b")).alias("submission_id")).distinct()
+    some = sets.join(ids, "submission_id", "left_semi")
+    held = reps.drop("members").join(some.groupBy(*CLS).agg(F.count(F.lit(1)).alias("members")), CLS)
+    return shared_shingle_counts(held, some, limit).join(candidates, ["id_a", "id_b"], "left_semi")

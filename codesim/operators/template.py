@@ -16,30 +16,28 @@ from . import corpus
 
 
 def template_hashes(template: DataFrame | None, params: Params, spark=None) -> DataFrame:
-    """Distinct normalised-content hashes of the admitted template files.
-    The extension of the original name picks the normaliser; no prefix strip,
+    """Distinct normalised-content hashes of all admitted template entries, repeated names
+    included.  The extension of the original name picks the normaliser; no prefix strip,
     no size filter.  ``None`` gives an empty table (subtracts nothing)."""
     if template is None:
         return spark.createDataFrame([], "norm_hash string")
     t = corpus.admit(template, params)
-    if "entry_ordinal" in t.columns:
-        t = corpus.last_entry_wins(t.withColumn("submission_id", F.lit(0)))
     ext = T.extension("raw_path")
     return t.select(T.norm_hash(T.normalize(F.col("content"), ext)).alias("norm_hash")).distinct()
 
 
-def file_facts(files: DataFrame, hashes: DataFrame, params: Params) -> DataFrame:
-    """Per prepared file: norm, norm_hash, n_newlines, is_template, is_kept.
+def normalized(files: DataFrame) -> DataFrame:
+    """Files (with ``ext`` and ``content``) plus norm, norm_hash and n_newlines, all in the stage that reads them."""
+    return (files.withColumn("norm", T.normalize(F.col("content"), F.col("ext")))
+            .withColumn("norm_hash", T.norm_hash(F.col("norm")))
+            .withColumn("n_newlines", T.newline_count("content")))
 
-    The template match is a left join against the distinct hash table; AQE
-    turns it into a broadcast only when the measured hash table is small.
-    """
-    f = (files.withColumn("norm", T.normalize(F.col("content"), F.col("ext")))
-         .withColumn("norm_hash", T.norm_hash(F.col("norm")))
-         .withColumn("n_newlines", T.newline_count("content")))
-    marked = hashes.select("norm_hash", F.lit(True).alias("_tpl"))
-    f = f.join(marked, "norm_hash", "left")
+
+def marked(files: DataFrame, hashes: DataFrame, params: Params) -> DataFrame:
+    """Narrow file rows (norm_hash, n_newlines, ..) plus is_template and is_kept: a left join against the
+    distinct hash table.  Contents must be gone by now: what it is given may be shuffled by hash."""
     is_template = F.coalesce(F.col("_tpl"), F.lit(False))
+    f = files.join(hashes.select("norm_hash", F.lit(True).alias("_tpl")), "norm_hash", "left")
     return (f.withColumn("is_template", is_template)
             .withColumn("is_kept", ~is_template & (F.col("n_newlines") >= params.min_lines))
             .drop("_tpl"))

@@ -7,7 +7,7 @@ bundles and validates them once so the operators can trust their inputs.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the reference's defaults.
 DEFAULT_ALLOWED_EXTS = ("py", "java", "js", "ts", "cpp", "c", "cs", "sql")
@@ -19,12 +19,6 @@ DEFAULT_TERMS = ("any", "exception", "todo")
 DEFAULT_MIN_LINES = 10
 DEFAULT_MAX_FLAGGED = 20
 DEFAULT_TOP_N = 5
-# automatic pruning from this many submissions on.  Measured on views of
-# the documents table at sf0.1, the plain class-level self-join was faster
-# at 18 submissions (about 1.5x, thresholds 0.1/0.4/0.7) and at 200
-# submissions (10.5 s vs 16 s at 0.4); pruning guards very large cohorts,
-# where the plain join's sum of squared shingle frequencies explodes.
-PRUNE_MIN_SUBMISSIONS = 1000
 DEFAULT_EXCLUDED_DIRS = (
     "dist-electron", "dist", "public", "__pycache__", ".git", "node_modules",
     "build", "target", "out", "bin", "obj", "venv", "env", ".idea", ".vscode",
@@ -51,30 +45,25 @@ class Params:
     compat_strip: bool = False
     # join on the shingle text instead of its 64-bit hash
     exact_keys: bool = False
-    # lossless pruning of submission pairs (prefix + length filter):
-    # None = automatic (on from PRUNE_MIN_SUBMISSIONS submissions)
-    prune: bool | None = None
-    extra: dict = field(default_factory=dict, compare=False)
+    # lossless pruning of submission pairs (prefix + length filter); changes the plan, never the result
+    prune: bool = False
+    # physical knobs, without influence on results: rows of a join key that meet in one task,
+    # keys up to which a counted list is broadcast, partitions to deal the input out to (0: as read)
+    block_rows: int = 2000
+    broadcast_rows: int = 100_000
+    scan_partitions: int = 0
 
     def __post_init__(self):
         if self.shingle_size < 1:
             raise ValueError("shingle_size must be >= 1")
         if self.top_n < 1 or self.max_flagged < 0:
             raise ValueError("top_n must be >= 1 and max_flagged >= 0")
+        if self.block_rows < 1 or self.broadcast_rows < 0 or self.scan_partitions < 0:
+            raise ValueError("block_rows must be >= 1, broadcast_rows and scan_partitions >= 0")
         object.__setattr__(self, "allowed_exts", tuple(self.allowed_exts))
         object.__setattr__(self, "exclude_dirs", tuple(self.exclude_dirs))
         object.__setattr__(self, "terms", normalise_terms(self.terms))
 
-    def pruning(self, n_submissions=None) -> bool:
-        """Whether to prune; ``n_submissions`` may be a callable, evaluated
-        only when the automatic choice needs it."""
-        if self.overall_thresh <= 0:
-            return False
-        if self.prune is None:
-            n = n_submissions() if callable(n_submissions) else n_submissions
-            return n is not None and n >= PRUNE_MIN_SUBMISSIONS
-        return bool(self.prune)
-
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 

@@ -1,38 +1,37 @@
 """The whole analysis as one DataFrame plan per result table.
 
-``Analysis`` builds every intermediate lazily and shares it; with
-``persist=True`` the expensive shared stages (narrow file facts with shingle
-keys, positive file pairs) are written once to the shared checkpoint folder
-and read back, which cuts lineage and stops every consumer from re-running
-the regex normaliser.
+Contents are read once: the scan stage normalises, hashes, counts, tokenises and
+shingles them and keeps narrow facts; contents and normalised text never enter a
+shuffle.  With ``persist=True`` (the default) the tables that several results share
+are written once to the shared checkpoint folder and read back, which cuts lineage;
+``cleanup()`` deletes them.  The session's settings are left alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
-from ..session import configure, materialise
-
+from ..session import delete, materialise
 
 
 @dataclass
 class Analysis:
     files: DataFrame                       # submission_id, submission, raw_path, content[, entry_ordinal]
-    template: DataFrame | None = None      # raw_path, content[, entry_ordinal]
+    template: DataFrame | None = None      # raw_path, content
     params: Params = Params()
     roster: DataFrame | None = None        # submission_id, submission (submissions without files)
-    persist: bool = False
+    persist: bool = True
     check_input: bool = True               # reject an empty input (reads at most one row)
-    force_routing: bool = False            # tests: always take the routed phase 2
+    written: list[str] = field(default_factory=list, init=False)
 
     def __post_init__(self):
-        configure(self.files.sparkSession)
         source = self.roster if self.roster is not None else self.files
         if self.check_input and source.isEmpty():
             raise ValueError("no submissions given")
@@ -42,12 +41,22 @@ class Analysis:
         return self.files.sparkSession
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return materialise(df, name) if self.persist else df
+        if not self.persist:
+            return df
+        kept, path = materialise(df, name)
+        self.written.append(path)
+        return kept
+
+    def cleanup(self) -> None:
+        """Delete the tables written for this analysis; its results can't be read afterwards."""
+        while self.written:
+            delete(self.spark, self.written.pop())
 
     # -- corpus and template ------------------------------------------------
     @cached_property
-    def prepared(self) -> DataFrame:
-        return corpus.prepare(self.files, self.params)
+    def contents(self) -> DataFrame:
+        """Admitted files with their contents (lazy)."""
+        return corpus.admitted(self.files, self.params)
 
     @cached_property
     def template_hashes(self) -> DataFrame:
@@ -55,102 +64,99 @@ class Analysis:
 
     @cached_property
     def normalized(self) -> DataFrame:
-        """Prepared files with content, normalised text and flags (lazy)."""
-        return template.file_facts(self.prepared, self.template_hashes, self.params)
+        """Admitted files with ext, norm, norm_hash and n_newlines (lazy, by raw_path)."""
+        f = self.contents
+        if self.params.compat_strip:
+            # the stripped name decides the language, so it must be known before normalising
+            return template.normalized(corpus.strip_common_prefix(f, True).withColumn("ext", T.extension("path")))
+        # the last component keeps its name when the first is dropped, and so the extension
+        return template.normalized(f.withColumn("ext", T.extension("raw_path")))
+
+    def with_paths(self, rows: DataFrame) -> DataFrame:
+        """Narrow rows of all admitted files plus their stripped ``path``."""
+        return rows if self.params.compat_strip else corpus.strip_common_prefix(rows)
+
+    def _marked(self, scan: DataFrame, *more: str) -> DataFrame:
+        path = ["path"] if self.params.compat_strip else []
+        narrow = scan.select("submission_id", "submission", "raw_path", *path, "ext", "norm_hash", "n_newlines", *more)
+        return template.marked(self.with_paths(narrow), self.template_hashes, self.params)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        """Per file: path, ext, norm_hash, n_newlines, is_template, is_kept; nothing is tokenised for it."""
+        return self._marked(self.normalized)
+
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """What one pass over the contents gives: hashes, counts, content class, shingle keys and watch-term counts."""
+        enough = F.col("n_newlines") >= self.params.min_lines
+        f = fingerprint.with_fingerprints(self.normalized, self.params, on=enough)
+        f = report.with_term_counts(f, self.params, on=enough)
+        return self._keep(f.drop("content", "norm"), "scanned")
 
     @cached_property
     def facts(self) -> DataFrame:
-        """One pass over the normalised files: flags, content class, shingle
-        keys and watch-term counts of kept files.  No content and no
-        normalised text are kept, so the persisted table stays narrow;
-        contents are re-read only for flagged files."""
-        kept = F.col("is_kept")
-        f = fingerprint.with_fingerprints(self.normalized, self.params, on=kept)
-        f = report.with_term_counts(f, self.params, on=kept)
-        return self._keep(f.drop("content", "norm"), "file_facts")
+        """``flags`` plus content class, set size and term counts; no shingle keys."""
+        return self._keep(self._marked(self.scanned, "cls_hi", "cls_lo", "n_tokens", "n_shingles", "term_n"), "file_facts")
 
     @cached_property
     def submissions(self) -> DataFrame:
         roster = self.roster if self.roster is not None else self.files
-        return template.submissions(roster, self.facts)
+        known = self.facts if "facts" in self.__dict__ else self.flags
+        return template.submissions(roster, known)
 
     @cached_property
     def kept(self) -> DataFrame:
-        """Kept files (not template, long enough): terms and line overlap."""
+        """Kept files (not template, long enough)."""
         return self.facts.where(F.col("is_kept"))
 
-    @cached_property
-    def compared(self) -> DataFrame:
-        """Kept files that take part in comparisons (opt-in token minimum)."""
-        return fingerprint.kept_files(self.facts, self.params)
-
     # -- fingerprints -------------------------------------------------------
     @cached_property
     def sets(self) -> DataFrame:
-        return self.compared.select("submission_id", "path", "ext", "cls_hi", "cls_lo", "keys", "n_shingles")
-
-    @cached_property
-    def shingles(self) -> DataFrame:
-        return fingerprint.shingles(self.sets)
+        """Files that take part in comparisons (opt-in token minimum), without their keys."""
+        f = self.kept
+        if self.params.min_tokens > 0:
+            f = f.where(F.col("n_tokens") >= self.params.min_tokens)
+        return f.select("submission_id", "path", "ext", "cls_hi", "cls_lo", "n_shingles")
 
     @cached_property
-    def sizes(self) -> DataFrame:
-        return fingerprint.file_sizes(self.sets)
+    def reps(self) -> DataFrame:
+        """One row per content class, with its shingle keys."""
+        return self._keep(similarity.class_reps(self.sets, self.scanned), "class_sets")
 
     # -- similarities -------------------------------------------------------
     @cached_property
     def counts(self) -> DataFrame:
-        """Shared-shingle counts of every file pair; copies are collapsed into
-        content classes before the self-join."""
-        return similarity.shared_shingle_counts_by_class(self.sets)
+        """Shared-shingle counts of every file pair."""
+        return similarity.shared_shingle_counts(self.reps, self.sets, self.params.block_rows)
 
     @cached_property
     def file_similarities(self) -> DataFrame:
         """Every file similarity the overall score uses (zeros included)."""
-        return similarity.all_file_similarities(self.sizes, self.counts)
-
-    def _positive(self, counts: DataFrame) -> DataFrame:
-        pos = similarity.positive_similarities(counts, self.sizes)
-        return pos.unionByName(similarity.empty_same_path_pairs(self.sizes))
-
-    @cached_property
-    def candidate_pairs(self) -> DataFrame:
-        """Submission pairs that can reach the overall threshold (R1)."""
-        return similarity.candidate_submission_pairs(self.sets, self.sizes,
-                                                     self.params.overall_thresh)
-
-    @cached_property
-    def _n_submissions(self) -> int:
-        return self.submissions.count()
+        return similarity.all_file_similarities(self.sets, self.counts)
 
     @cached_property
     def _scored(self) -> tuple[DataFrame, DataFrame]:
         """(positive similarities, overall) of the pairs that matter."""
         p = self.params
-        if p.pruning(lambda: self._n_submissions):
-            cand = self._keep(self.candidate_pairs, "candidate_pairs")
-            # phase 2 takes whichever join emits fewer rows: the global class
-            # self-join restricted to the candidates, or routing each
-            # candidate's shingles to its partner (two scalar aggregates)
-            global_rows, routed_rows = similarity.join_sizes(self.sets, cand)
-            if self.force_routing or routed_rows < global_rows:
-                counts = similarity.shared_shingle_counts_within_by_class(self.sets, cand)
-            else:
-                counts = self.counts.join(cand, ["id_a", "id_b"], "left_semi")
-            pos = self._positive(counts).join(cand, ["id_a", "id_b"], "left_semi")
+        empty = similarity.empty_same_path_pairs(self.sets)
+        if p.prune and p.overall_thresh > 0:
+            cand = self._keep(similarity.candidate_submission_pairs(self.reps, self.sets, p.overall_thresh, p.block_rows),
+                              "candidate_pairs")
+            counts = similarity.counts_of_candidates(self.reps, self.sets, cand, p.block_rows)
+            empty = empty.join(cand, ["id_a", "id_b"], "left_semi")
         else:
-            pos = self._positive(self.counts)
-        # two consumers (top-n and counts): write it once instead of running
-        # the shingle join twice
-        pos = self._keep(pos, "positive_pairs")
+            counts = self.counts
+        # two consumers (top-n and counts): write it once instead of running the shingle join twice
+        pos = self._keep(similarity.positive_similarities(counts).unionByName(empty), "positive_pairs")
         per_pair = report.pair_counts(pos)
         # common paths matter only where fewer than top_n positives leave room
         # for zeros in the top-n: a keyed lookup for exactly those pairs
         few = per_pair.where(F.col("n_pos") < p.top_n).select("id_a", "id_b")
-        common = similarity.common_path_counts(self.sizes, few)
+        common = similarity.common_path_counts(self.sets, few)
         overall = report.overall_from_positive(pos, common, p.top_n, per_pair)
         if p.overall_thresh <= 0:
-            everyone = report.all_submission_pairs(self.submissions)
+            everyone = report.all_submission_pairs(self.submissions, p.block_rows)
             overall = (everyone.join(overall, ["id_a", "id_b"], "left")
                        .select("id_a", "id_b", F.coalesce("overall", F.lit(0.0)).alias("overall")))
         return pos, overall
@@ -168,7 +174,7 @@ class Analysis:
         pos = self._scored[0]
         if self.params.file_thresh <= 0:
             # zero same-path similarities are flagged too: take the full branch
-            pos = similarity.same_path_similarities(self.sizes, self.counts).unionByName(
+            pos = similarity.same_path_similarities(self.sets, self.counts).unionByName(
                 pos.where(F.col("kind") == "cross"))
         return report.flagged(pos, self.pairs, self.params)
 
@@ -176,9 +182,42 @@ class Analysis:
     def term_counts(self) -> DataFrame:
         return report.term_counts(self.kept, self.submissions, self.params)
 
+    def files_of(self, wanted: DataFrame, source: DataFrame, *cols: str) -> DataFrame:
+        """The rows of ``source`` (by raw_path) of the ``wanted`` (submission_id, path), with that path.
+        The wanted list is counted and broadcast while it is small, so that ``source``, contents and all, stays
+        where it is read."""
+        names = wanted.distinct().join(self.facts.select("submission_id", "path", "raw_path"), ["submission_id", "path"])
+        names = self._keep(names, "wanted_files")
+        if names.count() <= self.params.broadcast_rows:
+            names = F.broadcast(names)
+        return source.select("submission_id", "raw_path", *cols).join(names, ["submission_id", "raw_path"])
+
+    def flagged_paths(self) -> DataFrame:
+        f = self.flagged_files
+        return f.select(F.explode(F.array(F.struct(F.col("id_a").alias("submission_id"), F.col("path_a").alias("path")),
+                                          F.struct(F.col("id_b").alias("submission_id"), F.col("path_b").alias("path")))).alias("f")).select("f.*")
+
     @cached_property
     def line_overlap(self) -> DataFrame:
-        return report.line_overlap(self.flagged_files, self.prepared)
+        return report.line_overlap(self.flagged_files, self.files_of(self.flagged_paths(), self.contents, "content"))
+
+    @cached_property
+    def minhash_estimates(self) -> DataFrame:
+        """Flagged file pairs with the Jaccard estimate of their 128-function MinHash signatures."""
+        files = self.files_of(self.flagged_paths(), self.normalized, "ext", "norm")
+        sig = fingerprint.minhash_signatures(files, self.params)
+        a = sig.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"), F.col("sig").alias("sig_a"))
+        b = sig.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"), F.col("sig").alias("sig_b"))
+        j = self.flagged_files.select("id_a", "id_b", "path_a", "path_b", "similarity").join(a, ["id_a", "path_a"]).join(b, ["id_b", "path_b"])
+        both_empty = F.col("sig_a").isNull() & F.col("sig_b").isNull()
+        return j.select("id_a", "id_b", "path_a", "path_b", "similarity", F.when(both_empty, F.lit(1.0)).otherwise(
+            F.coalesce(fingerprint.minhash_estimate("sig_a", "sig_b"), F.lit(0.0))).alias("estimate"))
+
+    @cached_property
+    def tfidf_cosine(self) -> DataFrame:
+        """TF-IDF cosine of the kept code of the reported pairs."""
+        kept = self.kept.select("submission_id", "raw_path")
+        return fingerprint.tfidf_cosine(self.normalized, kept, self.pairs)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -195,12 +234,13 @@ class Analysis:
             "avg_template_pct")
 
     def tables(self) -> dict[str, DataFrame]:
+        self.overall  # the shared tables first
         return {"submissions": self.submissions, "term_counts": self.term_counts,
                 "pairs": self.pairs, "flagged_files": self.flagged_files,
                 "line_overlap": self.line_overlap, "summary": self.summary}
 
 
 def analyze(files: DataFrame, template: DataFrame | None = None, roster: DataFrame | None = None,
-            persist: bool = False, **params) -> Analysis:
+            persist: bool = True, **params) -> Analysis:
     """Public entry: build the analysis plan for ``files`` (and template)."""
     return Analysis(files, template, Params(**params), roster, persist)

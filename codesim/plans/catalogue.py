@@ -6,14 +6,15 @@ query so they compare with an independent engine; counts are ``bigint``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
-from ..sources import fixture
+from ..sources import archives, fixture
+from ..sources.sinks import pair_report
 from .analyze import Analysis
 
 # Fixed values of the fixture run (FIXTURES.md section 2).
@@ -26,9 +27,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def _analysis(spark: SparkSession, sf: str, params: Params = FIXTURE, persist: bool = True) -> Analysis:
-    return Analysis(fixture.submission_files(spark, sf), fixture.template_files(spark, sf),
-                    params, persist=persist)
+def _analysis(spark: SparkSession, sf: str, params: Params = FIXTURE, n_submissions: int = fixture.N_SUBMISSIONS) -> Analysis:
+    # the documents file is a single row group, which the reader can't split: deal it out
+    params = params.with_(scan_partitions=spark.sparkContext.defaultParallelism)
+    return Analysis(fixture.submission_files(spark, sf, n_submissions=n_submissions),
+                    fixture.template_files(spark, sf, n_submissions=n_submissions), params)
 
 
 # -- corpus ----------------------------------------------------------------
@@ -39,8 +42,8 @@ def files_admitted(spark, sf):
 
 
 def paths_stripped(spark, sf):
-    f = corpus.prepare(fixture.submission_files(spark, sf), FIXTURE)
-    return f.select("submission_id", "raw_path", "path", "ext")
+    f = corpus.admit(fixture.submission_files(spark, sf), FIXTURE).select("submission_id", "raw_path")
+    return corpus.strip_common_prefix(f).withColumn("ext", T.extension("path"))
 
 
 def duplicate_entries_last_wins(spark, sf):
@@ -51,9 +54,10 @@ def duplicate_entries_last_wins(spark, sf):
 
 def _normalized(spark, sf, py: bool):
     a = _analysis(spark, sf)
-    f = a.normalized.where((F.col("ext") == "py") if py else (F.col("ext") != "py"))
-    return f.select("submission_id", "path", F.md5("norm").alias("norm_md5"),
-                    F.length("norm").cast("long").alias("norm_len"))
+    f = a.normalized.select("submission_id", "raw_path", "ext", F.md5("norm").alias("norm_md5"),
+                            F.length("norm").cast("long").alias("norm_len"))
+    f = a.with_paths(f).where((F.col("ext") == "py") if py else (F.col("ext") != "py"))
+    return f.select("submission_id", "path", "norm_md5", "norm_len")
 
 
 def normalized_py(spark, sf):
@@ -65,24 +69,34 @@ def normalized_c(spark, sf):
 
 
 def norm_hash(spark, sf):
-    return _analysis(spark, sf).facts.select("submission_id", "path", "norm_hash")
+    return _analysis(spark, sf).flags.select("submission_id", "path", "norm_hash")
 
 
 def tokens_per_file(spark, sf):
     a = _analysis(spark, sf)
-    tok = a.normalized.select("submission_id", "path", T.tokens("norm").alias("tok"))
-    return tok.select("submission_id", "path", F.size("tok").cast("long").alias("n_tokens"),
-                      F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
+    tok = a.normalized.select("submission_id", "raw_path", T.tokens("norm").alias("tok"))
+    tok = tok.select("submission_id", "raw_path", F.size("tok").cast("long").alias("n_tokens"),
+                     F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
+    return a.with_paths(tok).select("submission_id", "path", "n_tokens", "tokens_md5")
 
 
 def shingles_per_file(spark, sf):
-    return _analysis(spark, sf).sizes.select("submission_id", "path", "n_shingles")
+    return _analysis(spark, sf).sets.select("submission_id", "path", "n_shingles")
 
 
 def shingle_df(spark, sf):
     """How many distinct shingles have each document frequency."""
-    df = fingerprint.shingle_df(_analysis(spark, sf).shingles)
-    return df.groupBy(F.col("df").cast("long").alias("df")).agg(F.count(F.lit(1)).alias("n_shingles"))
+    df = fingerprint.shingle_df(_analysis(spark, sf).reps)
+    return df.groupBy("df").agg(F.count(F.lit(1)).alias("n_shingles"))
+
+
+def archive_expand(spark, sf):
+    """Every document packed into a zip archive, numbered by path and expanded by the archive source."""
+    blobs = fixture.archive_blobs(spark, sf)
+    names = archives.numbered(blobs.select("path"))
+    e = archives.expand(blobs, FIXTURE).join(names, "path")
+    return e.select("submission_id", "submission", "raw_path", F.col("entry_ordinal").cast("long").alias("entry_ordinal"),
+                    F.sha2(archives.text_of("data"), 256).alias("content_sha"))
 
 
 # -- template --------------------------------------------------------------
@@ -91,24 +105,29 @@ def template_hashes(spark, sf):
     return _analysis(spark, sf).template_hashes
 
 
+def template_hashes_repeated(spark, sf):
+    """A template whose names come twice: the hashes of all entries."""
+    return template.template_hashes(fixture.template_files(spark, sf, with_revisions=True), FIXTURE, spark)
+
+
 def template_subtracted(spark, sf):
-    f = _analysis(spark, sf).facts.where(~F.col("is_template"))
+    f = _analysis(spark, sf).flags.where(~F.col("is_template"))
     return f.select("submission_id", "path", "n_newlines")
 
 
 def template_matched(spark, sf):
-    f = _analysis(spark, sf).facts.where(F.col("is_template"))
+    f = _analysis(spark, sf).flags.where(F.col("is_template"))
     return f.select("submission_id", "path", "norm_hash")
 
 
 def files_removed(spark, sf):
-    f = _analysis(spark, sf).facts.where(~F.col("is_kept"))
+    f = _analysis(spark, sf).flags.where(~F.col("is_kept"))
     reason = F.when(F.col("is_template"), "template").otherwise("short")
     return f.select("submission_id", "path", reason.alias("reason"))
 
 
 def min_lines_kept(spark, sf):
-    return _analysis(spark, sf).kept.select("submission_id", "path", "n_newlines")
+    return _analysis(spark, sf).flags.where("is_kept").select("submission_id", "path", "n_newlines")
 
 
 def submission_overview(spark, sf):
@@ -125,15 +144,18 @@ def term_counts_wide(spark, sf):
 
 # -- similarities ----------------------------------------------------------
 
+def _same(s: DataFrame) -> DataFrame:
+    return rounded(s.select("id_a", "id_b", F.col("path_a").alias("path"), "inter", "n_a", "n_b", "similarity"))
+
+
 def same_path_similarity(spark, sf):
     a = _analysis(spark, sf)
-    s = similarity.same_path_similarities(a.sizes, a.counts)
-    return rounded(s.select("id_a", "id_b", F.col("path_a").alias("path"), "inter", "n_a", "n_b", "similarity"))
+    return _same(similarity.same_path_similarities(a.sets, a.counts))
 
 
 def same_path_flagged(spark, sf):
-    s = same_path_similarity(spark, sf)
-    return s.where(F.col("similarity") >= FIXTURE.file_thresh)
+    a = _analysis(spark, sf)
+    return _same(similarity.same_path_at_least(a.sets, a.counts, FIXTURE.file_thresh))
 
 
 def cross_path_candidates(spark, sf):
@@ -143,8 +165,7 @@ def cross_path_candidates(spark, sf):
 
 
 def _cross(a: Analysis):
-    c = a.counts.where(F.col("path_a") != F.col("path_b"))
-    return similarity.positive_similarities(c, a.sizes)
+    return similarity.positive_similarities(a.counts.where(F.col("path_a") != F.col("path_b")))
 
 
 def cross_path_similarity(spark, sf):
@@ -160,7 +181,7 @@ def cross_path_flagged(spark, sf):
 def cross_path_flagged_pruned(spark, sf):
     """Same result through the prefix + length filter (no full self-join)."""
     a = _analysis(spark, sf)
-    s = similarity.pairs_at_least(a.sets, FIXTURE.cross_thresh)
+    s = similarity.pairs_at_least(a.reps, a.sets, FIXTURE.cross_thresh, FIXTURE.block_rows)
     s = s.where(F.col("kind") == "cross")
     return rounded(s.select("id_a", "path_a", "id_b", "path_b", "similarity"))
 
@@ -170,15 +191,23 @@ def all_file_similarities(spark, sf):
     return rounded(s.select("id_a", "id_b", "path_a", "path_b", "kind", "similarity"))
 
 
-def submission_pairs(spark, sf):
-    a = _analysis(spark, sf)
-    p = report.all_submission_pairs(a.submissions)
-    subs = a.submissions
-    return (p.join(subs.select(F.col("submission_id").alias("id_a"), F.col("submission").alias("submission_a")), "id_a")
-            .join(subs.select(F.col("submission_id").alias("id_b"), F.col("submission").alias("submission_b")), "id_b")
+def _named_pairs(roster: DataFrame) -> DataFrame:
+    p = report.all_submission_pairs(roster, FIXTURE.block_rows)
+    return (p.join(roster.select(F.col("submission_id").alias("id_a"), F.col("submission").alias("submission_a")), "id_a")
+            .join(roster.select(F.col("submission_id").alias("id_b"), F.col("submission").alias("submission_b")), "id_b")
             .select("id_a", "id_b", "submission_a", "submission_b"))
 
 
+def submission_pairs(spark, sf):
+    return _named_pairs(_analysis(spark, sf).submissions)
+
+
+def submission_pairs_sparse_ids(spark, sf):
+    """All pairs for ids that are unique but not dense."""
+    roster = fixture.submission_files(spark, sf).select("submission_id", "submission").distinct()
+    return _named_pairs(roster.withColumn("submission_id", F.col("submission_id") * 7 + 3))
+
+
 def overall_similarity(spark, sf):
     """Overall score of every submission pair (0.0 without file pairs)."""
     a = _analysis(spark, sf, FIXTURE.with_(overall_thresh=0.0))
@@ -194,6 +223,43 @@ def suspicious_pairs_pruned(spark, sf):
     return rounded(_analysis(spark, sf, FIXTURE.with_(prune=True)).pairs)
 
 
+def _many(spark, sf, prune):
+    return rounded(_analysis(spark, sf, FIXTURE.with_(prune=prune, overall_thresh=0.4), n_submissions=200).pairs)
+
+
+def suspicious_pairs_many(spark, sf):
+    """The flagship over 200 small submissions."""
+    return _many(spark, sf, False)
+
+
+def suspicious_pairs_many_pruned(spark, sf):
+    return _many(spark, sf, True)
+
+
+def suspicious_pairs_order(spark, sf):
+    """The position of every reported pair."""
+    return _analysis(spark, sf).pairs.select("id_a", "id_b", F.row_number().over(Window.orderBy(F.desc("overall"), "id_a", "id_b")).cast("long").alias("position"))
+
+
+def minhash_signature(spark, sf):
+    """Digest of the 128 minima of every kept file."""
+    a = _analysis(spark, sf)
+    kept = a.flags.where("is_kept").select("submission_id", "raw_path", "path")
+    sig = fingerprint.minhash_signatures(a.normalized.select("submission_id", F.col("raw_path").alias("path"), "ext", "norm").where(F.col("n_newlines") >= FIXTURE.min_lines), FIXTURE)
+    out = sig.withColumnRenamed("path", "raw_path").join(kept, ["submission_id", "raw_path"])
+    return out.select("submission_id", "path", F.md5(F.array_join(F.transform("sig", lambda x: x.cast("string")), ",")).alias("sig_md5"))
+
+
+def minhash_estimate(spark, sf):
+    """Jaccard estimates of the flagged file pairs."""
+    return rounded(_analysis(spark, sf).minhash_estimates.select("id_a", "id_b", "path_a", "path_b", "estimate"))
+
+
+def tfidf_cosine(spark, sf):
+    """TF-IDF cosine of the kept code of the reported pairs."""
+    return rounded(_analysis(spark, sf).tfidf_cosine)
+
+
 def flagged_files_top20(spark, sf):
     return rounded(_analysis(spark, sf).flagged_files)
 
@@ -201,15 +267,11 @@ def flagged_files_top20(spark, sf):
 def pair_report_nested(spark, sf):
     """One row per suspicious pair with its flagged files folded in rank order."""
     a = _analysis(spark, sf)
-    fl = (a.flagged_files.groupBy("id_a", "id_b")
-          .agg(F.sort_array(F.collect_list(F.struct("rank", "path_a", "path_b"))).alias("fl"),
-               F.max("similarity").alias("max_file_similarity")))
-    j = a.pairs.join(fl, ["id_a", "id_b"], "left")
-    files = F.array_join(F.transform(F.coalesce("fl", F.array()),
-                                     lambda x: F.concat(x["path_a"], F.lit(">"), x["path_b"])), ";")
+    j = pair_report(a.pairs, a.flagged_files)
+    files = F.array_join(F.transform("flagged_files", lambda x: F.concat(x["path_a"], F.lit(">"), x["path_b"])), ";")
     return rounded(j.select("id_a", "id_b", "submission_a", "submission_b", "overall", "severity",
-                            F.coalesce(F.size("fl"), F.lit(0)).cast("long").alias("n_flagged"),
-                            files.alias("flagged"), "max_file_similarity"))
+                            F.size("flagged_files").cast("long").alias("n_flagged"), files.alias("flagged"),
+                            F.array_max(F.transform("flagged_files", lambda x: x["similarity"])).alias("max_file_similarity")))
 
 
 def line_overlap(spark, sf):
@@ -234,6 +296,7 @@ QUERIES = {
     "files_admitted": files_admitted,
     "paths_stripped": paths_stripped,
     "duplicate_entries_last_wins": duplicate_entries_last_wins,
+    "archive_expand": archive_expand,
     "normalized_py": normalized_py,
     "normalized_c": normalized_c,
     "norm_hash": norm_hash,
@@ -241,6 +304,7 @@ QUERIES = {
     "shingles_per_file": shingles_per_file,
     "shingle_df": shingle_df,
     "template_hashes": template_hashes,
+    "template_hashes_repeated": template_hashes_repeated,
     "template_subtracted": template_subtracted,
     "template_matched": template_matched,
     "files_removed": files_removed,
@@ -256,12 +320,19 @@ QUERIES = {
     "cross_path_flagged_pruned": cross_path_flagged_pruned,
     "all_file_similarities": all_file_similarities,
     "submission_pairs": submission_pairs,
+    "submission_pairs_sparse_ids": submission_pairs_sparse_ids,
     "overall_similarity": overall_similarity,
     "suspicious_pairs": suspicious_pairs,
     "suspicious_pairs_pruned": suspicious_pairs_pruned,
+    "suspicious_pairs_many": suspicious_pairs_many,
+    "suspicious_pairs_many_pruned": suspicious_pairs_many_pruned,
+    "suspicious_pairs_order": suspicious_pairs_order,
     "flagged_files_top20": flagged_files_top20,
     "pair_report_nested": pair_report_nested,
     "line_overlap": line_overlap,
+    "minhash_signature": minhash_signature,
+    "minhash_estimate": minhash_estimate,
+    "tfidf_cosine": tfidf_cosine,
     "run_summary": run_summary,
     "similarity_filter": similarity_filter,
     "few_token_filter": few_token_filter,

@@ -9,6 +9,7 @@ cross 0.7, overall 0.1, terms the/license/token/error.
 
 from __future__ import annotations
 
+# Excluded folders and allowed extensions; the severity limits 80, 60 and 40 below are fixed too.
 EXCLUDED = ("'dist-electron','dist','public','__pycache__','.git','node_modules',"
             "'build','target','out','bin','obj','venv','env','.idea','.vscode'")
 ALLOWED = "'py','java','js','ts','cpp','c','cs','sql'"
@@ -31,7 +32,7 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def base(k: int = 5, min_lines: int = 10, min_tokens: int = 0, revisions: bool = False) -> str:
+def base(k: int = 5, min_lines: int = 10, min_tokens: int = 0, revisions: bool = False, n_sub: int = 20) -> str:
     """WITH-clause chain: fixture files -> admitted -> stripped -> facts ->
     kept -> shingles -> sizes."""
     rev = ""
@@ -45,13 +46,13 @@ def base(k: int = 5, min_lines: int = 10, min_tokens: int = 0, revisions: bool =
               f"{q(RE_SLASH)}, '', 'g'), {q(RE_DQ)}, '\"\"', 'g'), {q(RE_SQ)}, '''''', 'g')")
     return f"""
 WITH d AS (
-  SELECT doc_id, text, lang, source, doc_id // 20 AS slot,
-         CASE WHEN (doc_id // 20) % 25 = 24 THEN 'txt' WHEN lang = 'en' THEN 'py'
+  SELECT doc_id, text, lang, source, doc_id // {n_sub} AS slot,
+         CASE WHEN (doc_id // {n_sub}) % 25 = 24 THEN 'txt' WHEN lang = 'en' THEN 'py'
               WHEN lang = 'de' THEN 'java' WHEN lang = 'fr' THEN 'js' ELSE 'sql' END AS fext
   FROM documents
 ),
 cf0 AS (
-  SELECT doc_id % 20 AS submission_id, source AS submission,
+  SELECT doc_id % {n_sub} AS submission_id, source AS submission,
          source || '/' || CASE WHEN slot % 10 = 9 THEN 'node_modules' WHEN slot % 10 = 8 THEN 'Build' ELSE 'src' END
            || '/f' || CAST(slot AS VARCHAR) || '.' || fext AS raw_path,
          CASE WHEN fext = 'py'
@@ -192,6 +193,19 @@ def r(*cols) -> str:
     return ", ".join(R.format(c=c) for c in cols)
 
 
+def _minhash() -> str:
+    """sig(submission_id, path, sig): the 128 minima, by the same rule for a and b as stated in the operator."""
+    p = 2**31 - 1
+    ab = ", ".join(f"({1 + (1103515245 * (i + 1) + 12345) % (p - 1)}, {(69069 * (i + 1) * (i + 1) + 1) % p})" for i in range(128))
+    return f""", hx AS (SELECT submission_id, path, list_transform(sh, lambda s: ('0x' || md5(ext || ' ' || s)[1:8])::BIGINT & {p}) AS xs FROM sets),
+ab AS (SELECT row_number() OVER () AS i, a, b FROM (VALUES {ab}) v(a, b)),
+sig AS (SELECT submission_id, path, CASE WHEN any_value(len(xs)) > 0 THEN list(m ORDER BY i) END AS sig
+        FROM (SELECT submission_id, path, xs, i, list_min(list_transform(xs, lambda x: (CAST(a AS BIGINT) * x + CAST(b AS BIGINT)) % {p})) AS m FROM hx, ab) GROUP BY submission_id, path) """
+
+
+MINHASH = _minhash()
+
+
 def sqls() -> dict[str, str]:
     terms = ("the", "license", "token", "error")
     term_rows = " UNION ALL ".join(f"SELECT {q(t)} AS term" for t in terms)
@@ -220,6 +234,29 @@ def sqls() -> dict[str, str]:
         "shingle_df": _with("SELECT CAST(df AS BIGINT) AS df, count(*) AS n_shingles FROM "
                             "(SELECT ext, s, count(*) AS df FROM shingles GROUP BY ALL) GROUP BY df"),
         "template_hashes": _with("SELECT norm_hash FROM tpl"),
+        "template_hashes_repeated": _with("SELECT norm_hash FROM tpl", revisions=True),
+        "archive_expand": """
+            SELECT CAST(row_number() OVER (ORDER BY '/x/d' || CAST(doc_id AS VARCHAR) || '.zip') - 1 AS BIGINT) AS submission_id,
+                   'd' || CAST(doc_id AS VARCHAR) AS submission, 'r/main.py' AS raw_path, CAST(5 AS BIGINT) AS entry_ordinal,
+                   sha256(coalesce(text, '')) AS content_sha FROM documents
+            UNION ALL
+            SELECT CAST(row_number() OVER (ORDER BY '/x/d' || CAST(doc_id AS VARCHAR) || '.zip') - 1 AS BIGINT),
+                   'd' || CAST(doc_id AS VARCHAR), 'r/A.SQL', CAST(4 AS BIGINT), sha256('select 1') FROM documents""",
+        "submission_pairs_sparse_ids": _with("SELECT id_a * 7 + 3 AS id_a, id_b * 7 + 3 AS id_b, submission_a, submission_b FROM sub_pairs"),
+        "suspicious_pairs_many": _with(f"SELECT id_a, id_b, submission_a, submission_b, {r('overall')}, severity, student_lines_a, student_lines_b FROM pairs", overall_thresh=0.4, n_sub=200),
+        "suspicious_pairs_many_pruned": _with(f"SELECT id_a, id_b, submission_a, submission_b, {r('overall')}, severity, student_lines_a, student_lines_b FROM pairs", overall_thresh=0.4, n_sub=200),
+        "suspicious_pairs_order": _with("SELECT id_a, id_b, row_number() OVER (ORDER BY overall DESC, id_a, id_b) AS position FROM pairs"),
+        "minhash_signature": _with(MINHASH + "SELECT submission_id, path, md5(array_to_string(sig, ',')) AS sig_md5 FROM sig"),
+        "minhash_estimate": _with(MINHASH + """SELECT f.id_a, f.id_b, f.path_a, f.path_b,
+            CAST(round(CASE WHEN a.sig IS NULL AND b.sig IS NULL THEN 1.0 WHEN a.sig IS NULL OR b.sig IS NULL THEN 0.0
+            ELSE len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / 128.0 END, 6) AS DOUBLE) AS estimate
+            FROM flagged f JOIN sig a ON a.submission_id = f.id_a AND a.path = f.path_a JOIN sig b ON b.submission_id = f.id_b AND b.path = f.path_b"""),
+        "tfidf_cosine": _with(""", words AS (SELECT submission_id, unnest(tok) AS t FROM toks), tf AS (SELECT submission_id, t, count(*) AS c FROM words GROUP BY ALL),
+            n AS (SELECT count(DISTINCT submission_id) AS n FROM tf), idf AS (SELECT t, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS i FROM tf GROUP BY t),
+            w AS (SELECT submission_id, t, c * i AS w FROM tf JOIN idf USING (t)), nm AS (SELECT submission_id, sqrt(sum(w * w)) AS m FROM w GROUP BY 1),
+            dots AS (SELECT p.id_a, p.id_b, sum(a.w * b.w) AS d FROM pairs p JOIN w a ON a.submission_id = p.id_a JOIN w b ON b.submission_id = p.id_b AND b.t = a.t GROUP BY ALL)
+            SELECT p.id_a, p.id_b, CAST(round(coalesce(d / (a.m * b.m), 0.0), 6) AS DOUBLE) AS cosine FROM pairs p LEFT JOIN dots USING (id_a, id_b)
+            LEFT JOIN nm a ON a.submission_id = p.id_a LEFT JOIN nm b ON b.submission_id = p.id_b"""),
         "template_subtracted": _with("SELECT submission_id, path, n_newlines FROM facts WHERE NOT is_template"),
         "template_matched": _with("SELECT submission_id, path, norm_hash FROM facts WHERE is_template"),
         "files_removed": _with("SELECT submission_id, path, CASE WHEN is_template THEN 'template' ELSE 'short' END AS reason "

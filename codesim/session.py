@@ -1,14 +1,12 @@
 """Session helpers: a local session for tests and the bench, and the shared
 folder for materialised intermediate tables.
 
-On a cluster the session is created by the platform; ``configure`` only sets
-the SQL knobs the plans rely on and never touches ``spark.checkpoint.dir``
-when the cluster already names one.
+On a cluster the session is created by the platform and left alone; the settings below are
+those of ``local_session`` and what is recommended there.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -29,12 +27,6 @@ SQL_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    for k, v in SQL_CONF.items():
-        spark.conf.set(k, v)
-    return spark
-
-
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   scratch: str | None = None) -> SparkSession:
     """Local session for tests and the bench; UI off, event log optional."""
@@ -51,30 +43,35 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
              .config("spark.eventLog.dir", scratch))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(spark)
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
-
-    Read from the session (``spark.checkpoint.dir``); only when it is unset, as
-    in local tests, a fresh scratch folder is created and registered.
-    """
+    """The shared folder for written intermediate tables, from the session's
+    ``spark.checkpoint.dir``.  Only a local master, as in tests, may run without it; a
+    scratch folder is then created and registered."""
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="codesim-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return sc.getCheckpointDir()
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def materialise(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
-    back: cuts lineage (a lost executor re-reads the table instead of
+    back, (table, path): cuts lineage (a lost executor re-reads the table instead of
     recomputing the plan) and freezes the result for its many consumers."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever its folder lives."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

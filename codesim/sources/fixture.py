@@ -17,6 +17,11 @@ also written independently in the DuckDB oracle):
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def code_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False) -> DataFrame:
+def code_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False, n_submissions: int = N_SUBMISSIONS) -> DataFrame:
+    """``n_submissions`` other than 20 (a multiple of it) gives smaller submissions, the template still being the first two."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    slot = F.expr("doc_id div 20")
+    slot = F.expr(f"doc_id div {n_submissions}")
     ext = (F.when(slot % 25 == 24, "txt").when(F.col("lang") == "en", "py")
            .when(F.col("lang") == "de", "java").when(F.col("lang") == "fr", "js")
            .otherwise("sql"))
@@ -44,7 +50,7 @@ def code_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False) -
                          F.lit('\nString s = "a\\"b'), doc, F.lit('";\nchar c = \'x\';\n'),
                          F.col("text"), F.lit("\n"))
     files = (d.withColumn("slot", slot).withColumn("ext", ext)
-             .select((F.col("doc_id") % N_SUBMISSIONS).alias("submission_id"),
+             .select((F.col("doc_id") % n_submissions).alias("submission_id"),
                      F.col("source").alias("submission"),
                      F.concat(F.col("source"), F.lit("/"), folder, F.lit("/f"),
                               F.col("slot").cast("string"), F.lit("."), F.col("ext")).alias("raw_path"),
@@ -60,11 +66,33 @@ def code_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False) -
     return files.drop("slot", "entry_ordinal")
 
 
-def submission_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False) -> DataFrame:
-    f = code_files(spark, sf_dir, with_revisions)
+def submission_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False, n_submissions: int = N_SUBMISSIONS) -> DataFrame:
+    f = code_files(spark, sf_dir, with_revisions, n_submissions)
     return f.where(~F.col("submission_id").isin(*TEMPLATE_IDS))
 
 
-def template_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = code_files(spark, sf_dir)
+def template_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False, n_submissions: int = N_SUBMISSIONS) -> DataFrame:
+    """With revisions, the template's repeated names come twice: every entry's hash counts."""
+    f = code_files(spark, sf_dir, with_revisions, n_submissions)
     return f.where(F.col("submission_id").isin(*TEMPLATE_IDS)).select("raw_path", "content")
+
+
+def archive_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every document as a small zip archive d<doc_id>.zip with a directory, an excluded entry,
+    a replaced entry, its text and a file of another type."""
+
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf["doc_id"], pdf["text"]):
+                blob = io.BytesIO()
+                with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as zf:
+                    for name, data in (("r/", ""), ("r/build/x.py", "no"), ("r/main.py", "old"), ("r/notes.md", "no"), ("r/A.SQL", "select 1"), ("r/main.py", text or "")):
+                        # the same name twice is what the archive shall hold
+                        with warnings.catch_warnings():
+                            warnings.simplefilter("ignore")
+                            zf.writestr(zipfile.ZipInfo(name), data)
+                out.append((f"/x/d{i}.zip", blob.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return documents(spark, sf_dir).select("doc_id", "text").mapInPandas(pack, "path string, content binary")

@@ -66,3 +66,36 @@ def test_archive_analysis(spark, archives):
     paths = {r["path"] for r in res.facts.where(F.col("submission_id") == 0).collect()}
     assert paths == {"src/main.py", "src/Bad.PY"}
     assert res.pairs.count() == 3
+
+
+def _flip(path, at, xor):
+    data = bytearray(path.read_bytes())
+    for i in at(bytes(data)):
+        data[i] ^= xor
+    path.write_bytes(bytes(data))
+
+
+def test_every_kind_of_damage_is_a_reject_without_files(spark, tmp_path):
+    two = [("c/one.py", BODY.encode()), ("c/two.py", (BODY * 3).encode())]
+    for name in ("crc", "encrypted", "method", "fine"):
+        _zip(tmp_path / f"{name}.zip", two)
+    _flip(tmp_path / "crc.zip", lambda b: [b.rindex(b"value_9")], 1)                       # the second entry's bytes
+    flags = lambda b: [i + k for sig, k in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)) for i in _all(b, sig)]
+    _flip(tmp_path / "encrypted.zip", flags, 1)
+    method = lambda b: [i + k for sig, k in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)) for i in _all(b, sig)]
+    _flip(tmp_path / "method.zip", method, 99)
+    a = read_archives(spark, str(tmp_path), mode="PERMISSIVE")
+    assert sorted(r["submission"] for r in a.rejects.collect()) == ["crc", "encrypted", "method"]
+    assert {r["submission"] for r in a.files.collect()} == {"fine"} and a.files.count() == 2
+
+
+def _all(data, sig):
+    at = data.find(sig)
+    while at >= 0:
+        yield at
+        at = data.find(sig, at + 1)
+
+
+def test_template_keeps_repeated_names(spark, tmp_path):
+    _zip(tmp_path / "t.zip", [("t/a.py", BODY.encode()), ("t/a.py", (BODY + "more = 1\n").encode())])
+    assert read_template(spark, str(tmp_path)).count() == 2

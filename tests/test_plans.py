@@ -1,29 +1,64 @@
-"""Plan-shape guards for the scale properties the design relies on."""
+"""Plan-shape guards for the scale properties the design relies on, on plans that nothing was written for."""
 
+import contextlib
+import io
+import re
+
+import pytest
+
+from codesim import analyze
 from codesim.plans import catalogue
+from codesim.sources import fixture
 
 from .conftest import SF001
 
 
-def _plan(df) -> str:
+@pytest.fixture(scope="module")
+def split_dir(spark, tmp_path_factory):
+    """The documents as a scan of several partitions."""
+    d = str(tmp_path_factory.mktemp("split"))
+    spark.read.parquet(f"{SF001}/documents.parquet").repartition(6).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def _explained(df, mode="formatted") -> str:
     df.collect()  # AQE: the executed plan is final after an action
-    return df._jdf.queryExecution().executedPlan().toString()
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode)
+    return out.getvalue()
+
+
+def _lazy(spark, d, **kw):
+    return analyze(fixture.submission_files(spark, d), fixture.template_files(spark, d), persist=False, **kw)
+
 
+def _exchanged(plan: str) -> list[str]:
+    """The columns of every exchange."""
+    return re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan, re.S)
 
-def test_flagship_plan_shape(spark):
-    a = catalogue._analysis(spark, SF001)
-    plan = _plan(a.pairs)
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+
+@pytest.mark.parametrize("prune", [False, True])
+def test_no_content_in_a_shuffle_and_no_cross_join(spark, split_dir, prune):
+    plan = _explained(_lazy(spark, split_dir, overall_thresh=0.05, prune=prune).pairs)
+    assert "regexp_replace" in plan and "WindowGroupLimit" in plan     # the whole way is in sight
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan, bad
-    assert "WindowGroupLimit" in plan           # per-task top-n before the shuffle
+    exchanged = _exchanged(plan)
+    assert len(exchanged) > 5
+    assert not [c for c in exchanged if re.search(r"\b(content|norm|text|_tok)#", c)]
 
 
-def test_documents_scan_is_pruned(spark):
-    df = catalogue.files_admitted(spark, SF001)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan   # no text, no n_chars
+def test_flagged_contents_stay_where_they_are_read(spark, split_dir):
+    plan = _explained(_lazy(spark, split_dir, overall_thresh=0.05).line_overlap)
+    assert not [c for c in _exchanged(plan) if re.search(r"\b(content|norm|text)#", c)]
+
 
+def test_single_purpose_queries_do_not_shingle(spark, split_dir):
+    for q in (catalogue.norm_hash, catalogue.template_subtracted, catalogue.submission_overview):
+        assert "regexp_extract_all" not in _explained(q(spark, split_dir))
 
-def test_pruned_flagship_has_no_cross_join(spark):
-    plan = _plan(catalogue.suspicious_pairs_pruned(spark, SF001))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+def test_documents_scan_is_pruned(spark):
+    plan = catalogue.files_admitted(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan   # no text, no n_chars

@@ -10,14 +10,15 @@ from .conftest import SF001
 
 
 def test_parquet_round_trip(spark, tmp_path):
-    a = analyze(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001), overall_thresh=0.05,
-                persist=True)
+    a = analyze(fixture.submission_files(spark, SF001), fixture.template_files(spark, SF001), overall_thresh=0.05)
     paths = write_tables(a, str(tmp_path))
     assert set(paths) == {"submissions", "term_counts", "pairs", "flagged_files", "line_overlap", "summary",
                           "pair_report"}
     back = spark.read.parquet(paths["pairs"])
     assert sorted(back.collect()) == sorted(a.pairs.collect())
     rep = spark.read.parquet(paths["pair_report"]).collect()
+    for name, df in a.tables().items():
+        assert sorted(map(str, spark.read.parquet(paths[name]).collect())) == sorted(map(str, df.collect())), name
     n_flagged = sum(len(r["flagged_files"]) for r in rep)
     assert n_flagged == a.flagged_files.count() and len(rep) == back.count()
 
