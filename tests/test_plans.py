@@ -38,10 +38,9 @@ def _exchanged(plan: str) -> list[str]:
     return re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan, re.S)
 
 
-@pytest.mark.parametrize("prune", [False, True])
-def test_no_content_in_a_shuffle_and_no_cross_join(spark, split_dir, prune):
-    plan = _explained(_lazy(spark, split_dir, overall_thresh=0.05, prune=prune).pairs)
-    assert "regexp_replace" in plan and "WindowGroupLimit" in plan     # the whole way is in sight
+def test_no_content_in_a_shuffle_and_no_cross_join(spark, split_dir):
+    plan = _explained(_lazy(spark, split_dir, overall_thresh=0.05).counts)
+    assert "regexp_replace" in plan     # the whole way is in sight
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan, bad
     exchanged = _exchanged(plan)
@@ -49,8 +48,15 @@ def test_no_content_in_a_shuffle_and_no_cross_join(spark, split_dir, prune):
     assert not [c for c in exchanged if re.search(r"\b(content|norm|text|_tok)#", c)]
 
 
+def test_group_limit_before_the_shuffle(spark):
+    plan = _explained(catalogue._analysis(spark, SF001).pairs)
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_flagged_contents_stay_where_they_are_read(spark, split_dir):
-    plan = _explained(_lazy(spark, split_dir, overall_thresh=0.05).line_overlap)
+    a = _lazy(spark, split_dir)
+    wanted = spark.createDataFrame([(2, "src/f0.py"), (3, "src/f1.py")], "submission_id long, path string")
+    plan = _explained(a.files_of(wanted, a.contents, "content"))
     assert not [c for c in _exchanged(plan) if re.search(r"\b(content|norm|text)#", c)]
 
 
