@@ -24,7 +24,7 @@ def _samples(n, seed):
 STRIPPED = {
     "py": f"regexp_replace(regexp_replace(c, {O.q(O.RE_PY_STR)}, '\"\"', 'g'), {O.q(O.RE_HASH)}, '', 'g')",
     "java": f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, {O.q(O.RE_BLOCK)}, '', 'g'), {O.q(O.RE_SLASH)}, '', 'g'), "
-            f"{O.q(O.RE_DQ)}, '\"\"', 'g'), {O.q(O.RE_SQ)}, , 'g')",
+            f"{O.q(O.RE_DQ)}, '\"\"', 'g'), {O.q(O.RE_SQ)}, '''''', 'g')",
 }
 
 
