@@ -24,27 +24,39 @@ def less(cols: list[str], x: str, y: str) -> F.Column:
     return out
 
 
-def blocked(rows: DataFrame, keys: list[str], ident: list[str], limit: int = LIMIT) -> DataFrame:
-    """``rows`` with _k, the number of blocks of the row's key, and _t, the row's block."""
-    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > limit)
-           .select(*keys, F.ceil(F.col("_m") / limit).cast("int").alias("_k")))
-    out = rows.join(hot, keys, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    return out.withColumn("_t", F.pmod(F.xxhash64(*ident), F.col("_k")).cast("int"))
+def blocked(rows: DataFrame, keys: list[str], ident: list[str], limit: int = LIMIT, size: str | None = None, rank=None) -> DataFrame:
+    """``rows`` with _k, the number of blocks of the row's key, and _t, the row's block.  ``size`` names a column that
+    already has the number of rows of the key, which saves counting them."""
+    if size:
+        out = rows.withColumn("_k", F.greatest(F.ceil(F.col(size) / limit), F.lit(1)).cast("int"))
+    else:
+        hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > limit)
+               .select(*keys, F.ceil(F.col("_m") / limit).cast("int").alias("_k")))
+        out = rows.join(hot, keys, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    block = F.pmod(F.xxhash64(*ident), F.col("_k")) if rank is None else F.least(F.floor(rank * F.col("_k")), F.col("_k") - 1)
+    return out.withColumn("_t", block.cast("int"))
 
 
 def self_pairs(rows: DataFrame, keys: list[str], ident: list[str], values: list[str] = (),
-               limit: int = LIMIT) -> DataFrame:
+               limit: int = LIMIT, size: str | None = None, rank=None) -> DataFrame:
     """All pairs of rows with equal ``keys`` and different ``ident``, once each: the keys, then ident and values
-    of the smaller row (suffix _1) and of the larger (suffix _2), in the order of ``ident``."""
+    of the smaller row (suffix _1) and of the larger (suffix _2), in the order of ``ident``.
+
+    ``rank``, if given, is a column from 0 to 1 that is evenly spread and never falls as ``ident`` grows.  Blocks are
+    then ranges of it, so a lower block holds the smaller rows and no pair has to be turned round."""
     cols = [*ident, *values]
     other = F.col("_o").cast("int")
-    tiles = (blocked(rows.select(*keys, *cols), keys, ident, limit)
+    keep = dict.fromkeys([*keys, *cols, *([size] if size else [])])
+    tiles = (blocked(rows.select(*keep), keys, ident, limit, size, rank)
              .withColumn("_o", F.explode_outer(F.sequence(F.lit(0), F.col("_k") - 1)))
              .withColumn("_i", F.least(other, "_t")).withColumn("_j", F.greatest(other, "_t")))
-    left = tiles.where(F.col("_t") == F.col("_i")).select(*keys, "_i", "_j", *[F.col(c).alias(f"{c}_x") for c in cols])
-    right = tiles.where(F.col("_t") == F.col("_j")).select(*keys, "_i", "_j", *[F.col(c).alias(f"{c}_y") for c in cols])
-    x_first = less(ident, "_x", "_y")
-    pairs = left.join(right, [*keys, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | x_first)
+    x, y = ("_1", "_2") if rank is not None else ("_x", "_y")
+    left = tiles.where(F.col("_t") == F.col("_i")).select(*keys, "_i", "_j", *[F.col(c).alias(f"{c}{x}") for c in cols])
+    right = tiles.where(F.col("_t") == F.col("_j")).select(*keys, "_i", "_j", *[F.col(c).alias(f"{c}{y}") for c in cols])
+    pairs, x_first = left.join(right, [*keys, "_i", "_j"]), less(ident, x, y)
+    if rank is not None:
+        return pairs.where(x_first).drop("_i", "_j")
+    pairs = pairs.where((F.col("_i") < F.col("_j")) | x_first)
 
     def pick(c: str, first: str, second: str, name: str) -> F.Column:
         return F.when(x_first, F.col(f"{c}{first}")).otherwise(F.col(f"{c}{second}")).alias(name)

@@ -28,32 +28,40 @@ CLS_PAIR = ["cls_hi_1", "cls_lo_1", "cls_hi_2", "cls_lo_2"]
 
 
 def class_reps(sets: DataFrame, keyed: DataFrame) -> DataFrame:
-    """One row per content class of ``sets``: (cls_hi, cls_lo, n, ext, members, keys).
+    """One row per content class of ``sets``: (cls_hi, cls_lo, n, members, keys).
     ``keyed`` has the key array of every scanned file; ``first`` is partially
     aggregated, so one array per class and map task crosses the shuffle,
     however many copies the class has."""
-    members = sets.groupBy(*CLS).agg(F.first("n_shingles").alias("n"), F.first("ext").alias("ext"),
-                                     F.count(F.lit(1)).alias("members"))
+    members = sets.groupBy(*CLS).agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("members"))
     arrays = keyed.where(F.col("keys").isNotNull()).groupBy(*CLS).agg(F.first("keys").alias("keys"))
     return members.join(arrays, CLS)
 
 
+def class_rank() -> F.Column:
+    """Place of a class in the order of CLS, from 0 to 1: the high part is 60 evenly spread bits."""
+    return F.col("cls_hi") / F.lit(float(2**60))
+
+
+def class_seats(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """The files of ``sets`` with the number of members of their class."""
+    return sets.join(reps.select(*CLS, "members"), CLS)
+
+
 def class_shingles(reps: DataFrame) -> DataFrame:
-    return (reps.select(*CLS, "n", "members", "ext", T.explode_rows("keys").alias("h"))
+    return (reps.select(*CLS, "n", "members", T.explode_rows("keys").alias("h"))
             .where(F.col("h").isNotNull()))
 
 
 def across_class_counts(reps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Class pairs that share a shingle, with sizes, members and ``inter``."""
-    pairs = self_pairs(class_shingles(reps), ["h"], CLS, ["n", "members", "ext"], limit)
-    return (pairs.groupBy(*CLS_PAIR, "n_1", "n_2", "members_1", "members_2", F.col("ext_1").alias("ext"))
-            .agg(F.count(F.lit(1)).alias("inter")))
+    """Class pairs that share a shingle, with their members and ``inter``."""
+    pairs = self_pairs(class_shingles(reps), ["h"], CLS, ["members"], limit, rank=class_rank())
+    return pairs.groupBy(*CLS_PAIR, "members_1", "members_2").agg(F.count(F.lit(1)).alias("inter"))
 
 
-def within_class_pairs(sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+def within_class_pairs(seats: DataFrame, limit: int = LIMIT) -> DataFrame:
     """File pairs of copies (one class, different submissions); empty files share nothing here."""
-    full = sets.where(F.col("n_shingles") > 0)
-    p = self_pairs(full, CLS, ["submission_id", "path"], ["n_shingles", "ext"], limit)
+    full = seats.where((F.col("members") > 1) & (F.col("n_shingles") > 0))
+    p = self_pairs(full, CLS, ["submission_id", "path"], ["n_shingles", "ext"], limit, size="members")
     n = F.col("n_shingles_1")
     return (p.where(F.col("submission_id_1") < F.col("submission_id_2"))
             .select(F.col("submission_id_1").alias("id_a"), F.col("path_1").alias("path_a"),
@@ -61,39 +69,36 @@ def within_class_pairs(sets: DataFrame, limit: int = LIMIT) -> DataFrame:
                     n.cast("long").alias("inter"), F.col("ext_1").alias("ext"), n.alias("n_a"), n.alias("n_b")))
 
 
-def expand_class_pairs(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
+def expand_class_pairs(pairs: DataFrame, seats: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs of different classes to the file pairs of their members in different submissions, oriented
     id_a < id_b: (id_a, path_a, id_b, path_b, inter, ext, n_a, n_b).  Output-sized: every row is a file pair of the
     result.  The members of a large class are dealt out by blocks."""
-    seats = blocked(sets.select(*CLS, "submission_id", "path"), CLS, ["submission_id", "path"], limit).drop("_k")
+    dealt = blocked(seats, CLS, ["submission_id", "path"], limit, size="members")
 
-    def side(s: str, id_: str) -> DataFrame:
-        return seats.select(*[F.col(c).alias(f"{c}_{s}") for c in CLS], F.col("_t").alias(f"_t{s}"),
-                            F.col("submission_id").alias(f"id_{id_}"), F.col("path").alias(f"path_{id_}"))
+    def side(s: str, id_: str, *more) -> DataFrame:
+        return dealt.select(*[F.col(c).alias(f"{c}_{s}") for c in CLS], F.col("_t").alias(f"_t{s}"), F.col("submission_id").alias(f"id_{id_}"),
+                            F.col("path").alias(f"path_{id_}"), F.col("n_shingles").alias(f"n_{id_}"), *more)
 
     def blocks(s: str) -> F.Column:
-        m = F.col(f"members_{s}")
-        return F.explode_outer(F.sequence(F.lit(0), F.when(m > limit, F.ceil(m / limit) - 1).otherwise(0).cast("int")))
+        return F.explode_outer(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(f"members_{s}") / limit).cast("int") - 1, F.lit(0))))
 
-    p = pairs.withColumn("_t1", blocks("1")).join(side("1", "x"), ["cls_hi_1", "cls_lo_1", "_t1"])
+    p = pairs.select(*CLS_PAIR, "members_2", "inter", blocks("1").alias("_t1")).join(side("1", "x", "ext"), ["cls_hi_1", "cls_lo_1", "_t1"])
     p = p.withColumn("_t2", blocks("2")).join(side("2", "y"), ["cls_hi_2", "cls_lo_2", "_t2"])
     x_first = F.col("id_x") < F.col("id_y")
 
-    def pick(x, y):
-        return F.when(x_first, F.col(x)).otherwise(F.col(y))
+    def pick(c: str, first: str, second: str, name: str) -> F.Column:
+        return F.when(x_first, F.col(f"{c}_{first}")).otherwise(F.col(f"{c}_{second}")).alias(name)
 
     return p.where(F.col("id_x") != F.col("id_y")).select(
-        pick("id_x", "id_y").alias("id_a"), pick("path_x", "path_y").alias("path_a"),
-        pick("id_y", "id_x").alias("id_b"), pick("path_y", "path_x").alias("path_b"),
-        F.col("inter").cast("long").alias("inter"), "ext",
-        pick("n_1", "n_2").alias("n_a"), pick("n_2", "n_1").alias("n_b"))
+        *[pick(c, "x", "y", f"{c}_a") for c in ("id", "path")], *[pick(c, "y", "x", f"{c}_b") for c in ("id", "path")],
+        F.col("inter").cast("long").alias("inter"), "ext", pick("n", "x", "y", "n_a"), pick("n", "y", "x", "n_b"))
 
 
 def shared_shingle_counts(reps: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(id_a, path_a, id_b, path_b, inter, ext, n_a, n_b) for every file pair of
     different submissions that shares a shingle (same or different path)."""
-    across = expand_class_pairs(across_class_counts(reps, limit), sets, limit)
-    return across.unionByName(within_class_pairs(sets, limit))
+    seats = class_seats(sets, reps)
+    return expand_class_pairs(across_class_counts(reps, limit), seats, limit).unionByName(within_class_pairs(seats, limit))
 
 
 def positive_similarities(counts: DataFrame) -> DataFrame:
@@ -185,24 +190,25 @@ def class_pairs_at_least(reps: DataFrame, tau: float, limit: int = LIMIT) -> Dat
               .where(F.col("_pos") <= prefix_length(F.col("n"), tau)).select(*CLS, "h", "n"))
     lo = F.lit(tau) * F.col("n_1") - EPS
     hi = F.col("n_1") / F.lit(tau) + EPS
-    cand = (self_pairs(prefix, ["h"], CLS, ["n"], limit).where((F.col("n_2") >= lo) & (F.col("n_2") <= hi))
+    cand = (self_pairs(prefix, ["h"], CLS, ["n"], limit, rank=class_rank()).where((F.col("n_2") >= lo) & (F.col("n_2") <= hi))
             .select(*CLS_PAIR).distinct())
 
     def side(s: str) -> DataFrame:
         return reps.select(*[F.col(c).alias(f"{c}_{s}") for c in CLS], F.col("keys").alias(f"k{s}"),
-                           F.col("n").alias(f"n_{s}"), F.col("members").alias(f"members_{s}"), F.col("ext").alias(f"ext_{s}"))
+                           F.col("n").alias(f"n_{s}"), F.col("members").alias(f"members_{s}"))
 
     inter = F.size(F.array_intersect("k1", "k2")).cast("long")
     v = (cand.join(side("1"), ["cls_hi_1", "cls_lo_1"]).join(side("2"), ["cls_hi_2", "cls_lo_2"])
-         .select(*CLS_PAIR, "n_1", "n_2", "members_1", "members_2", F.col("ext_1").alias("ext"), inter.alias("inter")))
+         .select(*CLS_PAIR, "n_1", "n_2", "members_1", "members_2", inter.alias("inter")))
     return v.where(T.jaccard("inter", "n_1", "n_2") >= F.lit(tau))
 
 
 def pairs_at_least(reps: DataFrame, sets: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
     """File pairs (any path, different submissions) with Jaccard >= tau,
     via the class-level prefix filter and the member expansion."""
-    found = expand_class_pairs(class_pairs_at_least(reps, tau, limit), sets, limit)
-    copies = within_class_pairs(sets, limit)
+    seats = class_seats(sets, reps)
+    found = expand_class_pairs(class_pairs_at_least(reps, tau, limit), seats, limit)
+    copies = within_class_pairs(seats, limit)
     return positive_similarities(found.unionByName(copies)).where(F.col("similarity") >= F.lit(tau))
 
 

@@ -35,6 +35,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g")
+         # recording the Python call site of every Column costs several round trips to the JVM each
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in SQL_CONF.items():
         b = b.config(k, v)
