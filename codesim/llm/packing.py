@@ -168,7 +168,7 @@ def packed(docs: DataFrame, size: int = 2048, end_id: int = 1, vocabulary: str |
     schema = "_length long, first long, n long, window long, each long, from long"
     plan = spark.createDataFrame(plan, schema)  # a few rows for each length
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "before")
-    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = cut.withColumn("nth", F.row_number().over(inner) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("nth") + F.col("before"))
     on = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     placed = ranked.join(F.broadcast(plan), on)
