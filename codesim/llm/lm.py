@@ -4,9 +4,11 @@ Counts of words and word pairs of the whole training part are quantised to level
 is entered q times, as (n-gram, 1) .. (n-gram, q).  A count is read by probing level after level until one is missing,
 which gives the level's mean count.  The filter is made of segments, small Bloom filters of their own: an n-gram's hash names its segment,
 so each segment is built by one group of the shuffle from about ``per_segment`` occurrences, and their number grows with
-the corpus.  It is broadcast whole to the workers, so its size is checked first: up to ``max_bytes`` it holds every word and every pair
-seen twice or more (a pair seen once has level zero, like a pair not seen); beyond that the count at which a pair's levels
-begin is doubled until it fits, the usual cut-off of n-gram models.
+the corpus.  It holds every word, and every pair seen ``pair_first`` times or more: 1, as the query has it, files all pairs; with 2, the
+default, a pair seen once counts as one not seen.  The size of the input never changes that.  Up to ``max_bytes`` it is broadcast whole to the
+workers; beyond that it stays in its stored table: the texts are cut into chunks, a chunk's distinct words and pairs go as one
+row to each segment's group, are probed there, and their levels come back to the chunk.  Both ways read the same segments, so
+they give the same scores.
 
 P(w | v) = weight * c(v, w) / c(v) + (1 - weight) * (c(w) + 0.5) / (N + 0.5 (V + 1)), with the counts read from the filter.
 
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -194,6 +197,12 @@ def _places(low: np.ndarray, level, bits: np.ndarray) -> np.ndarray:
     return np.stack([(x + U(i) * step) % bits for i in range(PROBES)])
 
 
+def _low(raw: bytes) -> np.ndarray:
+    """Hashes from their low six bytes."""
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], axis=1).view("<u8").ravel().astype(np.uint64)
+
+
 def _segment(kinds: list[int], hashes: list[bytes], counts: list[bytes], pair_first: int, base: float) -> bytes:
     """The bits of one segment from all its parcels."""
     low, first, total = [], [], []
@@ -201,8 +210,7 @@ def _segment(kinds: list[int], hashes: list[bytes], counts: list[bytes], pair_fi
         picked = [i for i, k in enumerate(kinds) if k == kind]
         if not picked:
             continue
-        raw = np.frombuffer(b"".join(hashes[i] for i in picked), np.uint8).reshape(-1, 6)
-        h = np.concatenate([raw, np.zeros((len(raw), 2), np.uint8)], axis=1).view("<u8").ravel().astype(np.uint64)
+        h = _low(b"".join(hashes[i] for i in picked))
         n = np.frombuffer(b"".join(counts[i] for i in picked), "<u4").astype(np.int64)
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
@@ -244,6 +252,9 @@ class LogFrequencyFilter:
         self.means = {1: level_means(1, base, self.most), 2: level_means(pair_first, base, self.most)}
 
     def counts(self, hashes: np.ndarray, kind: int) -> np.ndarray:
+        return self.means[kind][self.levels(hashes)]
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level after level is probed for those that had all levels before."""
         seg = ((hashes >> U(48)) % U(self.n)).astype(np.int64)
         low, bits, start = hashes & U((1 << 48) - 1), self.bits[seg], self.start[seg]
@@ -256,24 +267,71 @@ class LogFrequencyFilter:
             if not len(live):
                 break
             level[live] = q
-        return self.means[kind][level]
+        return level
+
+
+def build(train: DataFrame, counts: DataFrame, documents: int, segments: int, pair_first: int, base: float) -> DataFrame:
+    """(seg, data): the filter over all n-grams of ``train``, stored."""
+    parcels = pair_parcels(train, segments).unionByName(word_parcels(counts, documents, segments))
+    return stored(parcels.groupBy("seg").applyInArrow(_segments(pair_first, base), "seg long, data binary"))
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of each row and of its chunk of about ``CHUNK`` bytes, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = chunk = TaskContext.get().partitionId() << 40
+        size = 0
+        for b in batches:
+            at = []
+            for n in pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist():
+                at.append(chunk)
+                size += n
+                if size >= CHUNK:
+                    chunk, size = chunk + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.arange(uid, uid + b.num_rows)), *b.columns], ["chunk", "uid", "doc_id", "held_out", "text"])
+            uid += b.num_rows
 
+    return stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, uid long, doc_id long, held_out boolean, text string"))
 
-def build(train: DataFrame, counts: DataFrame, documents: int, segments: int, base: float, max_bytes: int) -> LogFrequencyFilter:
-    """The filter over all n-grams of ``train``."""
-    pair_first = 2
-    while True:
-        parcels = pair_parcels(train, segments).unionByName(word_parcels(counts, documents, segments))
 
-        made = stored(parcels.groupBy("seg").applyInArrow(_segments(pair_first, base), "seg long, data binary"))
-        size = made.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        if size <= max_bytes or pair_first >= 1 << 30:
-            # collected to be broadcast: at most max_bytes
-            return LogFrequencyFilter({r["seg"]: bytes(r["data"]) for r in made.toLocalIterator()}, segments, base, pair_first)
-        pair_first *= 2
+def _asked(t: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct keys, in order, and the places among them: of the words in ``t.hashes`` and of all occurrences' pairs."""
+    return [np.unique(word_key(t.hashes), return_inverse=True), np.unique(t.pairs()[1], return_inverse=True)]
 
 
-def scores(docs: DataFrame, folds: int = 5, weight: float = 0.15, base: float = 1.5, frequent: int = 200_000, per_segment: int = 1_500_000, max_bytes: int = 512 << 20) -> DataFrame:
+def _whole(table: pa.Table) -> list[list[bytes]]:
+    """The tokens of the texts of a chunk."""
+    return [(cell.as_py() or b"").lower().split() for cell in table.column("text").cast(pa.binary())]
+
+
+def segment_levels(pieces: DataFrame, grams: DataFrame, segments: int, base: float) -> DataFrame:
+    """(chunk, seg, words, pairs): levels of the distinct words and pairs of each chunk that lie in the segment, in the order of their hashes."""
+
+    def ask(key, table):
+        keys = [k for k, _ in _asked(Tokens(_whole(table)))]
+        seg = [(k >> U(48)) % U(segments) for k in keys]
+        present = np.unique(np.concatenate(seg))
+        cols = []
+        for k, s in zip(keys, seg):
+            order = np.argsort(s, kind="stable")
+            low = np.ascontiguousarray(k[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            ends = np.searchsorted(s[order], present, "right")
+            cols.append(pa.array([low[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)], pa.binary()))
+        return pa.table([pa.array([key[0].as_py()] * len(present), pa.int64()), pa.array(present.astype(np.int64)), *cols], names=["chunk", "seg", "words", "pairs"])
+
+    def answer(key, asked, made):
+        data = {0: d.as_py() for d in made.column("data")}
+        one = LogFrequencyFilter(data, 1, base, 1)
+        out = [pa.array([one.levels(_low(h.as_py())).astype(np.uint8).tobytes() for h in asked.column(c)], pa.binary()) for c in ("words", "pairs")]
+        return pa.table([asked.column("chunk"), asked.column("seg"), *out], names=["chunk", "seg", "words", "pairs"])
+
+    schema = "chunk long, seg long, words binary, pairs binary"
+    probes = pieces.groupBy("chunk").applyInArrow(ask, schema)
+    return probes.groupBy("seg").cogroup(grams.groupBy("seg")).applyInArrow(answer, schema)
+
+
+def scores(docs: DataFrame, folds: int = 5, weight: float = 0.15, base: float = 1.5, frequent: int = 200_000, per_segment: int = 1_500_000, max_bytes: int = 512 << 20, pair_first: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id"), folds))
@@ -284,52 +342,82 @@ def scores(docs: DataFrame, folds: int = 5, weight: float = 0.15, base: float =
     total, distinct = (sums.n or 0) + documents, sums.v + (documents > 0)
     common = {r.token.encode(): r.n for r in counts.orderBy(F.desc("n"), "token").limit(frequent).toLocalIterator()}
     segments = max(1, -(-total // per_segment))
-    grams = build(train, counts, documents, segments, base, max_bytes)
-    sent = spark.sparkContext.broadcast((grams, common))
+    grams = build(train, counts, documents, segments, pair_first, base)
+    size = grams.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     least, whole = 0.5, total + 0.5 * (distinct + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, common = sent.value
-        uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            n = b.num_rows
-            size, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            exact, score = np.zeros(n), np.zeros(n)
-            rare: list[list] = [[] for _ in range(n)]
-            for at, texts in chunks(b.column(2).cast(pa.binary())):
-                t = Tokens(texts)
-                here = slice(at, at + len(texts))
-                starts = t.ends - t.sizes + 1
-                size[here] = t.sizes
-                # exact counts; -1 where only the count table knows
-                c = np.fromiter((common.get(w, -1) for w in t.distinct), np.float64, len(t.distinct))
-                c = np.append(c, documents)
-                own = c[t.ids]
-                sure = own >= 0
-                known[here] = np.add.reduceat((own > 0).astype(np.int64), starts)
-                exact[here] = np.add.reduceat(np.where(sure, np.log10(np.maximum(own, 0) + least), 0.0), starts)
-                unsure = np.flatnonzero(~sure)
-                for i, doc in zip(t.ids[unsure].tolist(), np.searchsorted(t.ends, unsure).tolist()):
-                    rare[at + doc].append(t.distinct[i])
-                # the model
-                words = grams.counts(word_key(t.hashes), 1)
-                before, pairs = t.pairs()
-                one, where = np.unique(pairs, return_inverse=True)
-                both = grams.counts(one, 2)[where]
-                context = np.empty(len(t.ids))
-                context[1:] = words[t.ids[:-1]]
-                context[starts] = documents
-                # a pair is filed only if seen twice, so where either part was seen less often the answer is false
-                most = np.minimum(context, words[t.ids])
-                both = np.where(most >= 2, np.minimum(both, most), 0.0)
-                p = weight * np.minimum(1.0, np.divide(both, context, out=np.zeros(len(both)), where=context > 0)) + (1 - weight) * (words[t.ids] + least) / whole
-                score[here] = np.add.reduceat(np.log10(p), starts)
-            ids = pa.array(np.arange(uid, uid + n))
-            uid += n
-            tallies = [Counter(r) for r in rare]
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(1), pa.array(size), pa.array(known), pa.array(exact), pa.array(score), pa.array([[w.decode() for w in r] for r in tallies], pa.list_(pa.string())), pa.array([list(r.values()) for r in tallies], pa.list_(pa.int64()))], ["uid", "doc_id", "held_out", "n_tokens", "known", "exact", "score", "rare", "times"])
-
-    made = stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, known long, exact double, score double, rare array<string>, times array<long>"))
+    def rows(ids, b, pieces, common, lookup) -> pa.RecordBatch:
+        """The rows of ``b``, whose texts come in ``pieces``; ``lookup`` gives the filter's counts of a piece's words and of its occurrences' pairs."""
+        n = b.num_rows
+        size, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        exact, score = np.zeros(n), np.zeros(n)
+        rare: list[list] = [[] for _ in range(n)]
+        for at, texts in pieces:
+            t = Tokens(texts)
+            here = slice(at, at + len(texts))
+            starts = t.ends - t.sizes + 1
+            size[here] = t.sizes
+            # exact counts; -1 where only the count table knows
+            c = np.fromiter((common.get(w, -1) for w in t.distinct), np.float64, len(t.distinct))
+            c = np.append(c, documents)
+            own = c[t.ids]
+            sure = own >= 0
+            known[here] = np.add.reduceat((own > 0).astype(np.int64), starts)
+            exact[here] = np.add.reduceat(np.where(sure, np.log10(np.maximum(own, 0) + least), 0.0), starts)
+            unsure = np.flatnonzero(~sure)
+            for i, doc in zip(t.ids[unsure].tolist(), np.searchsorted(t.ends, unsure).tolist()):
+                rare[at + doc].append(t.distinct[i])
+            # the model
+            words, both = lookup(t)
+            context = np.empty(len(t.ids))
+            context[1:] = words[t.ids[:-1]]
+            context[starts] = documents
+            # a pair is filed only from pair_first on, so where either part was seen less often the answer is false
+            most = np.minimum(context, words[t.ids])
+            both = np.where(most >= pair_first, np.minimum(both, most), 0.0)
+            p = weight * np.minimum(1.0, np.divide(both, context, out=np.zeros(len(both)), where=context > 0)) + (1 - weight) * (words[t.ids] + least) / whole
+            score[here] = np.add.reduceat(np.log10(p), starts)
+        tallies = [Counter(r) for r in rare]
+        return pa.RecordBatch.from_arrays([ids, b.column("doc_id"), b.column("held_out"), pa.array(size), pa.array(known), pa.array(exact), pa.array(score), pa.array([[w.decode() for w in r] for r in tallies], pa.list_(pa.string())), pa.array([list(r.values()) for r in tallies], pa.list_(pa.int64()))], ["uid", "doc_id", "held_out", "n_tokens", "known", "exact", "score", "rare", "times"])
+
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, exact double, score double, rare array<string>, times array<long>"
+    if size <= max_bytes:
+        # collected to be broadcast: at most max_bytes
+        sent = spark.sparkContext.broadcast((LogFrequencyFilter({r["seg"]: bytes(r["data"]) for r in grams.toLocalIterator()}, segments, base, pair_first), common))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams, common = sent.value
+
+            def lookup(t):
+                (words, at), (pairs, where) = _asked(t)
+                return grams.counts(words, 1)[at], grams.counts(pairs, 2)[where]
+
+            uid = TaskContext.get().partitionId() << 40
+            for b in batches:
+                yield rows(pa.array(np.arange(uid, uid + b.num_rows)), b, chunks(b.column("text").cast(pa.binary())), common, lookup)
+                uid += b.num_rows
+
+        made = docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    else:
+        sent = spark.sparkContext.broadcast(common)
+        means = [level_means(first, base, 128) for first in (1, pair_first)]
+
+        def gather(key, table, answers):
+            def lookup(t):
+                out = []
+                for (keys, where), column, mean in zip(_asked(t), ("words", "pairs"), means):
+                    seg, level = (keys >> U(48)) % U(segments), np.zeros(len(keys), np.int64)
+                    order, parts = np.argsort(seg, kind="stable"), dict(zip(answers.column("seg").to_pylist(), answers.column(column).to_pylist()))
+                    level[order] = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8)
+                    out.append(mean[level][where])
+                return out
+
+            table = table.combine_chunks()
+            return pa.Table.from_batches([rows(table.column("uid").combine_chunks(), table.to_batches()[0], [(0, _whole(table))], sent.value, lookup)])
+
+        pieces = cut(docs)
+        made = pieces.groupBy("chunk").cogroup(segment_levels(pieces, grams, segments, base).groupBy("chunk")).applyInArrow(gather, schema)
+    made = stored(made)
     rest = made.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     rest = rest.join(counts, "token", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + least)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
     out = made.drop("rare", "times").join(rest, "uid", "left")

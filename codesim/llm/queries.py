@@ -26,7 +26,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_lm_scoring(spark, sf_dir):
-    return lm.scores(table(spark, sf_dir, "documents"))
+    return lm.scores(table(spark, sf_dir, "documents"), pair_first=1)
 
 
 def op6_sequence_packing(spark, sf_dir):

@@ -85,3 +85,21 @@ def test_empty_table_and_no_training(docs_of):
     only = next(i for i in range(100) if held(i))
     r = lm.scores(docs_of([(only, "some words")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0.0)
+
+
+def test_pairs_seen_once_count_at_every_size(docs_of, spark, tmp_path):
+    from codesim.llm.queries import QUERIES
+
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(80)], k=rng.randint(0, 60)))) for i in range(200)]
+    out = [i for i in range(1000, 1100) if held(i)][:2]
+    # "solo" and "act" stand together once in the training part, "act" and "solo" never
+    rows += [(next(i for i in range(900, 999) if not held(i)), "solo act then act w1 solo"), (out[0], "solo act"), (out[1], "act solo"), (None, None), (3, "")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_tokens, round(r.score, 9))
+    got = sorted(map(key, QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect()))
+    by = {k[1]: k[3] for k in got}
+    assert by[out[0]] > by[out[1]]
+    for first in (1, 2):
+        whole, parts = (sorted(map(key, lm.scores(docs_of(rows), per_segment=500, max_bytes=m, pair_first=first).collect())) for m in (512 << 20, 0))
+        assert len(whole) == len(rows) and whole == parts
