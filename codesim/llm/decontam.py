@@ -10,7 +10,7 @@ the same join runs as a shuffle.  Only hits leave the scan, next to one row
 per document that carries its word count.
 
 Defined results: null and empty texts have no words and are never hit; items without
-words or without an id match nothing; a window shared by items counts for each; rows that repeat a doc_id
+words match nothing; items without an id hit like any other, are counted together as one of ``n_items`` and are left out of ``items``; a window shared by items counts for each; rows that repeat a doc_id
 are told apart by their text, equal rows get equal answers; empty tables give empty results or
 no hits; other columns are ignored (``remove_*`` pass them on).
 """
@@ -38,12 +38,12 @@ def _hash(hashes: str, at, k: int) -> F.Column:
 
 
 def test_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """h, len, gram (array of words), items (array of item_id): one row per distinct window."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """h, len, gram (array of words), items (array of item_id, null among them): one row per distinct window."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     long = F.size("w") >= window
     starts = items.withColumn("at", F.explode_outer(F.when(long, F.sequence(F.lit(0), F.size("w") - window)).otherwise(F.array(F.lit(0)))))
     grams = starts.select("item_id", F.when(long, F.array(*(F.get("w", F.col("at") + j) for j in range(window)))).otherwise(F.col("w")).alias("gram"))
-    grams = grams.groupBy("gram").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("len", F.size("gram")).withColumn("g", F.transform("gram", lambda x: F.xxhash64(x)))
+    grams = grams.groupBy("gram").agg(F.sort_array(F.flatten(F.collect_set(F.array("item_id")))).alias("items")).withColumn("len", F.size("gram")).withColumn("g", F.transform("gram", lambda x: F.xxhash64(x)))
     h = F.coalesce(*(F.when(F.col("len") == k, _hash("g", F.lit(0), k)) for k in range(1, window + 1)))
     return grams.select(h.alias("h"), "len", "gram", "items")
 
@@ -85,7 +85,7 @@ def _shuffled(docs: DataFrame, rows: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, key, n_words, n_hit, items (sorted array of item ids), spans (array of
+    """Per row of ``docs``: doc_id, key, n_words, n_hit, n_items, items (sorted array of item ids), spans (array of
     (at, len): the disjoint runs of hit words, in order)."""
     found = scan(docs, benchmark, window, max_broadcast)
     hit = F.col("at") >= 0
@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["len"])
     # equal rows were counted together: give each its row again
     again = F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("rows")))
-    return per.withColumn("n_hit", n_hit).select("doc_id", "key", "n_words", "n_hit", "items", "spans", again.alias("_nth")).drop("_nth")
+    return per.withColumn("n_hit", n_hit).select("doc_id", "key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_compact("items").alias("items"), "spans", again.alias("_nth")).drop("_nth")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -46,7 +46,7 @@ def op8_simhash_near_dedup(spark, sf_dir):
 def op9_benchmark_decontamination(spark, sf_dir):
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.sort_array(F.transform("items", lambda i: i.cast("string"))))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_pii_pseudonyms(spark, sf_dir):

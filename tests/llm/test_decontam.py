@@ -94,3 +94,13 @@ def test_query_digest(spark, tmp_path, docs_of, case):
     got = QUERIES["op9_benchmark_decontamination"](spark, str(tmp_path)).where(F.col("doc_id") == 54).first()
     ids = brute([d for d in docs if d[0] == 54], bench)[0][3]
     assert got.items_sha256 == hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest() and got.n_items == len(ids)
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_item_without_id_is_a_hit_as_in_the_sql(spark, docs_of, bound):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta epsilon"), (5, "alpha beta gamma"), (6, "zeta eta")], "item_id long, text string")
+    docs = docs_of([(1, "so Alpha, beta gamma!"), (2, "and delta epsilon too"), (3, "clean"), (4, "zeta eta")])
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], [tuple(s) for s in r.spans]) for r in D.contamination(docs, bench, max_broadcast=bound).collect()}
+    # n_items as OP9 counts: the null id is one of the distinct ids
+    assert got == {1: (3, 2, [5], [(1, 3)]), 2: (2, 1, [], [(1, 2)]), 3: (0, 0, [], []), 4: (2, 1, [6], [(0, 2)])}
+    assert [r.doc_id for r in D.remove_documents(docs, bench).collect()] == [3]
