@@ -89,3 +89,9 @@ def test_long_text_empty_table_and_plan(docs_of, capsys):
     assert D.pseudonymised(docs_of([])).count() == 0
     D.pseudonymised(docs_of([(1, "x")])).explain()
     assert not re.search("Python|Pandas|Arrow|Exchange", capsys.readouterr().out)
+
+
+def test_mail_before_a_full_stop_keeps_its_link(docs_of):
+    got = D.pseudonymised(docs_of([(1, "a.b@c.com"), (2, "Write to a.b@c.com. Or a.b@c.com, then.")]), "k")
+    by = {r.doc_id: r.text for r in got.collect()}
+    assert by[1] != "a.b@c.com" and by[2] == f"Write to {by[1]}. Or {by[1]}, then."
