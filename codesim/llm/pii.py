@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms by a keyed Feistel network.  DataFrame functions only.
 
-Found: card numbers (Luhn), phone numbers (North American numbering), IPv4 addresses, social security numbers
+Found: card numbers (Luhn), phone numbers (North American form, whatever their codes), IPv4 addresses, social security numbers
 and calendar dates, each only where it is valid, and e-mail addresses.  A value is read as a number
 of its kind's domain Z_a x Z_b, permuted by ``ROUNDS`` alternating rounds x += PRF(key, kind, round, y) and written in
 the format it was found in, so the result is valid again: cards keep length, first digit, separators and get their check
@@ -22,7 +22,7 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9])(?:(?:1[89]|2[01])[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([/.])(?:0[1-9]|1[0-2])\2(?:1[89]|2[01])[0-9]{2})(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
@@ -101,8 +101,14 @@ def _phone(x: Column, key: str) -> Column:
     d = _digits(x)
     country, local = F.substr(d, F.lit(1), F.length(d) - 10), _tail(d, F.length(d) - 9)
     part = lambda at, n: F.substr(local, F.lit(at), F.lit(n)).cast("long")
-    y = feistel((part(1, 3) - 200) * 8_000_000 + (part(4, 3) - 200) * 10_000 + part(7, 4), 80_000, 80_000, key, "phone")
-    out = F.concat((F.floor(y / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(y / 10_000), F.lit(800)) + 200).cast("string"), _pad(F.pmod(y, F.lit(10_000)), 4))
+    # codes under 200, which the numbering plan lacks, have a domain of their own: a valid number stays valid
+    area, exchange = part(1, 3), part(4, 3)
+    least = lambda c: F.when(c < 200, 0).otherwise(200).cast("long")
+    size = lambda c: F.when(c < 200, 200).otherwise(800).cast("long")
+    tweak = F.concat(F.when(area < 200, "a").otherwise(""), F.when(exchange < 200, "e").otherwise(""))
+    y = feistel(((area - least(area)) * size(exchange) + exchange - least(exchange)) * 10_000 + part(7, 4), size(area) * 100, size(exchange) * 100, key, "phone", tweak)
+    codes = F.floor(y / 10_000)
+    out = F.concat(_pad(F.floor(codes / size(exchange)) + least(area), 3), _pad(F.pmod(codes, size(exchange)) + least(exchange), 3), _pad(F.pmod(y, F.lit(10_000)), 4))
     return _in_format(x, F.concat(country, out))
 
 

@@ -95,3 +95,15 @@ def test_mail_before_a_full_stop_keeps_its_link(docs_of):
     got = D.pseudonymised(docs_of([(1, "a.b@c.com"), (2, "Write to a.b@c.com. Or a.b@c.com, then.")]), "k")
     by = {r.doc_id: r.text for r in got.collect()}
     assert by[1] != "a.b@c.com" and by[2] == f"Write to {by[1]}. Or {by[1]}, then."
+
+
+def test_phones_of_every_code_within_their_format(docs_of):
+    rng = random.Random(12)
+    some = sorted({f"+1 ({rng.choice([0, 17, 100, 199, 200, 555, 999]):03d}) {rng.choice([0, 55, 199, 200, 555]):03d}-{rng.randint(0, 9999):04d}" for _ in range(300)})
+    got = values(docs_of(list(enumerate([*some, "017-555-7713", "017 155.7713"]))))
+    code = lambda s: [x < "200" for x in (re.sub(r"\D", "", s)[-10:-7], re.sub(r"\D", "", s)[-7:-4])]
+    for v, p in got.items():
+        assert re.sub(r"\d", "9", p) == re.sub(r"\d", "9", v) and code(p) == code(v)
+    assert len(set(got.values())) == len(got) and sum(v == p for v, p in got.items()) == 0
+    text = D.pseudonymised(docs_of([(1, "call +1 (017) 555-7713.")]), "k").first().text
+    assert re.fullmatch(r"call \+1 \([01]\d\d\) [2-9]\d\d-\d{4}\.", text) and "(017) 555-7713" not in text
