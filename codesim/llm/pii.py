@@ -5,7 +5,8 @@ and calendar dates, each only where it is valid, and e-mail addresses.  A value
 of its kind's domain Z_a x Z_b, permuted by ``ROUNDS`` alternating rounds x += PRF(key, kind, round, y) and written in
 the format it was found in, so the result is valid again: cards keep length, first digit, separators and get their check
 digit; dates stay in the 400-year cycle from 1800 on (189 * 773 days); e-mails keep their domain and the kinds of characters.
-The permutation depends on key and value alone: equal values get equal pseudonyms in
+Cards are looked for in every stretch of digit groups a blank or hyphen apart, at every group and length, so that numbers beside a
+card don't hide it.  The permutation depends on key and value alone: equal values get equal pseudonyms in
 every document, whatever the separators, without any join; different values stay different.
 
 Defined results: null and empty texts stay as they are; repeated rows get equal results; invalid look-alikes
@@ -26,7 +27,12 @@ PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9])(?:(?:1[89]|2[01])[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([/.])(?:0[1-9]|1[0-2])\2(?:1[89]|2[01])[0-9]{2})(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((MAIL, IP, SSN, DATE.replace(r"\1", r"\1"), PHONE, CARD))
+DATE_IN = DATE.replace(r"\1", r"\3").replace(r"\2", r"\4")
+#: Groups of digits, a blank or hyphen apart, up to the first that begins a value of another kind.  In ``ANY`` its dates' groups are 3 and 4.
+STRETCH = rf"(?<![0-9])(?=(?:[0-9][ -]?){{12}}[0-9])[0-9]++(?:[ -](?!{'|'.join((MAIL, IP, SSN, DATE_IN, PHONE))})[0-9]++)*+"
+ANY = "|".join((MAIL, IP, SSN, DATE, PHONE, STRETCH))
+#: Digits in the groups of cards as they are printed; one unbroken group is the other usual form.
+PRINTED = ("4,4,4,4", "4,6,5")
 KINDS = ("mail", "ip", "ssn", "date", "phone", "card")
 
 
@@ -97,6 +103,45 @@ def _card(x: Column, key: str) -> Column:
     return F.when(valid, _in_format(x, F.concat(payload, _check_digit(payload))))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cards_apart(x: Column) -> Column:
+    """A stretch cut into (value, kind): its cards and what stands between them, in order.  Every run of whole groups with a
+    valid check digit counts; from the left, those as printed come first, then the longest of the others that hold none of these."""
+    entry = lambda v, k: F.struct(v.alias("value"), F.lit(k).cast("string").alias("kind"))
+
+    def valid(d: Column) -> Column:
+        return F.when(~F.length(d).between(13, 19), False).otherwise(F.substr(d, F.length(d), F.lit(1)) == _check_digit(F.substr(d, F.lit(1), F.length(d) - 1)))
+
+    def of_groups(g: Column) -> Column:
+        n = F.size(g)
+        joined = lambda i, k: F.array_join(F.slice(g, i, k), "")
+        printed = lambda i, k: (k == 1) | F.array_join(F.transform(F.slice(g, i, k), lambda w: F.length(w).cast("string")), ",").isin(*PRINTED)
+        runs = lambda i: F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i + 1)), lambda k: valid(joined(i, k)))
+        starts = F.transform(F.sequence(F.lit(1), n), lambda i: _let(runs(i), lambda ks: F.struct(i.alias("i"), ks.alias("all"), F.filter(ks, lambda k: printed(i, k)).alias("printed"))))
+
+        def of_starts(s: Column) -> Column:
+            def longest(a: Column) -> Column:
+                return F.coalesce(F.array_max(F.filter(a["all"], lambda k: ~F.exists(F.slice(s, a["i"] + 1, k - 1), lambda b: F.size(b["printed"]) > 0))), F.lit(0))
+
+            first = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<i:int,k:int>>").alias("cuts"))
+            taken = lambda t, a: _let(F.when(a["i"] < t["free"], 0).when(F.size(a["printed"]) > 0, F.array_max(a["printed"])).when(F.size(a["all"]) > 0, longest(a)).otherwise(0), lambda k: F.when(k > 0, F.struct((a["i"] + k).alias("free"), F.concat(t["cuts"], F.array(F.struct(a["i"].alias("i"), k.alias("k")))).alias("cuts"))).otherwise(t))
+            return F.aggregate(s, first, taken, lambda t: t["cuts"])
+
+        # the place of a group's first character
+        place = lambda i: F.when(i == 1, 1).otherwise(F.length(F.array_join(F.slice(g, 1, i - 1), " ")) + 2)
+        size = lambda c: F.length(F.array_join(F.slice(g, c["i"], c["k"]), " "))
+        spots = lambda cuts: F.transform(cuts, lambda c: F.struct(place(c["i"]).alias("at"), size(c).alias("n")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<value:string,kind:string>>").alias("out"))
+        add = lambda t, c: F.struct((c["at"] + c["n"]).alias("at"), F.concat(t["out"], F.array(entry(F.substr(x, t["at"], c["at"] - t["at"]), None), entry(F.substr(x, c["at"], c["n"]), "card"))).alias("out"))
+        return _let(_let(starts, of_starts), lambda cuts: F.aggregate(spots(cuts), start, add, lambda t: F.concat(t["out"], F.array(entry(_tail(x, t["at"]), None)))))
+
+    return _let(F.split(x, "[ -]"), of_groups)
+
+
 def _phone(x: Column, key: str) -> Column:
     d = _digits(x)
     country, local = F.substr(d, F.lit(1), F.length(d) - 10), _tail(d, F.length(d) - 9)
@@ -167,32 +212,37 @@ def kind(x: Column) -> Column:
 
 
 def pseudonym(x: Column, key: str) -> Column:
-    """The pseudonym of a match of ``ANY``; null where the value isn't valid."""
-    k = kind(x)
+    """The pseudonym of a value of any kind; null where it isn't valid."""
+    return _pseudonym(x, kind(x), key)
+
+
+def _pseudonym(x: Column, k: Column, key: str) -> Column:
     return F.when(k == "mail", _mail(x, key)).when(k == "ip", _ip(x, key)).when(k == "ssn", _ssn(x, key)).when(k == "date", _date(x, key)).when(k == "phone", _phone(x, key)).when(k == "card", _card(x, key))
 
 
 def found(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with _found: an array of (value, kind, pseudonym or null), in the text's order."""
+    """``docs`` with _found: for each match of ``ANY``, in the text's order, an array of (value, kind, pseudonym or null).  A stretch is
+    cut into its cards and what stands between them, which has no kind; any other match is one value."""
     rows = docs.withColumn("__pii_match", F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
-    entry = lambda x: F.struct(x.alias("value"), kind(x).alias("kind"), pseudonym(x, key).alias("pseudonym"))
-    return rows.withColumn("__pii_found", F.when(F.size("__pii_match") > 0, F.transform("__pii_match", entry))).drop("__pii_match")
+    parts = lambda x: _let(kind(x), lambda k: F.when(k.isNull() | (k == "card"), _cards_apart(x)).otherwise(F.array(F.struct(x.alias("value"), k.alias("kind")))))
+    entry = lambda v: F.struct(v["value"].alias("value"), v["kind"].alias("kind"), _pseudonym(v["value"], v["kind"], key).alias("pseudonym"))
+    return rows.withColumn("__pii_found", F.when(F.size("__pii_match") > 0, F.transform("__pii_match", lambda x: F.transform(parts(x), entry)))).drop("__pii_match")
 
 
-def pseudonymised(docs: DataFrame, key: str = "codesim") -> DataFrame:
-    """``docs`` with ``text`` rewritten; columns and their order stay."""
-    rows = found(docs, key)
+def _rewritten() -> Column:
     between = F.split(F.col("text"), ANY, -1)
-    new = F.transform(F.col("__pii_found"), lambda f: F.coalesce(f["pseudonym"], f["value"]))
+    new = F.transform(F.col("__pii_found"), lambda m: F.array_join(F.transform(m, lambda f: F.coalesce(f["pseudonym"], f["value"])), ""))
     text = F.concat_ws("", F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    return rows.withColumn("text", F.when(F.size("__pii_found") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    return F.when(F.size("__pii_found") > 0, text).otherwise(F.col("text")).alias("text")
+
+
+def pseudonymised(docs: DataFrame, key: str = "codesim") -> DataFrame:
+    """``docs`` with ``text`` rewritten; columns and their order stay."""
+    return found(docs, key).withColumn("text", _rewritten()).select(*docs.columns)
 
 
 def report(docs: DataFrame, key: str = "codesim") -> DataFrame:
     """doc_id, text (rewritten) and the number of replaced values of each kind."""
     rows = found(docs.select("doc_id", "text"), key)
-    between = F.split(F.col("text"), ANY, -1)
-    new = F.transform(F.col("__pii_found"), lambda f: F.coalesce(f["pseudonym"], f["value"]))
-    text = F.concat_ws("", F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    n = lambda k: F.coalesce(F.size(F.filter("__pii_found", lambda f: (f["kind"] == k) & f["pseudonym"].isNotNull())), F.lit(0)).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", F.when(F.size("__pii_found") > 0, text).otherwise(F.col("text")).alias("text"), *(n(k) for k in KINDS))
+    n = lambda k: F.coalesce(F.size(F.filter(F.flatten("__pii_found"), lambda f: (f["kind"] == k) & f["pseudonym"].isNotNull())), F.lit(0)).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", _rewritten(), *(n(k) for k in KINDS))

@@ -107,3 +107,46 @@ def test_phones_of_every_code_within_their_format(docs_of):
     assert len(set(got.values())) == len(got) and sum(v == p for v, p in got.items()) == 0
     text = D.pseudonymised(docs_of([(1, "call +1 (017) 555-7713.")]), "k").first().text
     assert re.fullmatch(r"call \+1 \([01]\d\d\) [2-9]\d\d-\d{4}\.", text) and "(017) 555-7713" not in text
+
+
+def test_values_beside_other_numbers_against_brute_force(docs_of):
+    beside = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "5 4111-1111-1111-1111", "1234 4111 1111 1111 1111 9", "4111 1111 1111 1111 5500 0000 0000 0004", "77 3782-822463-10005 31/12/1999", "1 4222 222 222 222 7"]
+    others = {"94107 123-45-6789": "123-45-6789", "12345 2024-01-15": "2024-01-15", "99 212-555-1212 12345": "212-555-1212", "4111 1111 1111 1111 2024-01-15": "2024-01-15"}
+    rng = random.Random(13)
+    loose = ["".join(rng.choice("0123456789") + rng.choice(["", "", "", " ", "-"]) for _ in range(rng.randint(13, 40))) + "0" for _ in range(150)]
+    texts = [*beside, *others, *loose]
+    got = {r.doc_id: r for r in D.report(docs_of([(i, f"x {t} y") for i, t in enumerate(texts)]), "k").collect()}
+
+    def valid_runs(t):
+        """Every start and length, at the bounds of groups."""
+        for a in range(len(t)):
+            for b in range(a + 13, len(t) + 1):
+                d = re.sub("[ -]", "", t[a:b])
+                if not t[a:b][0].isdigit() or not t[a:b][-1].isdigit() or not d.isdigit() or re.search("[ -]{2}", t[a:b]) or (a and t[a - 1].isdigit()) or t[b:b + 1].isdigit():
+                    continue
+                if 13 <= len(d) <= 19 and luhn(d):
+                    yield a, b
+
+    shape = lambda s: re.sub(r"\d", "9", s)
+    for i, t in enumerate(texts):
+        new = got[i].text[2:-2]
+        assert shape(new) == shape(t)
+        if t in others:
+            assert others[t] not in new
+            continue
+        if any(got[i][f"n_{k}"] for k in D.KINDS if k != "card") and t in loose:
+            continue
+        runs = list(valid_runs(t))
+        assert (got[i].n_card > 0) == bool(runs), t
+        for a, b in runs:  # none is left whole in clear
+            assert new[a:b] != t[a:b], t
+    assert got[4].n_card == 2 and got[5].n_date == 1 and all(got[i].n_card == 1 for i in (0, 1, 2, 3))
+    assert got[0].text.endswith(" 12/27 y") and got[3].text.startswith("x 1234 ") and got[3].text.endswith(" 9 y")
+    one = {got[0].text[2:21], got[2].text[4:23].replace("-", " "), got[3].text[7:26], got[4].text[2:21]}
+    assert len(one) == 1
+
+
+def test_long_rows_of_numbers(docs_of):
+    rows = " ".join(map(str, range(20_000)))
+    text = D.pseudonymised(docs_of([(1, rows + " 4111 1111 1111 1111")]), "k").first().text
+    assert len(text) == len(rows) + 20 and not text.endswith("4111 1111 1111 1111")
