@@ -5,12 +5,13 @@ by noisy-or, 1 - prod(1 - p).  Only document labels are learnt from: the gradien
 gives each sentence of a toxic document its share of the blame.  A word's weight is the sum over its features, the word itself and its
 first 3 to 6 letters, so inflected forms share weight.  The same p then locates the offending sentences.
 
-The model is fitted on a bounded sample, at most ``sample`` labelled documents of each class by hash order (whole texts), weighted
+The model is fitted on a bounded sample, at most ``sample`` labelled documents of each class by hash order (whole texts, together
+at most ``SAMPLE_BYTES`` a class or one text; texts over a 64th of that come last), weighted
 back to the classes' shares; features seen in fewer than ``least`` sampled documents are not used.  Everything else covers all rows.
 
 Rows are learnt from if crc32(doc_id as text) mod ``folds`` is not 1.  Scores use the text alone.
 
-Defined results: null and empty texts have no sentence and score 0; repeated rows get equal scores; rows without doc_id are
+Defined results: null and empty texts have no sentence and score 0; repeated rows get equal scores, and of a doc_id's rows the smallest text is learnt from; rows without doc_id are
 scored and never learnt from; without any labelled row, or with one class only, every score is that class's share (0 without labels) for texts that have words;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -25,12 +26,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 SIZE = 1 << 20
+#: Bytes of text that the sample may hold of each class.
+SAMPLE_BYTES = 128 << 20
 
 
 def features(word: str) -> list[int]:
@@ -119,14 +122,18 @@ def fit(texts: list[str], labels: np.ndarray, share: np.ndarray, least: int = 8,
     return Model(float(bias), weights)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of the sample: at most 2 * ``sample`` documents."""
+def labelled(docs: DataFrame, labels: DataFrame, folds: int, sample: int, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of the sample: at most 2 * ``sample`` documents, each doc_id once, of ``most`` bytes a class."""
     part = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     part = part.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 1).dropDuplicates(["doc_id"])
     sizes = {r["toxic"]: r["n"] for r in part.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     picked = [part.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").collect()  # bounded by ``sample``
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    order = Window.partitionBy("toxic").orderBy(size > most // 64, F.xxhash64("doc_id"), "doc_id")  # at most ``sample`` rows a class
+    rows = rows.withColumn("_bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_nth", F.row_number().over(order))
+    rows = rows.where((F.col("_bytes") <= most) | (F.col("_nth") == 1)).select("doc_id", "text", "toxic").collect()  # bounded by ``sample`` and ``most``
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     y = np.array([r["toxic"] for r in rows], np.int64)
     got = np.bincount(y, minlength=2)

@@ -55,3 +55,14 @@ def test_no_or_one_sided_labels(spark, docs_of):
     ones = spark.createDataFrame([(i, 1, 1) for i in range(9)], "doc_id long, quality int, toxic int")
     assert {r.score for r in X.toxicity(rows, ones).collect()} == {1.0}
     assert X.toxicity(docs_of([]), none).count() == 0
+
+
+def test_sample_holds_each_id_once_and_few_bytes(spark, docs_of):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = docs_of([(i, f"text number {i}") for i in range(40)] + [(i, f"text repeated {k}") for i in range(10) for k in range(30)])
+    texts, y, _ = X.labelled(docs, labels, 3, 4000)
+    from zlib import crc32
+
+    assert len(texts) == len(y) == sum(crc32(str(i).encode()) % 3 != 1 for i in range(40))
+    texts, y, share = X.labelled(docs, labels, 3, 4000, most=100)
+    assert {0, 1} == set(y.tolist()) and all(sum(len(t) for t, c in zip(texts, y) if c == k) <= 100 for k in (0, 1))
