@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
+from ..session import materialise
 from ..sources import archives, fixture
 from ..sources.sinks import pair_report
 from .analyze import Analysis
@@ -236,9 +237,19 @@ def suspicious_pairs_many_pruned(spark, sf):
     return _many(spark, sf, True)
 
 
+def positions(pairs: DataFrame) -> DataFrame:
+    """Numbered as the archives are: sorted by range and written once, a position is the partition's offset plus the rank within it."""
+    order = (F.desc("overall"), F.col("id_a"), F.col("id_b"))
+    ordered, _ = materialise(pairs.select("id_a", "id_b", "overall").orderBy(*order).withColumn("_p", F.spark_partition_id()), "pair_order")
+    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row per partition
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ordered.withColumn("_r", rank).join(before, "_p").select("id_a", "id_b", (F.col("_before") + F.col("_r")).cast("long").alias("position"))
+
+
 def suspicious_pairs_order(spark, sf):
     """The position of every reported pair."""
-    return _analysis(spark, sf).pairs.select("id_a", "id_b", F.row_number().over(Window.orderBy(F.desc("overall"), "id_a", "id_b")).cast("long").alias("position"))
+    return positions(_analysis(spark, sf).pairs)
 
 
 def minhash_signature(spark, sf):

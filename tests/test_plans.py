@@ -68,3 +68,20 @@ def test_single_purpose_queries_do_not_shingle(spark, split_dir):
 def test_documents_scan_is_pruned(spark):
     plan = catalogue.files_admitted(spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan   # no text, no n_chars
+
+
+def test_pair_positions_need_no_single_task(spark):
+    rows = [(i, i + j, (i * 7 + j * 3) % 10 / 10) for i in range(40) for j in range(1, 6)]
+    pairs = spark.createDataFrame(rows, "id_a long, id_b long, overall double").repartition(8)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = catalogue.positions(pairs)
+        plan = _explained(out, "simple")
+        got = {(r.id_a, r.id_b): r.position for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    want = {(a, b): n for n, (a, b, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0], r[1])), 1)}
+    assert got == want
+    # only the partitions' sizes meet in one task
+    assert not re.search(r"windowspecdefinition\(overall", plan)
