@@ -57,3 +57,15 @@ def ascii_lower(c) -> F.Column:
 def text_key(text) -> F.Column:
     """Tells apart rows that repeat a doc_id with another text; null text has its own key."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

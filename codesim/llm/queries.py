@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, lm, packing, pii, quality, simhash, token_counts, toxicity, url_rules, warc
+from . import decontam, divergence, lm, mixing, packing, pii, quality, simhash, spelling, token_counts, toxicity, url_rules, warc
 from .common import ship_code, table
 
 
@@ -53,6 +53,18 @@ def op10_pii_pseudonyms(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark, sf_dir):
+    return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark, sf_dir):
         ship_code(spark)
@@ -61,4 +73,4 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_quality_rules, op2_warc_normaliser, op3_token_counts, op4_toxicity, op5_lm_scoring, op6_sequence_packing, op7_url_filters, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_quality_rules, op2_warc_normaliser, op3_token_counts, op4_toxicity, op5_lm_scoring, op6_sequence_packing, op7_url_filters, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_pii_pseudonyms, op11_source_divergence, op12_source_mixing, op13_spelling_variants)}
