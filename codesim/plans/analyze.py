@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, fingerprint, report, similarity, template
+from ..operators import corpus, fingerprint, linediff, report, similarity, template
 from ..params import Params
 from ..session import delete, materialise
 
@@ -199,7 +199,26 @@ class Analysis:
 
     @cached_property
     def line_overlap(self) -> DataFrame:
-        return report.line_overlap(self.flagged_files, self.files_of(self.flagged_paths(), self.contents, "content"))
+        return report.line_overlap(self.flagged_files, self.flagged_contents)
+
+    @cached_property
+    def flagged_contents(self) -> DataFrame:
+        """(submission_id, path, content) of the flagged files, each once."""
+        return self.files_of(self.flagged_paths(), self.contents, "content")
+
+    @cached_property
+    def line_diff(self) -> DataFrame:
+        """The runs of equal, removed and added lines of each flagged file pair."""
+        return self._keep(linediff.diff_runs(self.flagged_files, self.flagged_contents), "line_diff")
+
+    @cached_property
+    def line_diff_totals(self) -> DataFrame:
+        return linediff.diff_totals(self.flagged_files, self.line_diff)
+
+    @cached_property
+    def side_by_side(self) -> DataFrame:
+        """Each flagged file pair line by line, both texts beside each other."""
+        return linediff.side_by_side(self.line_diff, self.flagged_contents)
 
     @cached_property
     def minhash_estimates(self) -> DataFrame:

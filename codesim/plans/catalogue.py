@@ -6,6 +6,8 @@ query so they compare with an independent engine; counts are ``bigint``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -13,8 +15,8 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
-from ..session import materialise
-from ..sources import archives, fixture
+from ..session import checkpoint_root, materialise
+from ..sources import archives, fixture, zipsplit
 from ..sources.sinks import pair_report
 from .analyze import Analysis
 
@@ -100,6 +102,15 @@ def archive_expand(spark, sf):
                     F.sha2(archives.text_of("data"), 256).alias("content_sha"))
 
 
+def archive_expand_split(spark, sf):
+    """The documents in archives of many entries each, read back by offset ranges."""
+    folder = f"{checkpoint_root(spark).rstrip('/')}/zips-{uuid.uuid4().hex}"
+    fixture.archive_folder(spark, sf, folder)
+    e = zipsplit.expand(spark, folder, FIXTURE)
+    return e.select(archives.archive_stem(F.col("path")).alias("submission"), "raw_path", F.col("entry_ordinal").cast("long").alias("entry_ordinal"),
+                    F.sha2(archives.text_of("data"), 256).alias("content_sha"))
+
+
 # -- template --------------------------------------------------------------
 
 def template_hashes(spark, sf):
@@ -289,6 +300,25 @@ def line_overlap(spark, sf):
     return _analysis(spark, sf).line_overlap
 
 
+def line_diff(spark, sf):
+    """Equal, removed and added lines of each flagged file pair along a longest common subsequence."""
+    return _analysis(spark, sf).line_diff_totals.drop("n_runs")
+
+
+def line_diff_view(spark, sf):
+    """The side-by-side view of each flagged file pair, digested: how many lines each column holds, and both files as the
+    columns spell them, which must be the files themselves; equal lines have equal texts."""
+    key = ["id_a", "id_b", "path_a", "path_b"]
+    view = _analysis(spark, sf).side_by_side
+
+    def column(s: str) -> list:
+        lines = F.sort_array(F.collect_list(F.when(F.col(f"line_{s}").isNotNull(), F.struct(f"line_{s}", f"text_{s}"))))
+        return [F.count(f"line_{s}").alias(f"lines_{s}"), F.md5(F.array_join(F.transform(lines, lambda x: x[f"text_{s}"]), "\n")).alias(f"md5_{s}")]
+
+    same = F.sum(F.when((F.col("kind") == "equal") & ~F.col("text_a").eqNullSafe(F.col("text_b")), 1).otherwise(0)).cast("long")
+    return view.groupBy(*key).agg(*column("a"), *column("b"), same.alias("unlike"))
+
+
 def run_summary(spark, sf):
     return rounded(_analysis(spark, sf).summary)
 
@@ -308,6 +338,7 @@ QUERIES = {
     "paths_stripped": paths_stripped,
     "duplicate_entries_last_wins": duplicate_entries_last_wins,
     "archive_expand": archive_expand,
+    "archive_expand_split": archive_expand_split,
     "normalized_py": normalized_py,
     "normalized_c": normalized_c,
     "norm_hash": norm_hash,
@@ -341,6 +372,8 @@ QUERIES = {
     "flagged_files_top20": flagged_files_top20,
     "pair_report_nested": pair_report_nested,
     "line_overlap": line_overlap,
+    "line_diff": line_diff,
+    "line_diff_view": line_diff_view,
     "minhash_signature": minhash_signature,
     "minhash_estimate": minhash_estimate,
     "tfidf_cosine": tfidf_cosine,

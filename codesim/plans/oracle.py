@@ -182,8 +182,9 @@ flagged AS (
 """
 
 
-def _with(sql: str, overall_thresh: float = 0.1, **kw) -> str:
-    return base(**kw).replace("{overall_thresh}", repr(overall_thresh)) + sql
+def _with(sql: str, overall_thresh: float = 0.1, recursive: bool = False, **kw) -> str:
+    out = base(**kw).replace("{overall_thresh}", repr(overall_thresh)) + sql
+    return out.replace("WITH d AS", "WITH RECURSIVE d AS", 1) if recursive else out
 
 
 R = "CAST(round(CAST({c} AS DOUBLE), 6) AS DOUBLE) AS {c}"
@@ -222,6 +223,12 @@ def sqls() -> dict[str, str]:
             "SELECT submission_id, raw_path, sha256(arg_max(content, entry_ordinal)) AS content_sha, "
             "CAST(length(arg_max(content, entry_ordinal)) AS BIGINT) AS n_chars FROM cf GROUP BY submission_id, raw_path",
             revisions=True),
+        "archive_expand_split": (
+            "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id // 250 AS g, "
+            "row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) - 1 AS r FROM documents) "
+            "SELECT 'g' || g AS submission, 'd' || doc_id || '/A.SQL' AS raw_path, CAST(5 * r + 3 AS BIGINT) AS entry_ordinal, "
+            "sha256('select ' || chr(39) || 'PK' || chr(3) || chr(4) || chr(39) || '; ' || text) AS content_sha FROM d "
+            "UNION ALL SELECT 'g' || g, 'd' || doc_id || '/main.py', CAST(5 * r + 4 AS BIGINT), sha256(text) FROM d"),
         "normalized_py": _with("SELECT submission_id, path, md5(norm) AS norm_md5, CAST(length(norm) AS BIGINT) AS norm_len "
                                "FROM facts WHERE ext = 'py'"),
         "normalized_c": _with("SELECT submission_id, path, md5(norm) AS norm_md5, CAST(length(norm) AS BIGINT) AS norm_len "
@@ -315,6 +322,23 @@ def sqls() -> dict[str, str]:
             f"SELECT f.id_a, f.id_b, f.path_a, f.path_b, CAST(coalesce(o.common, 0) AS BIGINT) AS common, "
             f"CAST(coalesce(o.only_a, 0) AS BIGINT) AS only_a, CAST(coalesce(o.only_b, 0) AS BIGINT) AS only_b "
             f"FROM flagged f LEFT JOIN o USING (id_a, id_b, path_a, path_b)"),
+        "line_diff": _with(
+            f", j AS (SELECT f.id_a, f.id_b, f.path_a, f.path_b, {lines('a.content')} AS la, {lines('b.content')} AS lb FROM flagged f "
+            f"JOIN kept a ON a.submission_id = f.id_a AND a.path = f.path_a "
+            f"JOIN kept b ON b.submission_id = f.id_b AND b.path = f.path_b), "
+            # the textbook table of longest common subsequences, a row per step: greatest of left, above and diagonal + 1
+            f"t AS (SELECT *, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(lb) + 1), lambda k: CAST(0 AS BIGINT)) AS l FROM j "
+            f"UNION ALL SELECT id_a, id_b, path_a, path_b, la, lb, i + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k])) FROM "
+            f"(SELECT *, list_transform(range(1, len(lb) + 2), lambda k: CASE WHEN k > 1 AND lb[k - 1] = la[i + 1] THEN l[k - 1] + 1 ELSE l[k] END) AS c "
+            f"FROM t WHERE i < len(la))) "
+            f"SELECT id_a, id_b, path_a, path_b, l[len(lb) + 1] AS n_equal, len(la) - l[len(lb) + 1] AS n_removed, len(lb) - l[len(lb) + 1] AS n_added "
+            f"FROM t WHERE i = len(la)", recursive=True),
+        "line_diff_view": _with(
+            f", j AS (SELECT f.id_a, f.id_b, f.path_a, f.path_b, {lines('a.content')} AS la, {lines('b.content')} AS lb FROM flagged f "
+            f"JOIN kept a ON a.submission_id = f.id_a AND a.path = f.path_a "
+            f"JOIN kept b ON b.submission_id = f.id_b AND b.path = f.path_b) "
+            f"SELECT id_a, id_b, path_a, path_b, CAST(len(la) AS BIGINT) AS lines_a, md5(array_to_string(la, chr(10))) AS md5_a, "
+            f"CAST(len(lb) AS BIGINT) AS lines_b, md5(array_to_string(lb, chr(10))) AS md5_b, CAST(0 AS BIGINT) AS unlike FROM j WHERE len(la) + len(lb) > 0"),
         "run_summary": _with(
             "SELECT (SELECT count(*) FROM tpl) AS template_hashes, (SELECT count(*) FROM subs) AS n_submissions, "
             "CAST((SELECT count(*) FROM subs) * ((SELECT count(*) FROM subs) - 1) / 2 AS BIGINT) AS total_pairs, "

@@ -65,8 +65,9 @@ def numbered(paths: DataFrame) -> DataFrame:
         "path", (F.col("_before") + F.col("_r") - 1).cast("long").alias("submission_id"), archive_stem(F.col("path")).alias("submission"))
 
 
-def _expander(allowed: tuple, excluded: tuple, failfast: bool, all_entries: bool):
-    allowed_set, excluded_set = set(allowed), set(excluded)
+def chooser(params: Params, all_entries: bool):
+    """The (ordinal, info) of an open archive's admitted entries; of a repeated name the last, unless ``all_entries``."""
+    allowed_set, excluded_set = set(params.allowed_exts), set(params.exclude_dirs)
 
     def admit(info: zipfile.ZipInfo) -> bool:
         name = info.filename
@@ -78,6 +79,12 @@ def _expander(allowed: tuple, excluded: tuple, failfast: bool, all_entries: bool
         found = [(i, info) for i, info in enumerate(zf.infolist()) if admit(info)]
         return found if all_entries else list({info.filename: (i, info) for i, info in found}.values())
 
+    return chosen
+
+
+def _expander(params: Params, failfast: bool, all_entries: bool):
+    chosen = chooser(params, all_entries)
+
     def problem(blob: bytes) -> str | None:
         try:
             with zipfile.ZipFile(io.BytesIO(blob)) as zf:
@@ -120,29 +127,37 @@ def expand(archives: DataFrame, params: Params = Params(), mode: str = "FAILFAST
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError("mode must be FAILFAST or PERMISSIVE")
     return archives.select("path", "content").mapInPandas(
-        _expander(params.allowed_exts, params.exclude_dirs, mode == "FAILFAST", all_entries), ENTRY_SCHEMA)
+        _expander(params, mode == "FAILFAST", all_entries), ENTRY_SCHEMA)
 
 
 def text_of(data) -> F.Column:
     return F.make_valid_utf8(F.col(data).cast("string"))
 
 
+def _entries(spark: SparkSession, path, params: Params, mode: str, all_entries: bool, split: bool) -> DataFrame:
+    if split:
+        from . import zipsplit
+
+        return zipsplit.expand(spark, path, params, mode, all_entries)
+    return expand(list_archives(spark, path), params, mode, all_entries)
+
+
 def read_archives(spark: SparkSession, path: str | list[str], params: Params = Params(),
-                  mode: str = "FAILFAST") -> ArchiveInput:
-    """Submission archives -> files table (admitted entries, last one wins)."""
-    raw = list_archives(spark, path)
-    names = numbered(raw)
+                  mode: str = "FAILFAST", split: bool = False) -> ArchiveInput:
+    """Submission archives -> files table (admitted entries, last one wins).  ``split`` reads them by offset ranges
+    (``zipsplit``): for archives over 2 GB, or few and large."""
+    names = numbered(list_archives(spark, path).select("path"))
     known = F.broadcast(names) if names.count() <= params.broadcast_rows else names
-    entries = expand(raw, params, mode).join(known, "path")
+    entries = _entries(spark, path, params, mode, False, split).join(known, "path")
     files = entries.where(F.col("error").isNull()).select("submission_id", "submission", "raw_path", text_of("data").alias("content"))
     rejects = entries.where(F.col("error").isNotNull()).select("submission_id", "submission", "error")
     return ArchiveInput(files, names.select("submission_id", "submission"), rejects)
 
 
 def read_template(spark: SparkSession, path: str | list[str] | None, params: Params = Params(),
-                  mode: str = "FAILFAST") -> DataFrame | None:
+                  mode: str = "FAILFAST", split: bool = False) -> DataFrame | None:
     """Template archive(s) -> (raw_path, content) of all admitted entries, repeated names included; ``None`` stays ``None``."""
     if path is None:
         return None
-    entries = expand(list_archives(spark, path), params, mode, all_entries=True)
+    entries = _entries(spark, path, params, mode, True, split)
     return entries.where(F.col("error").isNull()).select("raw_path", text_of("data").alias("content"))

@@ -96,3 +96,31 @@ def archive_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "content"])
 
     return documents(spark, sf_dir).select("doc_id", "text").mapInPandas(pack, "path string, content binary")
+
+
+def archive_folder(spark: SparkSession, sf_dir: str, folder: str, docs_each: int = 250) -> None:
+    """Write archives g<k>.zip, each of ``docs_each`` documents (doc_id div it) in order of doc_id; for a document a replaced entry, its
+    text, a file of another type, an entry in an excluded folder and a stored entry in which the signature of a zip entry stands."""
+
+    def write(key, pdf):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        blob = io.BytesIO()
+        with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as zf, warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # the same name twice is what the archive shall hold
+            for i, text in pdf.sort_values("doc_id")[["doc_id", "text"]].itertuples(index=False):
+                zf.writestr(f"d{i}/main.py", "old")
+                zf.writestr(f"d{i}/notes.md", "no")
+                zf.writestr(f"d{i}/build/x.py", "no")
+                zf.writestr(f"d{i}/A.SQL", "select 'PK\x03\x04'; " + (text or ""), zipfile.ZIP_STORED)
+                zf.writestr(f"d{i}/main.py", text or "")
+        name = f"g{key[0]}.zip"
+        with store.open_output_stream(f"{root}/_{name}", compression=None) as out:
+            out.write(blob.getvalue())
+        store.move(f"{root}/_{name}", f"{root}/{name}")
+        return pd.DataFrame([(name,)], columns=["name"])
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.expr(f"doc_id div {docs_each}").alias("g"))
+    docs.groupBy("g").applyInPandas(write, "name string").agg(F.count("name")).collect()  # one number
