@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from codesim.llm import decontam, packing, pii, quality, simhash
 from codesim.llm.common import ship_code, stored, table
 
+#: The key of the pseudonyms where the session sets no ``spark.codesim.pseudonym.key``; for test data only.
+TEST_KEY = "test key"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and lie within their group's robust distance."""
@@ -29,7 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by keyed pseudonyms."""
-    return pii.pseudonymised(docs)
+    return pii.pseudonymised(docs, spark.conf.get("spark.codesim.pseudonym.key", TEST_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
