@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import stored, text_key
+from .common import stored, text_key, unused
 
 #: Statistics: log of letters a word, then arcsine roots of the shares of symbols, capitals, marks (!?|)
 #: and digits among word characters, of repeated lines, of words in repeated windows and of words equal to the
@@ -142,24 +141,23 @@ def consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """(gid, n, s*, c**) to (gid, mu, prec): mean and inverse covariance, never under the floors."""
-    schema = T.StructType([T.StructField("gid", T.StringType()), T.StructField("mu", T.ArrayType(T.DoubleType())), T.StructField("prec", T.ArrayType(T.DoubleType()))])
+def _estimate(share: float, factor: float):
+    """Of one gid's sums by bin, at most ``BINS`` rows: (gid, mu, prec), the mean and the inverse covariance, never under the floors, of
+    the nearest bins that hold at least ``share`` of the vectors."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                mu = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
-                cov = np.zeros((P, P))
-                for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = (r[f"c{i}_{j}"] / r["n"] - mu[i] * mu[j]) * factor
-                value, vector = np.linalg.eigh(cov / np.outer(FLOORS, FLOORS))
-                inverse = (vector / np.maximum(value, 1.0)) @ vector.T / np.outer(FLOORS, FLOORS)
-                out.append((r["gid"], mu.tolist(), inverse.ravel().tolist()))
-            yield type(f)(out, columns=["gid", "mu", "prec"])
+    def run(key, bins):
+        bins = bins.sort_values("bin")
+        n = bins["n"].to_numpy()
+        near = bins[np.cumsum(n) - n < share * n.sum()].drop(columns=["gid", "bin"]).sum()
+        mu = np.array([near[f"s{i}"] for i in range(P)]) / near["n"]
+        cov = np.zeros((P, P))
+        for i, j in PAIRS:
+            cov[i, j] = cov[j, i] = (near[f"c{i}_{j}"] / near["n"] - mu[i] * mu[j]) * factor
+        value, vector = np.linalg.eigh(cov / np.outer(FLOORS, FLOORS))
+        inverse = (vector / np.maximum(value, 1.0)) @ vector.T / np.outer(FLOORS, FLOORS)
+        return type(bins)([(key[0], mu.tolist(), inverse.ravel().tolist())], columns=["gid", "mu", "prec"])
 
-    return sums.mapInPandas(run, schema)
+    return run
 
 
 def distance(mu: str = "mu", prec: str = "prec") -> Column:
@@ -170,30 +168,35 @@ def distance(mu: str = "mu", prec: str = "prec") -> Column:
     return d
 
 
+AT = "gid string, mu array<double>, prec array<double>"
+#: Distances are told apart by at most so many bins.
+BINS = 501
+
+
 def _sums() -> list[Column]:
     return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in PAIRS)]
 
 
-def _added(sums: DataFrame) -> DataFrame:
-    return sums.groupBy("gid").agg(*(F.sum(c).alias(c) for c in sums.columns if c not in ("gid", "bin", "before", "all")))
+def _fit(vectors: DataFrame, at: DataFrame, bin: Column, share: float, factor: float) -> DataFrame:
+    """New (gid, mu, prec), stored: of each group's vectors, put into bins by their distance from ``at``, the nearest.  ``at`` has a row per
+    group, so that no vector is shuffled; sums are."""
+    placed = vectors.join(at, "gid").select("gid", bin.cast("int").alias("bin"), *FEATURES).where("bin IS NOT NULL")
+    return stored(placed.groupBy("gid", "bin").agg(*_sums()).groupBy("gid").applyInPandas(_estimate(share, factor), AT))
 
 
-def mcd(vectors: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """(gid, mu, prec) for every gid of ``vectors`` (gid, x0..): the reweighted MCD estimate."""
+def mcd(vectors: DataFrame, share: float = 0.75, steps: int = 4, max_broadcast: int = 20_000) -> DataFrame:
+    """(gid, mu, prec) for every gid of ``vectors`` (gid, x0..): the reweighted MCD estimate.  Each step's estimates are
+    stored and, up to ``max_broadcast`` groups, broadcast to the vectors; beyond that the join is a shuffle with AQE's skew split."""
     quarts = vectors.groupBy("gid").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(FEATURES)))
     spread = [F.greatest(F.lit(FLOORS[i]), (F.element_at(f"q{i}", 3) - F.element_at(f"q{i}", 1)) / 1.349) for i in range(P)]
     prec = F.array(*(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)))
-    at = quarts.select("gid", F.array(*(F.element_at(f"q{i}", 2) for i in range(P))).alias("mu"), prec.alias("prec"))
-    from pyspark.sql import Window
-
-    inner = Window.partitionBy("gid").orderBy("bin")
+    at = stored(quarts.select("gid", F.array(*(F.element_at(f"q{i}", 2) for i in range(P))).alias("mu"), prec.alias("prec")))
+    few = at.count() <= max_broadcast
+    here = F.broadcast if few else lambda df: df
+    nearness = F.least(F.floor(24 * F.log2(1 + F.greatest(F.lit(0.0), distance()))), F.lit(BINS - 1))
     for _ in range(steps):
-        far = vectors.join(at, "gid").withColumn("bin", F.least(F.floor(24 * F.log2(1 + F.greatest(F.lit(0.0), distance()))), F.lit(500)))
-        bins = far.groupBy("gid", "bin").agg(*_sums())
-        near = bins.withColumn("before", F.sum("n").over(inner) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("gid"))).where(F.col("before") < share * F.col("all"))
-        at = _estimate(_added(near), consistency(share))
-    inside = vectors.join(at, "gid").where(distance() <= chi2_quantile(0.975, P))
-    return _estimate(inside.groupBy("gid").agg(*_sums()), consistency(0.975))
+        at = _fit(vectors, here(at), nearness, share, consistency(share))
+    return _fit(vectors, here(at), F.when(distance() <= chi2_quantile(0.975, P), 0), 1.0, consistency(0.975))
 
 
 def group_ids(vectors: DataFrame, least: int) -> DataFrame:
@@ -209,22 +212,25 @@ def group_ids(vectors: DataFrame, least: int) -> DataFrame:
     return pairs.where("gid <> 'rest'").unionByName(small)
 
 
-def verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, least: int = 100, cutoff: float | None = None, least_words: int = 20, repeat_pct: int = 30) -> DataFrame:
+def verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, least: int = 100, cutoff: float | None = None, least_words: int = 20, repeat_pct: int = 30, max_broadcast: int = 20_000) -> DataFrame:
     """Per row of ``docs``: doc_id, key, the base counts, base_failed, distance (null where no estimate applies)
     and kept.  ``cutoff`` is the largest squared distance kept (None: the point that a normal vector passes once in 10^6)."""
     cutoff = chi2_quantile(1 - 1e-6, P) if cutoff is None else cutoff
     rows = stored(measured(docs).withColumn("base_failed", base_failed(least_words, repeat_pct)))
     vectors = rows.where("NOT base_failed").select("lang", "source", *FEATURES).distinct()
-    groups = group_ids(vectors, least)
-    same = lambda a: a["lang"].eqNullSafe(groups["lang"]) & a["source"].eqNullSafe(groups["source"])
-    grouped = stored(vectors.join(groups, same(vectors)).where("gid IS NOT NULL").select("gid", *FEATURES))
-    fits = groups.join(mcd(grouped, share, steps), "gid").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "mu", "prec")
-    judged = rows.join(fits, rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source")), "left")
+    groups = stored(group_ids(vectors, least))
+    few = groups.count() <= max_broadcast
+    here = F.broadcast if few else lambda df: df
+    same = lambda a, b: a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
+    grouped = stored(vectors.join(here(groups), same(vectors, groups)).where("gid IS NOT NULL").select("gid", *FEATURES))
+    fits = stored(groups.join(here(mcd(grouped, share, steps, max_broadcast)), "gid").select("lang", "source", "mu", "prec"))
+    judged = rows.join(here(fits), same(rows, fits), "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).select("doc_id", "key", *COUNTS, "base_failed", "distance", "kept")
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without the rejected rows; all columns stay."""
-    good = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_semi")
+    of, key = unused(docs, "of", "key")
+    good = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias(of), F.col("key").alias(key)).distinct()
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (text_key(docs["text"]) == F.col(key)), "left_semi")
