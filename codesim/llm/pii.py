@@ -236,12 +236,12 @@ def _rewritten() -> Column:
     return F.when(F.size("__pii_found") > 0, text).otherwise(F.col("text")).alias("text")
 
 
-def pseudonymised(docs: DataFrame, key: str = "codesim") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten; columns and their order stay."""
     return found(docs, key).withColumn("text", _rewritten()).select(*docs.columns)
 
 
-def report(docs: DataFrame, key: str = "codesim") -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (rewritten) and the number of replaced values of each kind."""
     rows = found(docs.select("doc_id", "text"), key)
     n = lambda k: F.coalesce(F.size(F.filter(F.flatten("__pii_found"), lambda f: (f["kind"] == k) & f["pseudonym"].isNotNull())), F.lit(0)).cast("long").alias(f"n_{k}")

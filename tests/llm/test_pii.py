@@ -85,9 +85,9 @@ def test_report_counts_against_brute_force(spark, docs_of):
 
 def test_long_text_empty_table_and_plan(docs_of, capsys):
     long = "word@" * 20_000 + "9" * 50_000 + "x" * 50_000
-    assert len(D.pseudonymised(docs_of([(1, long)])).first().text) == len(long)
-    assert D.pseudonymised(docs_of([])).count() == 0
-    D.pseudonymised(docs_of([(1, "x")])).explain()
+    assert len(D.pseudonymised(docs_of([(1, long)]), "k").first().text) == len(long)
+    assert D.pseudonymised(docs_of([]), "k").count() == 0
+    D.pseudonymised(docs_of([(1, "x")]), "k").explain()
     assert not re.search("Python|Pandas|Arrow|Exchange", capsys.readouterr().out)
 
 

@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark, tmp_path, docs_of):
     least = brute_components({d: brute_print(t) for d, t in keep})
     keep = [r for r in keep if least[r[0]] == r[0] and not 500 <= r[0] < 510]
     assert {r.doc_id for r in got} == {d for d, _ in keep}
-    texts = {r.doc_id: r.text for r in pii.pseudonymised(docs_of(keep)).collect()}
+    texts = {r.doc_id: r.text for r in pii.pseudonymised(docs_of(keep), C.TEST_KEY).collect()}
     assert "some.body" not in texts[800] and "4111111111111111" not in texts[800] and texts[0] == rows[0][1]
     want = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.packed(docs_of([(d, texts[d]) for d, _ in keep])).collect())
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == want
