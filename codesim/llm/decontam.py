@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_key
+from .common import ascii_lower, text_key, unused
 
 #: Whatever stands between words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,18 +109,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a test window; all columns stay."""
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    on = docs["doc_id"].eqNullSafe(bad["_id"]) & (text_key(docs["text"]) == bad["_key"])
-    return docs.join(bad, on, "left_anti")
+    of, key = unused(docs, "of", "text_key")
+    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(of), F.col("key").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(of)) & (text_key(docs["text"]) == F.col(key)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the hit words, and the gap after each, cut from ``text``; all else stays."""
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    on = docs["doc_id"].eqNullSafe(bad["_id"]) & (text_key(docs["text"]) == bad["_key"])
+    of, key, spans, parts, lead = unused(docs, "of", "text_key", "spans", "parts", "lead")
+    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(of), F.col("key").alias(key), F.col("spans").alias(spans)).dropDuplicates([of, key])
+    on = docs["doc_id"].eqNullSafe(F.col(of)) & (text_key(docs["text"]) == F.col(key))
     # (word, gap) in turn; a leading gap makes an empty first word
-    parts = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0))
-    lead = F.when(F.regexp_like(F.col("text"), F.lit(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")), 1).otherwise(0)
-    cut = F.array_join(F.filter("_parts", lambda p, i: ~F.exists("_spans", lambda s: (i - F.col("_lead") >= s["at"]) & (i - F.col("_lead") < s["at"] + s["len"]))), "")
-    joined = docs.join(bad, on, "left").withColumn("_parts", F.when(F.col("_spans").isNotNull(), parts)).withColumn("_lead", lead)
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    split = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0))
+    led = F.when(F.regexp_like(F.col("text"), F.lit(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")), 1).otherwise(0)
+    cut = F.array_join(F.filter(parts, lambda p, i: ~F.exists(spans, lambda s: (i - F.col(lead) >= s["at"]) & (i - F.col(lead) < s["at"] + s["len"]))), "")
+    joined = docs.join(bad, on, "left").withColumn(parts, F.when(F.col(spans).isNotNull(), split)).withColumn(lead, led)
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
