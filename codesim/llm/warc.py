@@ -97,7 +97,11 @@ class _Moved:
     def __exit__(self, kind, *_):
         self.out.close()
         if kind is None:
-            self.fs.move(self.path, self.final)
+            try:
+                self.fs.move(self.path, self.final)
+            except OSError:  # some stores don't move onto a file, here that of an earlier attempt of this task
+                self.fs.delete_file(self.final)
+                self.fs.move(self.path, self.final)
         else:
             self.fs.delete_file(self.path)
 

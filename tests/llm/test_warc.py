@@ -64,3 +64,30 @@ def test_streams_in_members_and_damage():
     assert b"".join(blocks) == b"".join(data) and max(map(len, blocks)) <= W.BLOCK
     with pytest.raises(ValueError):
         list(W.inflated(reader(gzip.compress(random.Random(1).randbytes(5000))[:-100])))
+
+
+def test_a_task_run_again_replaces_its_file(tmp_path, monkeypatch):
+    """Stores that don't move onto a file: the second attempt's file takes the first one's place, and no other file stays."""
+    from pyarrow import fs
+
+    class Strict:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def move(self, a, b):
+            if self.real.get_file_info(b).type != fs.FileType.NotFound:
+                raise OSError(f"{b} exists")
+            self.real.move(a, b)
+
+    monkeypatch.setattr(W, "_place", lambda folder: (Strict(fs.LocalFileSystem()), folder))
+    for body in (b"first", b"second"):
+        with W._Moved(str(tmp_path), "x.gz") as out:
+            out.write(body)
+    assert [p.name for p in tmp_path.iterdir()] == ["x.gz"] and (tmp_path / "x.gz").read_bytes() == b"second"
+    with pytest.raises(ZeroDivisionError):
+        with W._Moved(str(tmp_path), "x.gz") as out:
+            1 / 0
+    assert [p.name for p in tmp_path.iterdir()] == ["x.gz"] and (tmp_path / "x.gz").read_bytes() == b"second"
