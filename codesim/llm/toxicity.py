@@ -125,7 +125,8 @@ def fit(texts: list[str], labels: np.ndarray, share: np.ndarray, least: int = 8,
 def labelled(docs: DataFrame, labels: DataFrame, folds: int, sample: int, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of the sample: at most 2 * ``sample`` documents, each doc_id once, of ``most`` bytes a class."""
     part = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    part = part.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 1).dropDuplicates(["doc_id"])
+    part = part.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 1)
+    part = part.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of contradicting labels, toxic holds
     sizes = {r["toxic"]: r["n"] for r in part.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     picked = [part.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = picked[0].unionByName(picked[1])
