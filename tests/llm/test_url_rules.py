@@ -67,10 +67,25 @@ def test_mined_rules_equal_brute_force(spark):
 @pytest.mark.parametrize("bound", [100_000, 0])
 def test_matches_equal_brute_force(spark, bound):
     rng = random.Random(2)
-    rules = [(["a", "b"], 0.9, 0.1, "a"), (["c"], 0.95, 0.1, "c"), (["b", "d", "e"], 0.8, 0.1, "e")]
-    urls = [(str(i), rng.sample("abcdefg", rng.randint(0, 5))) for i in range(80)]
-    got = {r.url for r in R.blocked(spark.createDataFrame(urls, "url string, tokens array<string>"), spark.createDataFrame(rules, "antecedent array<string>, confidence double, support double, anchor string"), bound).collect()}
-    assert got == {u for u, t in urls if any(set(a) <= set(t) for a, *_ in rules)}
+    some = [([["a"], ["b"]], 0.9), ([["c", "h", "i"]], 0.95), ([["b"], ["d", "j"], ["e"]], 0.8)]
+    rules = [([c[0] for c in x], p, 0.1, x, x[-1]) for x, p in some]
+    urls = [(str(i), rng.sample("abcdefghij", rng.randint(0, 5))) for i in range(80)]
+    got = {r.url for r in R.blocked(spark.createDataFrame(urls, "url string, tokens array<string>"), spark.createDataFrame(rules, "antecedent array<string>, confidence double, support double, any_of array<array<string>>, anchors array<string>"), bound).collect()}
+    assert got == {u for u, t in urls if any(all(set(c) & set(t) for c in x) for x, _ in some)}
+
+
+def test_tokens_that_always_stand_together_are_one(spark):
+    """Twenty segments shared by all bad pages: each of them is a rule of its own, found without 2^20 item sets."""
+    rng = random.Random(16)
+    shared = [f"s{i:02}" for i in range(20)]
+    rows = [([*shared, f"u{i % 3}"], True) for i in range(60)] + [(rng.sample(["x", "y", "z", "u0", "u1"], 2), False) for _ in range(60)]
+    got = R.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.8).collect()
+    single = {t for r in got if len(r.any_of) == 1 for t in r.any_of[0]}
+    assert single == {*shared, "u2"} and all(sum(t in w for w, _ in rows) for t in single)
+    assert {tuple(r.antecedent): round(r.confidence, 9) for r in got} == {("s00",): 1.0, ("u2",): 1.0}
+    urls = spark.createDataFrame([("1", ["s07", "q"]), ("2", ["q"]), ("3", ["u2"]), ("4", ["x", "u0"])], "url string, tokens array<string>")
+    rules = R.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.8)
+    assert {r.url for r in R.blocked(urls, rules).collect()} == {"1", "3"}
 
 
 def test_spam_hosts_are_learnt(spark, capsys):
