@@ -8,8 +8,9 @@ capacity 1..size finds the tightest capacity at which a window is open.  All win
 remaining capacity are alike, so they are held as intervals of window numbers and take pieces
 of one length together; the outcome is that of best-fit decreasing piece by piece, in
 a number of steps that depends on ``size`` alone.  The plan is a small table of (length, ranks, windows);
-pieces get their rank among those of equal length from counts by (length, bucket), so a length that a third of
-all pieces share is spread over the buckets.
+the task that cuts the pieces numbers those of equal length, and the counts by (length, task) before it make that
+number a rank among all pieces, so that no piece is sorted or shuffled for it, however many share a length, an id or a text.
+The cut pieces are stored once, which fixes their numbers.
 
 The vocabulary file is read by the driver and sent to the workers.  Ids are those that
 tokenizers gives (special strings in a text included); the file's merges run in tiktoken, which needs a sixth of the CPU.
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,25 +73,28 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, size: int = 2048, end_id: int = 1, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: full windows and a rest for each document."""
+    """doc_id, start, length, ids_crc32, doc_tokens: full windows and a rest for each document; part and nth: the task that made the
+    piece and the piece's number among that task's pieces of equal length."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file of a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value)
         end = np.array([end_id], "<u4")
+        part, made = TaskContext.get().partitionId(), Counter()
         for b in batches:
-            rows, out = [], [[], [], [], []]
+            rows, out = [], [[], [], [], [], [], []]
             for n, text in enumerate(b.column(1)):
                 ids = np.concatenate([encoder.ids(text.as_py() or ""), end]).astype("<u4")
                 for start in range(0, len(ids), size):
                     cut = ids[start:start + size]
                     rows.append(n)
-                    for c, v in zip(out, (start, len(cut), zlib.crc32(cut), len(ids))):
+                    for c, v in zip(out, (start, len(cut), zlib.crc32(cut), len(ids), part, made[len(cut)])):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    made[len(cut)] += 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long")
 
 
 class Capacities:
@@ -158,18 +163,19 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
     return plan
 
 
-def packed(docs: DataFrame, size: int = 2048, end_id: int = 1, vocabulary: str | None = None, buckets: int = 256) -> DataFrame:
+def packed(docs: DataFrame, size: int = 2048, end_id: int = 1, vocabulary: str | None = None, max_broadcast: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, size, end_id, vocabulary)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most size * buckets rows
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
+    cut = stored(pieces(docs, size, end_id, vocabulary))
+    counts = cut.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))  # at most ``size`` rows a task
+    before = stored(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")))
+    totals = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     plan = best_fit_decreasing(totals, size)
     schema = "_length long, first long, n long, window long, each long, from long"
     plan = spark.createDataFrame(plan, schema)  # a few rows for each length
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "before")
-    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = cut.withColumn("nth", F.row_number().over(inner) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("nth") + F.col("before"))
+    before = before.select("length", "part", "before")
+    before = F.broadcast(before) if before.count() <= max_broadcast else before
+    ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
     on = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     placed = ranked.join(F.broadcast(plan), on)
     within = F.col("rank") - F.col("first")
