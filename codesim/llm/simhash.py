@@ -6,9 +6,11 @@ more than half of the shingle hashes have it.  Two fingerprints link when they
 differ in at most ``radius`` bits; linked texts form components.
 
 Links are found among distinct fingerprints only, so a group of exact copies
-is one entry however large it is.  Fingerprints within ``radius`` bits agree in
-one of ``radius + 1`` equal blocks of bits, so each goes to one *shard* per block (the block's
-number and value) and every link lies inside a shard.  A shard is a BK-tree:
+is one entry however large it is.  The 64 bits are cut into ``blocks`` blocks; fingerprints within ``radius`` bits
+agree in all but ``radius`` of them, so each goes to one *shard* per choice of ``blocks - radius`` blocks (the choice
+and the bits' value) and every link lies inside a shard.  With the number of fingerprints the number of blocks grows (4 up to 134
+million, 5 up to 69 billion), and with it the bits of a shard, so that evenly spread fingerprints keep shards
+under ``tile`` and each is copied 4, 10, 20 times, not in proportion to their number.  A shard is a BK-tree:
 children hang on their parent under the integer Hamming distance, and a search
 follows only edges within ``radius`` of the distance at hand.  Shards of more than
 ``tile`` entries are cut into tiles by a hash; every pair of tiles is its own
@@ -27,6 +29,7 @@ component_id; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_key
+from .common import stored, text_key, unused
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -146,13 +149,13 @@ def stars(tree_keys: list[int], queries: list[int], radius: int) -> Iterator[tup
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Runs of equal (shard, i, j) of a sorted partition, as rows (shard, i, j, side, fp)."""
-    held = np.zeros((0, 5), np.int64)
+    """Runs of equal (blocks, shard, i, j) of a sorted partition, as rows (blocks, shard, i, j, side, fp)."""
+    held = np.zeros((0, 6), np.int64)
     for b in batches:
         held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
         if not len(held):
             continue
-        cuts = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
+        cuts = np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(axis=1)) + 1
         runs = np.split(held, cuts)
         yield from (r for r in runs[:-1] if len(r) > 1)
         held = runs[-1]
@@ -160,21 +163,39 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield held
 
 
-def links(distinct: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
+def masks(blocks: int, radius: int) -> list[int]:
+    """The bits of every choice of ``blocks - radius`` of ``blocks`` blocks of the 64 bits; fingerprints within
+    ``radius`` bits agree in all bits of one choice at least."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    each = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+    return [sum(c) for c in combinations(each, blocks - radius)]
+
+
+def enough_blocks(n: int, radius: int, tile: int) -> int:
+    """The least number of blocks at which evenly spread fingerprints, ``n`` of them, fill no shard beyond ``tile``."""
+    blocks = radius + 1
+    while blocks < 64 and n > tile << min(m.bit_count() for m in masks(blocks, radius)):
+        blocks += 1
+    return blocks
+
+
+def links(distinct: DataFrame, radius: int = 3, tile: int = 2048, blocks: int | None = None) -> DataFrame:
     """(u, v), v < u unsigned: stars that connect exactly the linked distinct fingerprints."""
-    n, width = radius + 1, 64 // (radius + 1)
-    block = [F.struct((F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1) + F.lit(i << 48)).alias("shard")) for i in range(n)]
-    entries = distinct.select("fp", F.explode(F.array(*block)).alias("b")).select("b.shard", "fp")
-    hot = entries.groupBy("shard").count().where(F.col("count") > tile).select("shard", F.ceil(F.col("count") / tile).cast("long").alias("k"))
-    tiled = entries.join(hot, "shard", "left").select("shard", "fp", F.coalesce("k", F.lit(1).cast("long")).alias("k")).withColumn("t", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")))
+    chosen = masks(blocks or enough_blocks(distinct.count(), radius, tile), radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
+    places = F.array(*(F.struct(F.lit(i).cast("long").alias("blocks"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shard")) for i, m in enumerate(signed)))
+    entries = distinct.select("fp", F.explode(places).alias("b")).select("b.blocks", "b.shard", "fp")
+    hot = entries.groupBy("blocks", "shard").count().where(F.col("count") > tile).select("blocks", "shard", F.ceil(F.col("count") / tile).cast("long").alias("k"))
+    tiled = entries.join(hot, ["blocks", "shard"], "left").select("blocks", "shard", "fp", F.coalesce("k", F.lit(1).cast("long")).alias("k")).withColumn("t", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")))
     # tile t is searched in the trees of tiles 0..t and is itself the tree for tiles t..k-1
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j"), F.when(o > F.col("t"), 0).when(o < F.col("t"), 1).otherwise(2).cast("long").alias("side")))
-    rows = tiled.select("shard", "fp", F.explode(pairs).alias("p")).select("shard", "p.i", "p.j", "p.side", "fp")
+    group = ["blocks", "shard", "i", "j"]
+    rows = tiled.select("blocks", "shard", "fp", F.explode(pairs).alias("p")).select("blocks", "shard", "p.i", "p.j", "p.side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs = [], []
         for g in _groups(batches):
-            side, fp = g[:, 3], g[:, 4].view(np.uint64) if g[:, 4].flags.c_contiguous else np.ascontiguousarray(g[:, 4]).view(np.uint64)
+            side, fp = g[:, 4], np.ascontiguousarray(g[:, 5]).view(np.uint64)
             keys, queries = fp[side != 1].tolist(), fp[side != 0].tolist()
             if keys and queries:
                 for u, v in stars(keys, queries, radius):
@@ -185,7 +206,7 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
                 us, vs = [], []
         yield _edges(us, vs)
 
-    return rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "u long, v long").distinct()
 
 
 def _edges(us: list[int], vs: list[int]) -> pa.RecordBatch:
@@ -229,9 +250,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: in
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id; where rows repeat that
     id, or the component has no id at all, the one with the smallest text key, and one of equal rows."""
+    of, key = unused(docs, "of", "text_key")
     found = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
-    kept = stored(rows.groupBy("root").agg(F.min(F.struct("key", "doc_id", "n")).alias("best")).select(F.col("best.key").alias("_key"), F.col("best.doc_id").alias("_id"), F.col("best.n").alias("n")))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key"))
-    repeated = docs.join(kept.where("n > 1"), same, "left_semi").withColumn("_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return docs.join(kept.where("n = 1"), same, "left_semi").unionByName(repeated)
+    kept = stored(rows.groupBy("root").agg(F.min(F.struct("key", "doc_id", "n")).alias("best")).select(F.col("best.key").alias(key), F.col("best.doc_id").alias(of), F.col("best.n").alias("n")))
+    same = docs["doc_id"].eqNullSafe(F.col(of)) & (text_key(docs["text"]) == F.col(key))
+    once, more = (kept.where(c).select(of, key) for c in ("n = 1", "n > 1"))
+    repeated = docs.join(more, same, "left_semi").withColumn(key, text_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
+    return docs.join(once, same, "left_semi").unionByName(repeated)

@@ -55,8 +55,8 @@ def test_tree_search_misses_nothing(keys, radius):
     assert found == {(a, b) for a in keys for b in keys if (a ^ b).bit_count() <= radius}
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_components_equal_brute_force(spark, tile):
+@pytest.mark.parametrize("tile,blocks", [(4, None), (2048, None), (4, 5), (2048, 6)])
+def test_components_equal_brute_force(spark, tile, blocks):
     rng = random.Random(7)
     prints = []
     for _ in range(12):  # chains, dense families with equal blocks, and strangers
@@ -67,7 +67,7 @@ def test_components_equal_brute_force(spark, tile):
                 x ^= 1 << rng.randrange(64)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     distinct = spark.createDataFrame([(signed(p),) for p in set(prints)], "fp long")
-    roots = {r.u: r.root for r in S.components(S.links(distinct, tile=tile)).collect()}
+    roots = {r.u: r.root for r in S.components(S.links(distinct, tile=tile, blocks=blocks)).collect()}
     group = lambda p: roots.get(signed(p), signed(p))
     want = brute_components(dict(enumerate(sorted(set(prints)))))
     order = sorted(set(prints))
@@ -92,6 +92,21 @@ def test_near_duplicates_and_stage(docs_of):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, sorted(set(want.values()))), "None"])
 
 
+def test_blocks_grow_with_the_fingerprints():
+    """Links within three bits agree in a choice of blocks, and copies a fingerprint stay few however many there are."""
+    rng = random.Random(17)
+    for blocks in range(4, 9):
+        chosen = S.masks(blocks, 3)
+        for _ in range(300):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample(range(64), rng.randint(0, 3)):
+                y ^= 1 << b
+            assert any(x & m == y & m for m in chosen)
+    assert [S.enough_blocks(n, 3, 2048) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**11)] == [4, 4, 4, 5, 5, 6]
+    assert len(S.masks(5, 3)) == 10
+
+
 def test_empty_table(docs_of):
     assert S.near_duplicates(docs_of([])).count() == 0
     assert S.deduplicate(docs_of([])).count() == 0
