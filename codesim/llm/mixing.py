@@ -71,7 +71,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = SEED, max_broadcast: int = 100_000) -> DataFrame:
     """doc_id, key (of the text), source, size, source_size, target, copies, taken: one row per row of ``docs``."""
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    rows = docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    # stored first, so that sorting by range, which samples its input, reads the texts once
+    rows = stored(docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), size.alias("size"), F.monotonically_increasing_id().alias("row")))
     # the row's number only parts equal rows, so that a range can end between them
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = running(rows, [F.asc_nulls_last("source"), "size", digest, "doc_id", "key", "row"], {"rank": F.lit(1)})
