@@ -7,11 +7,12 @@ distinct shingles that 64-bit collisions matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..params import Params
+from .blocks import LIMIT, self_pairs
 
 #: MinHash: 128 functions (a * x + b) mod 2^31 - 1 of a 31-bit hash x; a and b follow from the function's number.
 N_HASHES = 128
@@ -76,20 +77,29 @@ def minhash_estimate(a, b) -> F.Column:
     return same / F.lit(float(N_HASHES))
 
 
-def tfidf_cosine(files: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id_a, id_b, cosine) of the given submission pairs: cosine of the TF-IDF vectors of all tokens of their
-    ``kept`` (submission_id, raw_path) files; tf is the count, idf = ln((1 + N) / (1 + df)) + 1 over the N submissions that have
-    tokens.  Tokens are counted by file where ``files`` (submission_id, raw_path, norm) are read; only tokens of submissions in ``pairs``
-    are joined.  A pair without common token gets 0.0."""
+def tfidf_weights(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """(submission_id, token, w, df): the TF-IDF weights of all tokens of the ``kept`` (submission_id, raw_path) files; tf is the count,
+    idf = ln((1 + N) / (1 + df)) + 1 over the N submissions that have tokens.  Tokens are counted by file where ``files`` (submission_id,
+    raw_path, norm) are read."""
     by_file = (files.select("submission_id", "raw_path", T.explode_rows(T.tokens("norm")).alias("token")).where(F.col("token").isNotNull())
                .groupBy("submission_id", "raw_path", "token").agg(F.count(F.lit(1)).alias("c")))
     tf = by_file.join(kept, ["submission_id", "raw_path"], "left_semi").groupBy("submission_id", "token").agg(F.sum("c").alias("tf"))
     n = tf.agg(F.countDistinct("submission_id")).scalar()
-    idf = (tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-           .select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((1 + n) / (1 + F.col("df"))) + 1
+    return tf.join(df, "token").select("submission_id", "token", (F.col("tf") * idf).alias("w"), "df")
+
+
+def tfidf_cosine(files: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id_a, id_b, cosine) of the given submission pairs: cosine of their ``tfidf_weights``; only tokens of submissions in ``pairs``
+    are joined.  A pair without common token gets 0.0."""
+    return cosines(tfidf_weights(files, kept), pairs)
+
+
+def cosines(weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id_a, id_b, cosine) of ``pairs`` from (submission_id, token, w)."""
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("submission_id")).distinct()
-    w = (tf.join(ids, "submission_id", "left_semi").join(idf, "token")
-         .select("submission_id", "token", (F.col("tf") * F.col("idf")).alias("w")))
+    w = weights.join(ids, "submission_id", "left_semi")
     norms = w.groupBy("submission_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     a = w.select(F.col("submission_id").alias("id_a"), "token", F.col("w").alias("w_a")).join(pairs.select("id_a", "id_b"), "id_a")
     b = w.select(F.col("submission_id").alias("id_b"), "token", F.col("w").alias("w_b"))
@@ -98,3 +108,26 @@ def tfidf_cosine(files: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFra
     nb = norms.select(F.col("submission_id").alias("id_b"), F.col("norm").alias("norm_b"))
     out = pairs.select("id_a", "id_b").join(dot, ["id_a", "id_b"], "left").join(na, "id_a", "left").join(nb, "id_b", "left")
     return out.select("id_a", "id_b", F.coalesce(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), F.lit(0.0)).alias("cosine"))
+
+
+def cosine_candidates(weights: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: a superset of the pairs with cosine >= tau > 0, from (submission_id, token, w, df).
+
+    Every vector's tokens stand in one order, the frequent before the rare.  Its first tokens, as long as they weigh less
+    than ``tau`` of its length together, are left out of the index: if two vectors had only such tokens of one of them in common, their
+    cosine would be under ``tau`` (Cauchy-Schwarz).  The rarest common token of a pair that reaches ``tau`` is therefore in the index of
+    both, so only rows with equal indexed tokens meet, and the frequent tokens hardly ever do."""
+    if tau <= 0:
+        raise ValueError("tau must be > 0")
+    square = F.col("w") * F.col("w")
+    mine = Window.partitionBy("submission_id")
+    up_to = F.sum(square).over(mine.orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0))
+    # a little slack for sums in another order
+    indexed = weights.withColumn("_to", up_to / F.sum(square).over(mine)).where(F.col("_to") >= tau * tau - 1e-9)
+    pairs = self_pairs(indexed.select("submission_id", "token"), ["token"], ["submission_id"], limit=limit)
+    return pairs.select(F.col("submission_id_1").alias("id_a"), F.col("submission_id_2").alias("id_b")).distinct()
+
+
+def cosine_at_least(weights: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
+    """(id_a, id_b, cosine) of all pairs with cosine >= tau, from ``tfidf_weights``; exact, without forming all pairs."""
+    return cosines(weights, cosine_candidates(weights, tau, limit)).where(F.col("cosine") >= F.lit(tau))

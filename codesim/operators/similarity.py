@@ -192,6 +192,11 @@ def class_pairs_at_least(reps: DataFrame, tau: float, limit: int = LIMIT) -> Dat
     hi = F.col("n_1") / F.lit(tau) + EPS
     cand = (self_pairs(prefix, ["h"], CLS, ["n"], limit, rank=class_rank()).where((F.col("n_2") >= lo) & (F.col("n_2") <= hi))
             .select(*CLS_PAIR).distinct())
+    return verified(cand, reps, tau)
+
+
+def verified(cand: DataFrame, reps: DataFrame, tau: float) -> DataFrame:
+    """The class pairs of ``cand`` (distinct) with Jaccard >= tau by their key arrays, with members and ``inter``."""
 
     def side(s: str) -> DataFrame:
         return reps.select(*[F.col(c).alias(f"{c}_{s}") for c in CLS], F.col("keys").alias(f"k{s}"),

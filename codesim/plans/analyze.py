@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, fingerprint, linediff, report, similarity, template
+from ..operators import corpus, fingerprint, linediff, lsh, report, similarity, template
 from ..params import Params
 from ..session import delete, materialise
 
@@ -238,6 +238,15 @@ class Analysis:
         kept = self.kept.select("submission_id", "raw_path")
         return fingerprint.tfidf_cosine(self.normalized, kept, self.pairs)
 
+    def cosine_pairs(self, tau: float) -> DataFrame:
+        """All submission pairs whose TF-IDF cosine reaches ``tau``, reported or not."""
+        weights = fingerprint.tfidf_weights(self.normalized, self.kept.select("submission_id", "raw_path"))
+        return fingerprint.cosine_at_least(self._keep(weights, "tfidf"), tau, self.params.block_rows)
+
+    def similar_by_bands(self, tau: float, recall: float = 0.995) -> DataFrame:
+        """File pairs with Jaccard >= tau found by MinHash bands: an approximate search, exact rows (``operators.lsh``)."""
+        return lsh.pairs_at_least(self.reps, self.sets, tau, recall, self.params.block_rows)
+
     @cached_property
     def summary(self) -> DataFrame:
         n = F.count(F.lit(1))

