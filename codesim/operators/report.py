@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..params import Params
 from .blocks import LIMIT, self_pairs
-
+from .terms import MANY
+from .terms import term_counts as automaton_counts
 
 
 def neumaier_sum(arr) -> F.Column:
@@ -104,9 +105,12 @@ def flagged(sims: DataFrame, kept_pairs: DataFrame, params: Params) -> DataFrame
 def with_term_counts(files: DataFrame, params: Params, on=None) -> DataFrame:
     """Add ``term_n``: per-file counts of each watch term (in parameter
     order) over the raw content, whole words, any case; null where ``on``
-    is false.  One literal pattern per term, compiled once per task."""
+    is false.  One literal pattern per term, compiled once per task; many terms
+    are counted by one automaton instead (``terms``), with the same counts."""
     on = F.lit(True) if on is None else on
     terms = list(params.terms)
+    if len(terms) >= MANY:
+        return files.withColumn("term_n", automaton_counts(F.when(on, F.col("content")), params.terms))
     low = F.lower(F.col("content"))
     counts = F.array(*[T.term_count(low, t) for t in terms]) if terms else F.array().cast("array<long>")
     return files.withColumn("term_n", F.when(on, counts))

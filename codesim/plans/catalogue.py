@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions import decode
 from ..functions import text as T
 from ..operators import corpus, fingerprint, report, similarity, template
 from ..params import Params
@@ -111,6 +112,12 @@ def archive_expand_split(spark, sf):
                     F.sha2(archives.text_of("data"), 256).alias("content_sha"))
 
 
+def charset_detected(spark, sf):
+    """The documents in six encodings: the character set told by the bytes, and the text in it."""
+    e = fixture.encoded(spark, sf)
+    return e.select("doc_id", decode.charset("data").alias("charset"), F.sha2(decode.decoded("data"), 256).alias("text_sha"))
+
+
 # -- template --------------------------------------------------------------
 
 def template_hashes(spark, sf):
@@ -150,6 +157,13 @@ def term_counts(spark, sf):
     return _analysis(spark, sf).term_counts
 
 
+def term_counts_many(spark, sf):
+    """All 676 two-letter terms, counted by one automaton."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = tuple(a + b for a in letters for b in letters)
+    return _analysis(spark, sf, FIXTURE.with_(terms=terms)).term_counts.where(F.col("n") > 0)
+
+
 def term_counts_wide(spark, sf):
     return report.term_counts_wide(_analysis(spark, sf).term_counts, FIXTURE_TERMS)
 
@@ -360,6 +374,7 @@ QUERIES = {
     "duplicate_entries_last_wins": duplicate_entries_last_wins,
     "archive_expand": archive_expand,
     "archive_expand_split": archive_expand_split,
+    "charset_detected": charset_detected,
     "normalized_py": normalized_py,
     "normalized_c": normalized_c,
     "norm_hash": norm_hash,
@@ -375,6 +390,7 @@ QUERIES = {
     "submission_overview": submission_overview,
     "term_counts": term_counts,
     "term_counts_wide": term_counts_wide,
+    "term_counts_many": term_counts_many,
     "same_path_similarity": same_path_similarity,
     "same_path_flagged": same_path_flagged,
     "cross_path_candidates": cross_path_candidates,

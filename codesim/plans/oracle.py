@@ -229,6 +229,10 @@ def sqls() -> dict[str, str]:
             "SELECT 'g' || g AS submission, 'd' || doc_id || '/A.SQL' AS raw_path, CAST(5 * r + 3 AS BIGINT) AS entry_ordinal, "
             "sha256('select ' || chr(39) || 'PK' || chr(3) || chr(4) || chr(39) || '; ' || text) AS content_sha FROM d "
             "UNION ALL SELECT 'g' || g, 'd' || doc_id || '/main.py', CAST(5 * r + 4 AS BIGINT), sha256(text) FROM d"),
+        "charset_detected": (
+            "SELECT doc_id, CASE WHEN doc_id % 6 = 2 THEN 'UTF-16LE' WHEN doc_id % 6 = 3 THEN 'UTF-16BE' WHEN doc_id % 6 = 4 AND coalesce(text, '') <> '' THEN 'UTF-16LE' "
+            "WHEN doc_id % 6 = 5 AND NOT regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*') THEN 'windows-1252' ELSE 'UTF-8' END AS charset, "
+            "sha256(CASE WHEN doc_id % 6 = 5 THEN regexp_replace(coalesce(text, ''), '[^\\x{0}-\\x{ff}]', '?', 'g') ELSE coalesce(text, '') END) AS text_sha FROM documents"),
         "normalized_py": _with("SELECT submission_id, path, md5(norm) AS norm_md5, CAST(length(norm) AS BIGINT) AS norm_len "
                                "FROM facts WHERE ext = 'py'"),
         "normalized_c": _with("SELECT submission_id, path, md5(norm) AS norm_md5, CAST(length(norm) AS BIGINT) AS norm_len "
@@ -289,6 +293,9 @@ def sqls() -> dict[str, str]:
             f"GROUP BY ALL) "
             f"SELECT s.submission_id, t.term, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM subs s, ({term_rows}) t "
             f"LEFT JOIN cnt c ON c.submission_id = s.submission_id AND c.term = t.term"),
+        "term_counts_many": _with(
+            f", w AS (SELECT submission_id, unnest(regexp_extract_all(lower(content), {q(word)})) AS term FROM kept) "
+            "SELECT submission_id, term, count(*) AS n FROM w WHERE regexp_full_match(term, '[a-z][a-z]') GROUP BY ALL"),
         "term_counts_wide": _with(
             f", w AS (SELECT submission_id, unnest(regexp_extract_all(lower(content), {q(word)})) AS w FROM kept) "
             f"SELECT s.submission_id, "

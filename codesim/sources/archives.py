@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.decode import decoded
 from ..params import Params
 from ..session import materialise
 
@@ -130,7 +131,12 @@ def expand(archives: DataFrame, params: Params = Params(), mode: str = "FAILFAST
         _expander(params, mode == "FAILFAST", all_entries), ENTRY_SCHEMA)
 
 
-def text_of(data) -> F.Column:
+def text_of(data, charset: str = "utf8") -> F.Column:
+    """Text of a binary column: UTF-8 with U+FFFD for what is invalid, or, with ``charset='detect'``, in the character set its bytes tell."""
+    if charset == "detect":
+        return decoded(data)
+    if charset != "utf8":
+        raise ValueError("charset must be utf8 or detect")
     return F.make_valid_utf8(F.col(data).cast("string"))
 
 
@@ -143,21 +149,21 @@ def _entries(spark: SparkSession, path, params: Params, mode: str, all_entries:
 
 
 def read_archives(spark: SparkSession, path: str | list[str], params: Params = Params(),
-                  mode: str = "FAILFAST", split: bool = False) -> ArchiveInput:
+                  mode: str = "FAILFAST", split: bool = False, charset: str = "utf8") -> ArchiveInput:
     """Submission archives -> files table (admitted entries, last one wins).  ``split`` reads them by offset ranges
-    (``zipsplit``): for archives over 2 GB, or few and large."""
+    (``zipsplit``): for archives over 2 GB, or few and large.  ``charset``: see ``text_of``."""
     names = numbered(list_archives(spark, path).select("path"))
     known = F.broadcast(names) if names.count() <= params.broadcast_rows else names
     entries = _entries(spark, path, params, mode, False, split).join(known, "path")
-    files = entries.where(F.col("error").isNull()).select("submission_id", "submission", "raw_path", text_of("data").alias("content"))
+    files = entries.where(F.col("error").isNull()).select("submission_id", "submission", "raw_path", text_of("data", charset).alias("content"))
     rejects = entries.where(F.col("error").isNotNull()).select("submission_id", "submission", "error")
     return ArchiveInput(files, names.select("submission_id", "submission"), rejects)
 
 
 def read_template(spark: SparkSession, path: str | list[str] | None, params: Params = Params(),
-                  mode: str = "FAILFAST", split: bool = False) -> DataFrame | None:
+                  mode: str = "FAILFAST", split: bool = False, charset: str = "utf8") -> DataFrame | None:
     """Template archive(s) -> (raw_path, content) of all admitted entries, repeated names included; ``None`` stays ``None``."""
     if path is None:
         return None
     entries = _entries(spark, path, params, mode, True, split)
-    return entries.where(F.col("error").isNull()).select("raw_path", text_of("data").alias("content"))
+    return entries.where(F.col("error").isNull()).select("raw_path", text_of("data", charset).alias("content"))

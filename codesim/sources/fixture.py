@@ -124,3 +124,15 @@ def archive_folder(spark: SparkSession, sf_dir: str, folder: str, docs_each: int
 
     docs = documents(spark, sf_dir).select("doc_id", "text", F.expr(f"doc_id div {docs_each}").alias("g"))
     docs.groupBy("g").applyInPandas(write, "name string").agg(F.count("name")).collect()  # one number
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, data): every document's text as bytes, by doc_id % 6 in UTF-8 without and with mark, UTF-16 of both orders with mark,
+    little-endian UTF-16 without, and Latin-1."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    mark = lambda b, name: F.concat(F.lit(b), F.encode(text, name))
+    kinds = [F.encode(text, "UTF-8"), mark(b"\xef\xbb\xbf", "UTF-8"), mark(b"\xff\xfe", "UTF-16LE"), mark(b"\xfe\xff", "UTF-16BE"), F.encode(text, "UTF-16LE")]
+    data = F.encode(F.regexp_replace(text, "[^\\x{0}-\\x{ff}]", "?"), "ISO-8859-1")
+    for i, kind in enumerate(kinds):
+        data = F.when(F.col("doc_id") % 6 == i, kind).otherwise(data)
+    return documents(spark, sf_dir).select("doc_id", data.alias("data"))
