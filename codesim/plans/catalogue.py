@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import decode
 from ..functions import text as T
-from ..operators import corpus, fingerprint, report, similarity, template
+from ..operators import corpus, fingerprint, index, report, similarity, template
 from ..params import Params
 from ..session import checkpoint_root, materialise
 from ..sources import archives, fixture, zipsplit
@@ -194,6 +194,16 @@ def _cross(a: Analysis):
     return similarity.positive_similarities(a.counts.where(F.col("path_a") != F.col("path_b")))
 
 
+def counts_by_index(spark, sf):
+    """Shared-shingle counts of all file pairs: submissions 2 to 14 stand in a stored index, 15 to 19 are joined with it and added."""
+    params = FIXTURE.with_(scan_partitions=spark.sparkContext.defaultParallelism)
+    files, template_ = fixture.submission_files(spark, sf), fixture.template_files(spark, sf)
+    old, new = (Analysis(files.where(c), template_, params) for c in ("submission_id < 15", "submission_id >= 15"))
+    at = index.build(spark, f"{checkpoint_root(spark).rstrip('/')}/index-{uuid.uuid4().hex}", old.sets, old.reps, buckets=16, limit=params.block_rows)
+    counts = old.counts.select(*index.COUNTS).unionByName(at.counts_added(new.sets, new.reps))
+    return counts.select("id_a", "path_a", "id_b", "path_b", F.col("inter").cast("long").alias("inter"))
+
+
 def cross_path_similarity(spark, sf):
     s = _cross(_analysis(spark, sf))
     return rounded(s.select("id_a", "path_a", "id_b", "path_b", "inter", "n_a", "n_b", "similarity"))
@@ -394,6 +404,7 @@ QUERIES = {
     "same_path_similarity": same_path_similarity,
     "same_path_flagged": same_path_flagged,
     "cross_path_candidates": cross_path_candidates,
+    "counts_by_index": counts_by_index,
     "cross_path_similarity": cross_path_similarity,
     "cross_path_flagged": cross_path_flagged,
     "cross_path_flagged_pruned": cross_path_flagged_pruned,

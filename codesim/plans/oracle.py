@@ -307,6 +307,7 @@ def sqls() -> dict[str, str]:
         "cross_path_candidates": _with("SELECT id_a, path_a, id_b, path_b, CAST(inter AS BIGINT) AS inter FROM inter "
                                        "WHERE path_a <> path_b"),
         "cross_path_similarity": _with(f"SELECT id_a, path_a, id_b, path_b, inter, n_a, n_b, {r('similarity')} FROM cross_sim"),
+        "counts_by_index": _with("SELECT id_a, path_a, id_b, path_b, CAST(inter AS BIGINT) AS inter FROM inter"),
         "cross_path_flagged": _with(f"SELECT id_a, path_a, id_b, path_b, {r('similarity')} FROM cross_sim "
                                     f"WHERE similarity >= 0.7"),
         "cross_path_flagged_pruned": _with(f"SELECT id_a, path_a, id_b, path_b, {r('similarity')} FROM cross_sim "
