@@ -12,12 +12,11 @@ f depends on counts alone, so it is worked out for cells of terms with equal cou
   evaluated once a cell, cells of equal f are merged, and merged values are ranked by cumulative multiplicity. Only the
   cells that reach the first ``limit`` ranks are expanded into their terms, in UTF-8 order.
 * part ``pair`` (p the group's, q another source's): kept terms are first grouped by their whole row of counts over the
-  sources.  With f0 for absent terms, the sum over all V terms is V f(0,0), plus a correction for each count cell of
-  either source, plus one for each row of counts that holds both; absent terms are never written out.
+  sources, and f is evaluated once for each such row and pair of sources, in blocks of rows.
 
-Documents are read once; a task sums its counts before they are shuffled by (lang, term, source), so a hot source or word is
-added up like any other.  Per term only one number a source is gathered.  The table of groups is
-broadcast while it has at most ``max_broadcast`` rows, like the chosen cells; beyond that the same joins are shuffled.
+Documents are read once; a task sums its counts before they are shuffled by (lang, term), so that of a hot word or source a
+task's sums travel, not its occurrences.  Per term only one number a source is gathered.  The table of groups is
+sent to the tasks while it has at most ``max_broadcast`` rows, like the chosen cells; beyond that, joins give the same values.
 
 Defined results: null text, lang and source are ''; a group without kept terms has rows in part ``pair`` (all its terms
 have count 0) and none in ``term``; a language with V = 0 has 0 for every pair; a language with one source has no
@@ -28,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,36 +36,36 @@ from .common import stored
 
 #: Bytes to term bytes: A-Z lowered, other term bytes kept, all else a blank.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-#: A task sends on its sums when it holds this many.
-HELD = 200_000
+#: A task sends on its sums when it holds this many terms.
+HELD = 500_000
+#: What a document adds to a sum beside its occurrences.
+DOCUMENT = 1 << 40
 
 
 def group_counts(docs: DataFrame) -> DataFrame:
-    """lang, term, source, c (occurrences), d (documents): one row per term of a group."""
+    """lang, term, source, c (occurrences), d (documents): one row per term of a group, all rows of a term in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        # (lang, source), term to documents << 40 | occurrences
+        sums: dict[tuple[str, str], dict[bytes, int]] = {}
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), terms in sums.items():
                 n = len(terms)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array([source] * n, pa.string()), pa.array([x[0] for x in terms.values()], pa.int64()), pa.array([x[1] for x in terms.values()], pa.int64())], ["lang", "term", "source", "c", "d"])
+                both = np.fromiter(terms.values(), np.int64, n)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.repeat(source, n), pa.array(both & (DOCUMENT - 1)), pa.array(both >> 40)], ["lang", "term", "source", "c", "d"])
             sums.clear()
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
                 seen: dict[bytes, int] = {}
                 for term in text.as_py().translate(TERM_BYTES).split():
-                    seen[term] = seen.get(term, 0) + 1
+                    seen[term] = seen.get(term, DOCUMENT) + 1
                 to = sums.setdefault((lang, source), {})
                 held -= len(to)
                 for term, c in seen.items():
-                    if (at := to.get(term)) is None:
-                        to[term] = [c, 1]
-                    else:
-                        at[0] += c
-                        at[1] += 1
+                    to[term] = to.get(term, 0) + c
                 held += len(to)
                 if held > HELD:
                     yield from out()
@@ -73,7 +73,9 @@ def group_counts(docs: DataFrame) -> DataFrame:
         yield from out()
 
     texts = docs.select(*(F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("lang", "source", "text")))
-    return texts.mapInArrow(run, "lang string, term string, source string, c long, d long").groupBy("lang", "term", "source").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    # dealt by term before the sums of the tasks are added, so that both sums here need no other shuffle
+    rows = texts.mapInArrow(run, "lang string, term string, source string, c long, d long").repartition("lang", "term")
+    return rows.groupBy("lang", "term", "source").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def kept_terms(docs: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -107,8 +109,67 @@ def _sized(df: DataFrame, max_broadcast: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_broadcast else df
 
 
-def pair_values(terms: DataFrame, at: DataFrame) -> DataFrame:
-    """lang, source, item (another source), value: f summed over all kept terms.  ``at`` is the table of ``groups``."""
+def _shares(c: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """1 + floor(10^9 (c + 1) / total), exact: whole numbers without bound where 64 bits can't hold the product."""
+    if c.size and int(c.max()) >= 9_000_000_000:
+        return (1 + 10**9 * (c.astype(object) + 1) // total.astype(object)).astype(np.int64)
+    return 1 + 10**9 * (c + 1) // total
+
+
+def _sums(langs: dict[str, tuple[list[str], np.ndarray, int]]):
+    """Task part of ``pair_values``: (lang, by, m) to (lang, source, item, value), f summed over the task's rows.  A sum of f over any terms
+    is under (sum of p + sum of q)^2, which 64 bits hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for b in batches:
+            lang_of, by = b.column(0).dictionary_encode(), b.column(1)
+            numbers = lang_of.indices.to_numpy()
+            row = np.repeat(np.arange(len(by)), np.diff(by.offsets.to_numpy()))
+            source_of, count = by.flatten().field("source").dictionary_encode(), by.flatten().field("c").to_numpy()
+            m = b.column(2).to_numpy()
+            for k, lang in enumerate(lang_of.dictionary.to_pylist()):
+                sources, n, v = langs[lang]
+                place = {s: i for i, s in enumerate(sources)}
+                at = np.array([place.get(s, -1) for s in source_of.dictionary.to_pylist()], np.int64)
+                mine = numbers == k
+                here = mine[row]
+                c = np.zeros((int(mine.sum()), len(sources)), np.int64)
+                c[(np.cumsum(mine) - 1)[row[here]], at[source_of.indices.to_numpy()[here]]] = count[here]
+                p = _shares(c, (n + v)[None, :])
+                to = sums.setdefault(lang, np.zeros((len(sources), len(sources)), np.int64))
+                for s in range(len(sources)):
+                    d = p[:, s, None] - p
+                    to[s] += m[mine] @ (d * d // p)
+        for lang, to in sums.items():
+            sources = langs[lang][0]
+            i, j = np.nonzero(to)
+            names = ([lang] * len(i), [sources[x] for x in i], [sources[x] for x in j])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in names), pa.array(to[i, j])], ["lang", "source", "item", "value"])
+
+    return run
+
+
+def pair_values(terms: DataFrame, at: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+    """lang, source, item (another source), value: f summed over all kept terms.  ``at`` is the table of ``groups``; up to
+    ``max_broadcast`` groups, their totals go to the tasks, which sum rows of counts block by block."""
+    if at.count() > max_broadcast:
+        return pair_values_joined(terms, at)
+    langs = {}
+    for r in at.orderBy("lang", "source").toLocalIterator():  # at most ``max_broadcast`` rows
+        sources, n, _ = langs.setdefault(r["lang"], ([], [], r["v"]))
+        sources.append(r["source"])
+        n.append(r["n"])
+    langs = {lang: (sources, np.array(n, np.int64), v) for lang, (sources, n, v) in langs.items()}
+    rows = terms.groupBy("lang", "by").agg(F.count("*").alias("m")).select("lang", "by", "m")
+    sums = rows.mapInArrow(_sums(langs), "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    every = at.select("lang", "source").join(at.select("lang", F.col("source").alias("item")), "lang").where("source <> item")  # the result's rows
+    return every.join(sums, ["lang", "source", "item"], "left").fillna(0, ["value"])
+
+
+def pair_values_joined(terms: DataFrame, at: DataFrame) -> DataFrame:
+    """``pair_values`` for more groups than are sent to the tasks: joins only.  Absent terms are never written out: the sum is
+    V f(0,0), plus a correction for each count of either source, plus one for each row of counts that holds both."""
     ours = at.select("lang", F.col("source").alias("s"), F.col("n").alias("ns"), "v")
     theirs = at.select("lang", F.col("source").alias("t"), F.col("n").alias("nt"))
     both = ours.join(theirs, "lang").where("s <> t")  # the result's rows
@@ -154,8 +215,8 @@ def audit(docs: DataFrame, min_docs: int = 3, limit: int = 200, max_broadcast: i
     """lang, source, part (``pair`` or ``term``), item, value, rank: all other sources of the language by their divergence,
     and the first ``limit`` terms that set the group apart from its language."""
     terms = stored(kept_terms(docs, min_docs))
-    at = _sized(stored(groups(docs, terms)), max_broadcast)
+    at = stored(groups(docs, terms))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pair_values(terms, at).withColumn("rank", F.row_number().over(order))
+    pairs = pair_values(terms, at, max_broadcast).withColumn("rank", F.row_number().over(order))
     names = ("lang", "source", "part", "item", "value", "rank")
-    return pairs.withColumn("part", F.lit("pair")).select(*names).union(term_ranks(terms, at, limit, max_broadcast).withColumn("part", F.lit("term")).select(*names))
+    return pairs.withColumn("part", F.lit("pair")).select(*names).union(term_ranks(terms, _sized(at, max_broadcast), limit, max_broadcast).withColumn("part", F.lit("term")).select(*names))

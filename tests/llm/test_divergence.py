@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from codesim.llm import divergence as D
@@ -69,6 +70,12 @@ def test_large_counts_stay_exact(spark):
     assert row[0] == 1 + 10**9 * 30_000_000_001 // 90_000_000_008
 
 
+def test_large_counts_stay_exact_in_blocks():
+    c = np.array([[3, 40_000_000_000], [9_500_000_000, 0]])
+    total = np.array([90_000_000_008, 120_000_000_001])
+    assert D._shares(c, total[None, :]).tolist() == [[1 + 10**9 * (int(x) + 1) // int(t) for x, t in zip(row, total)] for row in c]
+
+
 def test_sums_sent_early(spark, docs_of, rows, monkeypatch):
     monkeypatch.setattr(D, "HELD", 5)
     assert {tuple(r) for r in D.audit(docs_of(rows)).collect()} == brute(rows)
