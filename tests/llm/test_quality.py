@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -66,3 +68,62 @@ def test_empty_table_repeats_and_stage(docs_of):
     kept = Q.keep(docs_of(rows))
     assert kept.columns == docs_of(rows).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+
+
+def test_every_statistic_rejects_alone(docs_of):
+    """One document for each statistic that differs from its group in that one only, next to a clean one."""
+    rng = random.Random(31)
+    lines = lambda n: "\n".join(prose(rng, 8) for _ in range(n))
+    rows = [(i, lines(12), "en", "a") for i in range(400)]
+    words = prose(rng, 96).split()
+    one = {
+        "letters": " ".join(w * 6 for w in words),
+        "symbols": " ".join(f"{w}#$%" for w in words),
+        "capitals": " ".join(words).upper(),
+        "marks": " ".join(f"{w}!!" for w in words),
+        "digits": " ".join("".join(rng.choices("0123456789", k=len(w))) for w in words),
+        # repeated lines of one word, never eight words that repeat
+        "lines": "\n".join(x for _ in range(40) for x in ("q", "q", "q", "w", "w", "w", prose(rng, 9))),
+        "stutter": " ".join(f"{w} {w}" for w in words),
+    }
+    odd = [(1000 + i, t, "en", "a") for i, t in enumerate(one.values())] + [(2000, lines(12), "en", "a")]
+    got = {r.doc_id: r for r in Q.verdicts(docs_of(rows + odd)).collect()}
+    for i, name in enumerate(one):
+        assert not got[1000 + i].base_failed and not got[1000 + i].kept, (name, got[1000 + i])
+    assert got[2000].kept and all(got[r[0]].kept for r in rows)
+    # repeated words have their own limit
+    half = " ".join(words[:30]) + " " + " ".join(words[:30]) + " " + " ".join(words)
+    r = Q.verdicts(docs_of([(1, half, "en", "a")])).first()
+    assert r.base_failed and not r.kept
+    assert all((math.pi / 2 / f) ** 2 > Q.chi2_quantile(1 - 1e-6, Q.P) for f in Q.FLOORS[1:6] + Q.FLOORS[7:])
+
+
+def exact_mcd(x, share, cutoff):
+    """Which rows of ``x`` the minimum-covariance-determinant rule keeps, by trying every subset."""
+    floors = np.array(Q.FLOORS)
+
+    def estimate(rows, factor):
+        cov = np.cov(rows.T, bias=True) * factor / np.outer(floors, floors)
+        value, vector = np.linalg.eigh(cov)
+        value = np.maximum(value, 1.0)
+        return rows.mean(0), (vector / value) @ vector.T / np.outer(floors, floors), np.log(value).sum()
+
+    def far(mu, inverse):
+        return np.einsum("ij,jk,ik->i", x - mu, inverse, x - mu)
+
+    h = math.ceil(share * len(x))
+    best = min((estimate(x[list(c)], Q.consistency(share)) for c in itertools.combinations(range(len(x)), h)), key=lambda e: e[2])
+    mu, inverse, _ = estimate(x[far(*best[:2]) <= Q.chi2_quantile(0.975, Q.P)], Q.consistency(0.975))
+    return far(mu, inverse) <= cutoff
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_kept_equals_the_exact_estimate(spark, docs_of, seed):
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.randint(120, 200)) for _ in range(14)]
+    texts += [prose(rng, 150).replace(" ", " 12345 "), prose(rng, 150).replace(" ", "!? "), prose(rng, 150).upper()]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in Q.verdicts(docs_of(rows), least=10).collect()}
+    x = np.array([Q.statistics(t.encode())[5:] for t in texts])
+    want = exact_mcd(x, 0.75, Q.chi2_quantile(1 - 1e-6, Q.P))
+    assert [got[i].kept for i in range(len(texts))] == want.tolist() and 13 < want.sum() < 17
