@@ -56,14 +56,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3
     # sorted by the level at which a source is full; kept in whole numbers
     level = F.call_function("div", F.col("cap") * lcm(*weights), F.col("w"))
     filled = stored(running(named, [level, "nth"], {"caps": F.col("cap"), "before": F.col("w")}))
-    all_ = filled.agg(F.sum("source_size").alias("words"), F.sum("w").alias("ws"))
-    filled = filled.crossJoin(F.broadcast(all_))  # one row
-    left, share = F.col("words") - F.col("caps"), F.col("ws") - F.col("before")
+    words, ws = (filled.agg(F.sum(c)).scalar() for c in ("source_size", "w"))
+    left, share = words - F.col("caps"), ws - F.col("before")
     # the first source that is not full at the level of those from it on sets the level
-    filled = filled.withColumn("full", left.cast("decimal(38,0)") * F.col("w") > F.col("cap").cast("decimal(38,0)") * share)
-    rate = filled.where(~F.col("full")).agg(F.max(left.cast("double") / share.cast("double")).alias("rate"))
-    filled = filled.crossJoin(F.broadcast(rate))  # one row
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.coalesce("rate", F.lit(0.0)) * F.col("w").cast("double"))
+    full = left.cast("decimal(38,0)") * F.col("w") > F.col("cap").cast("decimal(38,0)") * share
+    filled = stored(filled.select("source", "n", "source_size", "first", "w", "cap", full.alias("full"), (left.cast("double") / share.cast("double")).alias("level")))
+    rate = filled.where(~F.col("full")).agg(F.max("level")).scalar()
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.coalesce(rate, F.lit(0.0)) * F.col("w").cast("double"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce("source", F.lit("\x00")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     return filled.select("source", "n", "source_size", "first", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"), offset.alias("offset"))
 
