@@ -117,7 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
     held = sets.select("wids", F.explode("wids").alias("wid")).join(F.broadcast(members) if few else members, "wid")
     items = held.groupBy("wids").agg(F.sort_array(F.flatten(F.collect_set(F.array("item_id")))).alias("items"))
     none = F.array().cast(f"array<{members.schema['item_id'].dataType.simpleString()}>")
-    rows = per.join(items, "wids", "left").withColumn("items", F.coalesce("items", none))
+    # documents without a hit, most of them, have no set to look up
+    clean = per.where(F.size("wids") == 0).withColumn("items", none)
+    rows = per.where(F.size("wids") > 0).join(items, "wids", "left").withColumn("items", F.coalesce("items", none)).unionByName(clean)
     # equal rows were counted together: give each its row again
     again = F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("rows")))
     return rows.select("doc_id", "key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_compact("items").alias("items"), "spans", again.alias("nth")).drop("nth")
