@@ -52,11 +52,13 @@ def with_fingerprints(files: DataFrame, params: Params, on=None) -> DataFrame:
             .drop("_tok"))
 
 
-def shingle_df(reps: DataFrame) -> DataFrame:
-    """Document frequency of each shingle key over files (the inverted index, counted)."""
+def shingle_df(reps: DataFrame, parts: int = 0) -> DataFrame:
+    """Document frequency of each shingle key over files (the inverted index, counted).  Most shingles are of one class, so counting
+    before the shuffle would only fill a table: they are dealt to ``parts`` partitions first (0: the session's)."""
     from .similarity import class_shingles
 
-    return class_shingles(reps).groupBy("h").agg(F.sum("members").cast("long").alias("df"))
+    sh = class_shingles(reps)
+    return (sh.repartition(parts, "h") if parts else sh).groupBy("h").agg(F.sum("members").cast("long").alias("df"))
 
 
 def minhash_signatures(files: DataFrame, params: Params) -> DataFrame:
