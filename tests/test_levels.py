@@ -1,0 +1,66 @@
+"""The best file pairs by levels, shingles of one class, equal paths and watch terms without a full self-join."""
+
+import random
+
+import pytest
+
+from codesim import analyze
+from codesim.operators import similarity as S
+
+
+def _code(rng, n=60):
+    return "\n".join(f"v{rng.randrange(10**6)} = f{rng.randrange(10**6)}(x{rng.randrange(10**6)})" for _ in range(n)) + "\n"
+
+
+HEAD = "\n".join(f"use common_{i} as c_{i}" for i in range(4)) + "\n"
+
+
+def _rows(subs=4, alike=6, seed=3):
+    """Submissions with ``alike`` files of nearly equal content in each, some at equal paths, and others that share only a head."""
+    rng, rows = random.Random(seed), []
+    base = [_code(rng) for _ in range(alike)]
+    for s in range(subs):
+        for i, text in enumerate(base):
+            rows.append((s, f"s{s}", f"s{s}/{'same' if i % 2 else f'own{s}'}_{i}.py", HEAD + text + f"last_{s} = {i}\n"))
+        for i in range(5):
+            rows.append((s, f"s{s}", f"s{s}/other_{i}.py", HEAD + _code(rng)))
+        rows.append((s, f"s{s}", f"s{s}/copy.py", base[0]))
+    return rows
+
+
+def _analysis(spark, rows, **kw):
+    return analyze(spark.createDataFrame(rows, "submission_id long, submission string, raw_path string, content string"), **kw)
+
+
+def _names(a):
+    return [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in a.written]
+
+
+@pytest.mark.parametrize("alike,thresh", [(6, 0.1), (1, 0.0), (1, 0.3)])
+def test_levels_give_the_full_count(spark, alike, thresh):
+    rows = _rows(subs=3, alike=alike)
+    a = _analysis(spark, rows, overall_thresh=thresh)
+    best = {}
+    for r in S.all_file_similarities(a.sets, a.counts).collect():
+        best.setdefault((r.id_a, r.id_b), []).append(r.similarity)
+    want = {k: sum(sorted(v)[-5:]) / min(5, len(v)) for k, v in best.items()}
+    assert {(r.id_a, r.id_b): r.overall for r in a.overall.collect()} == pytest.approx(want) and len(want) == 3
+    # with enough alike, nothing is counted in full
+    assert ("scored_pairs" in _names(a)) == (alike == 1)
+
+
+def test_shared_sets_and_equal_paths(spark):
+    a = _analysis(spark, _rows(subs=3, alike=3))
+    everything = {h: 0 for r in a.reps.collect() for h in r.keys}
+    for r in a.reps.collect():
+        for h in r.keys:
+            everything[h] += 1
+    shared = a.shared.collect()
+    assert sorted(h for r in shared for h in r["keys"]) == sorted(h for h, n in everything.items() for _ in range(n) if n > 1)
+    assert all([everything[h] for h in r["keys"]] == sorted((everything[h] for h in r["keys"]), reverse=True) for r in shared)
+    same = a.counts.where("path_a = path_b")
+    cols = sorted(same.columns)
+    assert same.count() > 0 and sorted(map(tuple, same.select(cols).collect())) == sorted(map(tuple, a.same_path_counts.select(cols).collect()))
+    for tau in (0.05, 0.5):
+        want = S.positive_similarities(a.counts).where(f"similarity >= {tau}").drop("ext")
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, a.similar(tau).drop("ext").collect()))
