@@ -274,7 +274,14 @@ class Analysis:
 
     @cached_property
     def term_counts(self) -> DataFrame:
-        return report.term_counts(self.kept, self.submissions, self.params)
+        if "facts" in self.__dict__:
+            return report.term_counts(self.kept, self.submissions, self.params)
+        # nothing is tokenised for it
+        enough = F.col("n_newlines") >= self.params.min_lines
+        scan = report.with_term_counts(self.normalized, self.params, on=enough).drop("content", "norm")
+        facts = self._keep(self._marked(scan, "term_n"), "term_facts")
+        roster = self.roster if self.roster is not None else self.files
+        return report.term_counts(facts.where(F.col("is_kept")), template.submissions(roster, facts), self.params)
 
     def files_of(self, wanted: DataFrame, source: DataFrame, *cols: str) -> DataFrame:
         """The rows of ``source`` (by raw_path) of the ``wanted`` (submission_id, path), with that path.

@@ -64,3 +64,9 @@ def test_shared_sets_and_equal_paths(spark):
     for tau in (0.05, 0.5):
         want = S.positive_similarities(a.counts).where(f"similarity >= {tau}").drop("ext")
         assert sorted(map(tuple, want.collect())) == sorted(map(tuple, a.similar(tau).drop("ext").collect()))
+
+
+def test_terms_need_no_fingerprints(spark):
+    a = _analysis(spark, [(0, "s", "s/a.py", "todo\n" * 12), (1, "t", "t/b.py", "x\n" * 3)], terms=("todo",))
+    assert sorted(map(tuple, a.term_counts.collect())) == [(0, "todo", 12), (1, "todo", 0)]
+    assert "scanned" not in _names(a)
