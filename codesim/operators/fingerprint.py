@@ -79,33 +79,36 @@ def minhash_estimate(a, b) -> F.Column:
     return same / F.lit(float(N_HASHES))
 
 
-def tfidf_weights(files: DataFrame, kept: DataFrame) -> DataFrame:
-    """(submission_id, token, w, df): the TF-IDF weights of all tokens of the ``kept`` (submission_id, raw_path) files; tf is the count,
-    idf = ln((1 + N) / (1 + df)) + 1 over the N submissions that have tokens.  Tokens are counted by file where ``files`` (submission_id,
+def token_counts(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """(submission_id, token, tf): the tokens of the ``kept`` (submission_id, raw_path) files, counted by file where ``files`` (submission_id,
     raw_path, norm) are read."""
     by_file = (files.select("submission_id", "raw_path", T.explode_rows(T.tokens("norm")).alias("token")).where(F.col("token").isNotNull())
                .groupBy("submission_id", "raw_path", "token").agg(F.count(F.lit(1)).alias("c")))
-    tf = by_file.join(kept, ["submission_id", "raw_path"], "left_semi").groupBy("submission_id", "token").agg(F.sum("c").alias("tf"))
+    return by_file.join(kept, ["submission_id", "raw_path"], "left_semi").groupBy("submission_id", "token").agg(F.sum("c").alias("tf"))
+
+
+def tfidf_weights(tf: DataFrame) -> DataFrame:
+    """(submission_id, token, w, df): the TF-IDF weights of ``token_counts``, which are read three times; tf is the count,
+    idf = ln((1 + N) / (1 + df)) + 1 over the N submissions that have tokens."""
     n = tf.agg(F.countDistinct("submission_id")).scalar()
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
     return tf.join(df, "token").select("submission_id", "token", (F.col("tf") * idf).alias("w"), "df")
 
 
-def tfidf_cosine(files: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id_a, id_b, cosine) of the given submission pairs: cosine of their ``tfidf_weights``; only tokens of submissions in ``pairs``
-    are joined.  A pair without common token gets 0.0."""
-    return cosines(tfidf_weights(files, kept), pairs)
-
-
-def cosines(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id_a, id_b, cosine) of ``pairs`` from (submission_id, token, w)."""
+def cosines(weights: DataFrame, pairs: DataFrame, limit: int = LIMIT, few: bool = False) -> DataFrame:
+    """(id_a, id_b, cosine) of ``pairs`` (id_a < id_b) from ``tfidf_weights``; only tokens of submissions in ``pairs`` are joined.  A pair without
+    common token gets 0.0.  Weights of a token meet and are summed by pair in the task that joins them, so that weights are shuffled, and
+    one sum a pair and task; with ``few`` pairs, which are broadcast, no other pair is summed."""
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("submission_id")).distinct()
     w = weights.join(ids, "submission_id", "left_semi")
     norms = w.groupBy("submission_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a = w.select(F.col("submission_id").alias("id_a"), "token", F.col("w").alias("w_a")).join(pairs.select("id_a", "id_b"), "id_a")
-    b = w.select(F.col("submission_id").alias("id_b"), "token", F.col("w").alias("w_b"))
-    dot = a.join(b, ["id_b", "token"]).groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
+    # a pair that is given twice counts twice
+    wanted = pairs.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("_times"))
+    met = self_pairs(w.select("submission_id", "token", "w"), ["token"], ["submission_id"], ["w"], limit).select(
+        F.col("submission_id_1").alias("id_a"), F.col("submission_id_2").alias("id_b"), "w_1", "w_2")
+    met = met.join(F.broadcast(wanted) if few else wanted, ["id_a", "id_b"])
+    dot = met.groupBy("id_a", "id_b").agg((F.sum(F.col("w_1") * F.col("w_2")) * F.first("_times")).alias("dot"))
     na = norms.select(F.col("submission_id").alias("id_a"), F.col("norm").alias("norm_a"))
     nb = norms.select(F.col("submission_id").alias("id_b"), F.col("norm").alias("norm_b"))
     out = pairs.select("id_a", "id_b").join(dot, ["id_a", "id_b"], "left").join(na, "id_a", "left").join(nb, "id_b", "left")
@@ -132,4 +135,4 @@ def cosine_candidates(weights: DataFrame, tau: float, limit: int = LIMIT) -> Dat
 
 def cosine_at_least(weights: DataFrame, tau: float, limit: int = LIMIT) -> DataFrame:
     """(id_a, id_b, cosine) of all pairs with cosine >= tau, from ``tfidf_weights``; exact, without forming all pairs."""
-    return cosines(weights, cosine_candidates(weights, tau, limit)).where(F.col("cosine") >= F.lit(tau))
+    return cosines(weights, cosine_candidates(weights, tau, limit), limit).where(F.col("cosine") >= F.lit(tau))

@@ -338,16 +338,26 @@ class Analysis:
         return j.select("id_a", "id_b", "path_a", "path_b", "similarity", F.when(both_empty, F.lit(1.0)).otherwise(
             F.coalesce(fingerprint.minhash_estimate("sig_a", "sig_b"), F.lit(0.0))).alias("estimate"))
 
+    @cached_property
+    def tfidf(self) -> DataFrame:
+        """TF-IDF weights of the kept code of every submission."""
+        kept = self.kept.select("submission_id", "raw_path")
+        return self._keep(fingerprint.tfidf_weights(self._keep(fingerprint.token_counts(self.normalized, kept), "token_counts")), "tfidf")
+
+    def _cosines(self, pairs: DataFrame) -> DataFrame:
+        """Cosines of the pairs, which are counted and broadcast while they are few."""
+        pairs = self._keep(pairs, "cosine_candidates")
+        few = self.persist and pairs.count() <= self.params.broadcast_rows
+        return fingerprint.cosines(self.tfidf, pairs, self.params.block_rows, few)
+
     @cached_property
     def tfidf_cosine(self) -> DataFrame:
         """TF-IDF cosine of the kept code of the reported pairs."""
-        kept = self.kept.select("submission_id", "raw_path")
-        return fingerprint.tfidf_cosine(self.normalized, kept, self.pairs)
+        return self._cosines(self.pairs.select("id_a", "id_b"))
 
     def cosine_pairs(self, tau: float) -> DataFrame:
         """All submission pairs whose TF-IDF cosine reaches ``tau``, reported or not."""
-        weights = fingerprint.tfidf_weights(self.normalized, self.kept.select("submission_id", "raw_path"))
-        return fingerprint.cosine_at_least(self._keep(weights, "tfidf"), tau, self.params.block_rows)
+        return self._cosines(fingerprint.cosine_candidates(self.tfidf, tau, self.params.block_rows)).where(F.col("cosine") >= F.lit(tau))
 
     def similar_by_bands(self, tau: float, recall: float = 0.995) -> DataFrame:
         """File pairs with Jaccard >= tau found by MinHash bands: an approximate search, exact rows (``operators.lsh``)."""

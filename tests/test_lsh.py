@@ -101,3 +101,27 @@ def test_cosine_pairs_equal_brute_force(spark, tau):
     assert want
     if tau == 0.9:  # few pairs are formed
         assert fingerprint.cosine_candidates(rows, tau).count() < 0.6 * 60 * 59 / 2
+
+
+def test_weights_meet_by_token_and_no_pair_token_is_shuffled(spark):
+    import contextlib
+    import io
+    import re
+
+    rows = spark.createDataFrame([(i, f"t{k}", 1.0 + i + k, 5) for i in range(6) for k in range(40)], "submission_id long, token string, w double, df long")
+    pairs = spark.createDataFrame([(0, 1), (2, 5), (0, 1)], "id_a long, id_b long")
+    out = io.StringIO()
+    got = fingerprint.cosines(rows, pairs, few=True)
+    with contextlib.redirect_stdout(out):
+        got.explain("formatted")
+    exchanged = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", out.getvalue(), re.S)
+    assert exchanged and not [c for c in exchanged if re.search(r"\bid_a#", c) and re.search(r"\b(token|w_a|w_1)#", c)]
+
+    def cosine(a, b, times):
+        dot = sum((1 + a + k) * (1 + b + k) for k in range(40))
+        return times * dot / math.sqrt(sum((1 + a + k) ** 2 for k in range(40)) * sum((1 + b + k) ** 2 for k in range(40)))
+
+    # a pair that is given twice counts twice, in each of its rows
+    want = sorted([(0, 1, cosine(0, 1, 2))] * 2 + [(2, 5, cosine(2, 5, 1))])
+    assert sorted(map(tuple, got.collect())) == [pytest.approx(x) for x in want]
+    assert sorted(map(tuple, fingerprint.cosines(rows, pairs).collect())) == [pytest.approx(x) for x in want]
