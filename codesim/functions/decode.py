@@ -24,13 +24,14 @@ WINDOWS = {
 
 #: A well-formed run of big-endian units in hexadecimal digits, without lone surrogates.
 UTF_16 = "\\A(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})*+\\z"
+UTF_16_LE = "\\A(?:[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2}|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F])*+\\z"
 UTF_32 = "\\A(?:(?!0000D[89A-F])00(?:0[0-9A-F]|10)[0-9A-F]{4})*+\\z"
 
 
 def _units(data: Column, unit: str) -> Column:
-    """How many of the two-byte units match ``unit``, four hexadecimal digits.  Every alternative takes four digits, so the
-    matches stay on unit borders."""
-    kept = F.regexp_replace(F.hex(data), f"({unit})|[0-9A-F]{{4}}", "$1")
+    """How many of the two-byte units match ``unit``, four hexadecimal digits.  Every alternative takes a run of four digits each, so the
+    matches stay on unit borders, and a text of one alphabet is few matches."""
+    kept = F.regexp_replace(F.hex(data), f"((?:{unit})++)|(?:(?!{unit})[0-9A-F]{{4}})++", "$1")
     return F.length(kept) / 4
 
 
@@ -70,6 +71,12 @@ def _utf_16(digits: Column) -> Column:
     return F.concat(F.decode(F.unhex(sound), "UTF-16BE"), F.when(F.length(digits) % 4 == 0, "").otherwise("\ufffd"))
 
 
+def _well_formed(data: Column, digits: Column, little: bool) -> Column:
+    """The text of two-byte units: decoded as it is if nothing in it is broken, else mended first."""
+    sound = (F.length(digits) % 4 == 0) & digits.rlike(UTF_16_LE if little else UTF_16)
+    return F.when(sound, F.decode(data, "UTF-16LE" if little else "UTF-16BE")).otherwise(_utf_16(_turned(digits, 2) if little else digits))
+
+
 def text_in(data, name) -> Column:
     """The text of ``data`` in the character set ``name``, without its byte order mark; broken stretches become U+FFFD."""
     data, name = (F.col(c) if isinstance(c, str) else c for c in (data, name))
@@ -77,7 +84,7 @@ def text_in(data, name) -> Column:
     # Latin-1 turns every byte into the character of the same number
     single = F.translate(F.decode(data, "ISO-8859-1"), "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
     text = (F.when(name == "windows-1252", single)
-            .when(name == "UTF-16BE", _utf_16(digits)).when(name == "UTF-16LE", _utf_16(_turned(digits, 2)))
+            .when(name == "UTF-16BE", _well_formed(data, digits, False)).when(name == "UTF-16LE", _well_formed(data, digits, True))
             .when(name.isin("UTF-32BE", "UTF-32LE"), F.decode(data, "UTF-32"))  # goes by its mark
             .otherwise(F.make_valid_utf8(data.cast("string"))))
     return F.regexp_replace(text, "\\A\\x{feff}", "")

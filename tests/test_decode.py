@@ -63,3 +63,26 @@ def test_archives_detect(spark, tmp_path):
     assert {r.content for r in archives.read_template(spark, str(tmp_path), charset="detect").collect()} == {TEXT}
     with pytest.raises(ValueError):
         archives.read_archives(spark, str(tmp_path), charset="latin")
+
+
+def test_long_and_broken_units(spark):
+    """Runs of units of any length, surrogates whole and lone, single last bytes, in both orders, against Python's decoder."""
+    long = "grüße " * 200_000
+    texts = [long, "a\U0001f600b", "語" * 50 + "x" * 200, "\U0001f600" * 2000]
+    rows = [(f"{n}-{e}", t.encode(e), e.upper()) for n, t in enumerate(texts) for e in ("utf-16le", "utf-16be")]
+    rows += [(f"odd-{e}", "abcdef".encode(e) + b"\x41", e.upper()) for e in ("utf-16le", "utf-16be")]
+    want = {k: d[:len(d) // 2 * 2].decode(e) + "�" * (len(d) % 2) for k, d, e in rows}
+    for e in ("utf-16le", "utf-16be"):
+        lone = "ab".encode(e) + "\ud83d".encode(e, "surrogatepass") + "cd".encode(e)
+        rows.append((f"lone-{e}", lone, e.upper()))
+        want[f"lone-{e}"] = "ab�cd"
+    df = spark.createDataFrame(rows, "k string, data binary, name string")
+    got = {r.k: r.t for r in df.select("k", decode.text_in("data", "name").alias("t")).collect()}
+    assert got == want
+    told = {r.k: r.c for r in df.select("k", decode.charset("data").alias("c")).where("k in ('0-utf-16le', '0-utf-16be', '2-utf-16le')").collect()}
+    assert told == {"0-utf-16le": "UTF-16LE", "0-utf-16be": "UTF-16BE", "2-utf-16le": "UTF-16LE"}
+
+
+def test_well_formed_units_are_not_turned(spark):
+    told = str(decode.text_in("data", "name"))
+    assert "decode(data, 'UTF-16LE')" in told and "decode(data, 'UTF-16BE')" in told
