@@ -230,24 +230,26 @@ def _expanded(found: DataFrame, failfast: bool, keep_data: bool) -> DataFrame:
     return found.select(*cols).mapInArrow(run, "file string, raw_path string, data binary, entry_ordinal int, error string")
 
 
-def _found(rows: DataFrame, base: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
-    """``wanted`` entries with ``raw``, their bytes behind the signature, in parts between which the signature stands."""
-    few = wanted.count() <= params.broadcast_rows and base.count() <= params.broadcast_rows
-    near = F.broadcast if few else lambda df: df
-    at = placed(rows).join(near(base), ["file", "block"]).select("file", (F.col("base") + F.col("rel") - len(LOCAL)).alias("at"), "data", "extra")
-    need = F.col("length") + F.col("extra") + HEADER - len(LOCAL)
-    heads = at.join(near(wanted), ["file", "at"])
-    enough = F.coalesce(F.octet_length("data") >= need, F.lit(False))
+def _found(rows: DataFrame, base: DataFrame, starts: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
+    """``wanted`` entries with ``raw``, their bytes behind the signature, in parts between which the signature stands.  Which rows
+    an entry has is told by narrow rows first; bytes are shuffled once, to those, and once more where an entry has several rows."""
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= params.broadcast_rows else df
+
     keys = ["file", "at", "raw_path", "entry_ordinal", "length", "method", "crc", "flags"]
-    whole = heads.where(enough).select(*keys, F.array("data").alias("raw"))
-    # the signature stands in the entry itself: all rows in its range, found by stretches of the archive
+    at = placed(rows).join(near(base), ["file", "block"]).withColumn("at", F.col("base") + F.col("rel") - len(LOCAL))
+    need = F.col("length") + F.col("extra") + HEADER - len(LOCAL)
     end = F.col("at") + F.col("length") + F.coalesce("extra", F.lit(2 * 65535)) + HEADER
-    cut, _ = materialise(heads.where(~enough).select(*keys, end.alias("end")), "zip_cut")
-    spans = cut.withColumn("range", F.explode(F.sequence(F.expr(f"at div {RANGE}"), F.expr(f"(end - 1) div {RANGE}"))))
-    spans = F.broadcast(spans) if cut.count() <= params.broadcast_rows else spans
-    parts = at.where("at >= 0").select("file", F.col("at").alias("from"), "data", F.expr(f"at div {RANGE}").alias("range"))
-    parts = parts.join(spans, ["file", "range"]).where("from >= at AND from < end")
-    joined = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("from", "data"))).alias("p"))
+    heads = at.select("file", "at", "extra", F.octet_length("data").alias("held")).join(near(wanted), ["file", "at"])
+    heads, _ = materialise(heads.select(*keys, F.coalesce(F.col("held") >= need, F.lit(False)).alias("whole"), end.alias("end")), "zip_heads")
+    at = at.where("at >= 0").select("file", F.col("at").alias("from"), "data")
+    whole = at.join(near(heads.where("whole").select(F.col("at").alias("from"), *keys)), ["file", "from"]).select(*keys, F.array("data").alias("raw"))
+    # the signature stands in the entry itself: all rows in its range, found by stretches of the archive
+    spans = heads.where(~F.col("whole")).withColumn("range", F.explode(F.sequence(F.expr(f"at div {RANGE}"), F.expr(f"(end - 1) div {RANGE}"))))
+    inner = starts.where("at >= 0").select("file", F.col("at").alias("from"), F.expr(f"at div {RANGE}").alias("range"))
+    inner, _ = materialise(inner.join(near(spans), ["file", "range"]).where("from >= at AND from < end").select("from", *keys), "zip_parts")
+    joined = at.join(near(inner), ["file", "from"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("from", "data"))).alias("p"))
     return whole.unionByName(joined.select(*keys, F.transform("p", lambda x: x["data"]).alias("raw")))
 
 
@@ -263,7 +265,7 @@ def expand(spark: SparkSession, path, params: Params = Params(), mode: str = "FA
     # an entry that is not where the directory says leaves its archive to the whole reader
     lost = known.where("entry_ordinal >= 0").join(starts, ["file", "at"], "left_anti").select("file").distinct()
     known, _ = materialise(known.join(lost, "file", "left_anti"), "zip_readable")
-    found = _found(rows, base, known.where("entry_ordinal >= 0"), params)
+    found = _found(rows, base, starts, known.where("entry_ordinal >= 0"), params)
     bad = None
     if mode == "PERMISSIVE":  # reads every archive through once
         wrong = _expanded(found, False, False).where("error IS NOT NULL")
