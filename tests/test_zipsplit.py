@@ -1,5 +1,6 @@
 """The split archive source against the whole-file source and the standard library."""
 
+import re
 import io
 import random
 import warnings
@@ -108,3 +109,20 @@ def test_read_archives_by_ranges(spark, folder):
     assert sorted(map(tuple, a.files.collect())) == sorted(map(tuple, b.files.collect())) and a.roster.collect() == b.roster.collect()
     t, u = (archives.read_template(spark, str(folder), split=s) for s in (False, True))
     assert sorted(map(tuple, t.collect())) == sorted(map(tuple, u.collect()))
+
+
+def test_bytes_do_not_follow_their_block(spark, tmp_path):
+    """The starts of blocks are few however many entries are wanted, so they come to the rows."""
+    import contextlib
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as zf:
+        for i in range(9):
+            zf.writestr(f"d/f{i}.py", f"x = {i}\n" * 50 + ("PK\x03\x04" if i % 3 == 0 else ""), zipfile.ZIP_STORED)
+    df, out = zipsplit.expand(spark, str(tmp_path), Params(broadcast_rows=2)), io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    assert "Exchange" in out.getvalue() and not re.search(r"hashpartitioning\(file#\d+, block#\d+", out.getvalue())
+    got = {r.raw_path: bytes(r.data) for r in df.collect()}
+    assert got == {f"d/f{i}.py": (f"x = {i}\n" * 50 + ("PK\x03\x04" if i % 3 == 0 else "")).encode() for i in range(9)}
