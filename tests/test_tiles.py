@@ -87,3 +87,46 @@ def test_blocks_follow_the_keys(corpus, monkeypatch):
     least = tiles.number_of_blocks(reps)
     monkeypatch.setattr(tiles, "KEYS_EACH", 1)
     assert tiles.number_of_blocks(reps) > least >= 1 and tiles.number_of_blocks(reps.limit(0)) == least
+
+
+def test_only_classes_that_can_meet_are_dealt(spark, monkeypatch):
+    """Sizes from 8 to 512, half of them with too few shared keys for 0.5: those stay away, and the others meet only blocks of like sizes."""
+    rng, sets = random.Random(8), []
+    for size in (8, 16, 32, 64, 128, 256, 512):
+        base = [rng.getrandbits(62) for _ in range(size)]
+        sets += [base, base[:-1] + [rng.getrandbits(62)], [7, *(rng.getrandbits(62) for _ in range(size - 1))], [7, *(rng.getrandbits(62) for _ in range(size - 1))]]
+    reps = spark.createDataFrame([(rng.randrange(2**60), c, len(k), 1, k) for c, k in enumerate(sets)], "cls_hi long, cls_lo long, n long, members long, keys array<bigint>").localCheckpoint()
+    seats = reps.select(F.col("cls_lo").alias("submission_id"), F.lit("p").alias("path"), F.lit("py").alias("ext"), *S.CLS, F.col("n").alias("n_shingles"), "members")
+    shared = S.shared_sets(reps).localCheckpoint()
+    dealt = tiles.dealt_rows(shared, seats, 2000, 0.5, 6).select("cls_lo", "n", "b", "i", "j").collect()
+    assert {r.cls_lo for r in dealt} == {c for c in range(len(sets)) if c % 4 < 2}
+    assert len(dealt) < 14 * 6 * 3 / 4 and {(r.cls_lo, r.b) for r in dealt if r.i == r.j} == {(r.cls_lo, r.b) for r in dealt}
+    assert tiles.dealt_rows(shared, seats, 2000, 0.0, 6).count() == 28 * 6
+    found = {(r.id_a, r.id_b) for r in tiles.file_pairs(shared, seats, 2000, 0.5, blocks=6).select("id_a", "id_b").collect()}
+    assert found == {(c, c + 1) for c in range(0, len(sets), 4)}
+    monkeypatch.setattr(tiles, "KEYS_EACH", 1)
+    assert tiles.number_of_blocks(shared, 0.5) < tiles.number_of_blocks(shared)
+
+
+def test_equal_sizes_are_spread_over_blocks(spark):
+    """One size only: every bound is that size, and its classes still lie in several blocks."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(62) for _ in range(20)]
+    rows = [(rng.randrange(2**60), c, 20, 1, base[:-1] + [c]) for c in range(30)]
+    reps = spark.createDataFrame(rows, "cls_hi long, cls_lo long, n long, members long, keys array<bigint>").localCheckpoint()
+    seats = reps.select(F.col("cls_lo").alias("submission_id"), F.lit("p").alias("path"), F.lit("py").alias("ext"), *S.CLS, F.col("n").alias("n_shingles"), "members")
+    shared = S.shared_sets(reps)
+    assert tiles.dealt_rows(shared, seats, 2000, 0.7, 4).select("b").distinct().count() == 4
+    assert tiles.file_pairs(shared, seats, 2000, 0.7, blocks=4).select("id_a", "id_b").distinct().count() == 30 * 29 // 2
+
+
+def test_keys_are_not_written_by_class(spark):
+    """All keys are read once for the shared ones, so no table of them is written."""
+    from codesim.plans import analyze
+
+    text = "\n".join(f"x{i} = {i}" for i in range(40)) + "\n"
+    rows = [(s, f"s{s}", f"s{s}/a{p}.py", text + f"y = {s * p}\n") for s in range(3) for p in range(3)]
+    a = analyze.analyze(spark.createDataFrame(rows, "submission_id long, submission string, raw_path string, content string"), overall_thresh=0.1)
+    assert a.pairs.count() == 3 and a.flagged_files.count() > 0
+    assert not [w for w in a.written if "/class_sets-" in w]
+    a.cleanup()
