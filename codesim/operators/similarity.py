@@ -15,6 +15,10 @@ with very many copies, a very common path) into blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ def with_keys(classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """``classes`` plus their keys.  ``keyed`` has the key array of every scanned file; ``first`` is partially
     aggregated, so one array per class and map task crosses the shuffle,
     however many copies the class has."""
-    arrays = keyed.where(F.col("keys").isNotNull()).groupBy(*CLS).agg(F.first("keys").alias("keys"))
+    arrays = keyed.groupBy(*CLS).agg(F.first("keys", ignorenulls=True).alias("keys"))
     return classes.join(arrays, CLS)
 
 
@@ -74,6 +78,63 @@ def shared_sets(reps: DataFrame, parts: int = 0) -> DataFrame:
     return sh.groupBy(*CLS).agg(F.first("n").alias("n"), F.first("members").alias("members"), keys.alias("keys"))
 
 
+def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
+
+
+def _flat(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a column of lists and the row of each."""
+    size = np.nan_to_num(keys.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return keys.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(keys), dtype=np.int32), size)
+
+
+def dealt_keys(keyed: DataFrame, parts: int) -> DataFrame:
+    """(p, cls_hi, cls_lo, keys): the numeric keys of each row of ``keyed``, one row for each remainder p by ``parts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                flat, row = _flat(part.column(2))
+                group = row * np.int64(parts) + flat % parts
+                order = np.argsort(group, kind="stable")
+                own, count = np.unique(group, return_counts=True)
+                rows = pa.array(own // parts)
+                yield pa.RecordBatch.from_arrays([pa.array((own % parts).astype(np.int32)), part.column(0).take(rows), part.column(1).take(rows), _lists(flat[order], count)],
+                                                 ["p", *CLS, "keys"])
+
+    # rows without keys give none; a filter on keys that are computed here would compute them, and the tokens for each, again
+    return keyed.select(*CLS, "keys").mapInArrow(run, "p int, cls_hi long, cls_lo long, keys array<long>")
+
+
+def shared_keys(classes: DataFrame, keyed: DataFrame, parts: int) -> DataFrame:
+    """``shared_sets`` of ``classes`` (cls_hi, cls_lo, n, members) and their numeric keys in ``keyed`` (cls_hi, cls_lo, keys; a class may come
+    twice).  Keys are shuffled once, as arrays: those of a class with the same remainder by ``parts`` are a row, and each remainder is a
+    group that counts its keys."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        flat, row = _flat(t["keys"].combine_chunks())
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(start, len(ordered)))
+        df = np.repeat(np.where(count > 1, count, 0), count)
+        at, df = order[df > 1], df[df > 1]
+        by_row = np.argsort(at, kind="stable")
+        at, df = at[by_row], df[by_row]
+        own, size = np.unique(row[at], return_counts=True)
+        rows = pa.array(own)
+        yield pa.RecordBatch.from_arrays([*(t[c].take(rows).combine_chunks() for c in CLS), _lists(df.astype(np.int32), size), _lists(flat[at], size)], [*CLS, "df", "h"])
+
+    # hashing is uneven over few groups
+    dealt = dealt_keys(keyed, parts).repartition(2 * parts, "p").groupBy("p")
+    found = dealt.applyInArrow(run, "cls_hi long, cls_lo long, df array<int>, h array<long>")
+    both = F.flatten(F.transform(F.collect_list(F.struct("df", "h")), lambda x: F.arrays_zip(x["df"].alias("df"), x["h"].alias("h"))))
+    keys = F.array_distinct(F.transform(F.sort_array(both, asc=False), lambda x: x["h"]))
+    return classes.join(found.groupBy(*CLS).agg(keys.alias("keys")), CLS).select(*CLS, "n", "members", "keys")
+
+
 def across_class_counts(reps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Class pairs that share a shingle, with their members and ``inter``."""
     pairs = self_pairs(class_shingles(reps), ["h"], CLS, ["members"], limit, rank=class_rank())

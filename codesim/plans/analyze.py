@@ -1,8 +1,9 @@
 """The whole analysis as one DataFrame plan per result table.
 
-Contents are read once: the scan stage normalises, hashes, counts, tokenises and
-shingles them and keeps narrow facts; contents and normalised text never enter a
-shuffle.  With ``persist=True`` (the default) the tables that several results share
+The scan stage normalises, hashes, counts, tokenises and shingles the contents and
+keeps narrow facts; contents and normalised text never enter a shuffle.  Shingle keys are
+as large as the contents, so they are not written: where they are needed, one file of each
+content class is read and shingled again (``keyed``).  With ``persist=True`` (the default) the tables that several results share
 are written once to the shared checkpoint folder and read back, which cuts lineage;
 ``cleanup()`` deletes them.  The session's settings are left alone.
 """
@@ -22,6 +23,8 @@ from ..session import delete, materialise
 
 #: Shingles that one task groups; their number follows the input, a task's memory does not.
 SHINGLES_EACH = 2_000_000
+#: The same for keys alone, as numbers; class names up to which their list is broadcast, 8 bytes each.
+KEYS_EACH, NAMES_MOST = 8_000_000, 1_000_000
 #: Similarities at which the search for the best file pairs of each submission pair stops, if it has enough of them by then.
 LEVELS = (0.5, 0.1)
 SLACK = 1e-9
@@ -65,6 +68,15 @@ class Analysis:
         """Admitted files with their contents (lazy)."""
         return corpus.admitted(self.files, self.params)
 
+    @cached_property
+    def as_read(self) -> DataFrame:
+        """``contents`` where they are read, for what takes few of them."""
+        return corpus.admitted(self.files, self.params.with_(scan_partitions=0))
+
+    def _dealt(self, files: DataFrame) -> DataFrame:
+        n = self.params.scan_partitions
+        return files.repartition(n) if n else files
+
     @cached_property
     def template_hashes(self) -> DataFrame:
         return template.template_hashes(self.template, self.params, self.spark)
@@ -95,11 +107,15 @@ class Analysis:
 
     @cached_property
     def scanned(self) -> DataFrame:
-        """What one pass over the contents gives: hashes, counts, content class, shingle keys and watch-term counts."""
-        enough = F.col("n_newlines") >= self.params.min_lines
-        f = fingerprint.with_fingerprints(self.normalized, self.params, on=enough)
-        f = report.with_term_counts(f, self.params, on=enough)
-        return self._keep(f.drop("content", "norm"), "scanned")
+        """What one pass over the contents gives: hashes, counts, content class and watch-term counts; shingle keys only where nothing is written."""
+        f = report.with_term_counts(self._fingerprinted(self.normalized), self.params, on=self._enough())
+        return self._keep(f.drop("content", "norm", *(["keys"] if self.persist else [])), "scanned")
+
+    def _enough(self) -> F.Column:
+        return F.col("n_newlines") >= self.params.min_lines
+
+    def _fingerprinted(self, files: DataFrame) -> DataFrame:
+        return fingerprint.with_fingerprints(files, self.params, on=self._enough())
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -121,33 +137,53 @@ class Analysis:
     @cached_property
     def sets(self) -> DataFrame:
         """Files that take part in comparisons (opt-in token minimum), without their keys."""
+        return self._compared().select("submission_id", "path", "ext", "cls_hi", "cls_lo", "n_shingles")
+
+    def _compared(self) -> DataFrame:
         f = self.kept
-        if self.params.min_tokens > 0:
-            f = f.where(F.col("n_tokens") >= self.params.min_tokens)
-        return f.select("submission_id", "path", "ext", "cls_hi", "cls_lo", "n_shingles")
+        return f.where(F.col("n_tokens") >= self.params.min_tokens) if self.params.min_tokens > 0 else f
 
     @cached_property
     def classes(self) -> DataFrame:
         """One row per content class with its number of shingles and of files; no shingle keys."""
         return self._keep(similarity.content_classes(self.sets), "classes")
 
+    @cached_property
+    def keyed(self) -> DataFrame:
+        """(cls_hi, cls_lo, keys) of a file of each of ``classes``, of more if names repeat, and of every file where nothing is written (lazy)."""
+        if not self.persist:
+            return self.scanned.select("cls_hi", "cls_lo", "keys")
+        name = F.xxhash64("submission_id", "raw_path")
+        names = self._keep(self._compared().groupBy("cls_hi", "cls_lo").agg(F.min(name).alias("_name")).select("_name").distinct(), "class_names")
+        if names.count() <= NAMES_MOST:
+            names = F.broadcast(names)
+        if self.params.compat_strip:
+            files = self.normalized.withColumn("_name", name).join(names, "_name", "left_semi")
+        else:
+            files = self._dealt(self.as_read.withColumn("_name", name).join(names, "_name", "left_semi"))
+            files = template.normalized(files.withColumn("ext", T.extension("raw_path")))
+        return self._fingerprinted(files).select("cls_hi", "cls_lo", "keys")
+
     @cached_property
     def reps(self) -> DataFrame:
         """``classes`` with their shingle keys, for what reads all keys more than once."""
-        return self._keep(similarity.with_keys(self.classes, self.scanned), "class_sets")
+        return self._keep(similarity.with_keys(self.classes, self.keyed), "class_sets")
 
     @cached_property
     def shingle_parts(self) -> int:
         """Partitions that hold about ``SHINGLES_EACH`` shingles of all classes each; 0 where nothing is written and counting would run the scan."""
-        if not self.persist:
-            return 0
-        return -(-(self.classes.agg(F.sum("n")).first()[0] or 0) // SHINGLES_EACH) + self.spark.sparkContext.defaultParallelism
+        return self._parts(SHINGLES_EACH) if self.persist else 0
+
+    def _parts(self, each: int) -> int:
+        return -(-(self.classes.agg(F.sum("n")).first()[0] or 0) // each) + self.spark.sparkContext.defaultParallelism
 
     @cached_property
     def shared(self) -> DataFrame:
         """The class sets without the shingles that stand in one class only.  All keys are read this once, so they are not written by class."""
-        reps = self.reps if "reps" in self.__dict__ else similarity.with_keys(self.classes, self.scanned)
-        return self._keep(similarity.shared_sets(reps, self.shingle_parts), "shared_sets")
+        keyed = self.reps.select("cls_hi", "cls_lo", "keys") if "reps" in self.__dict__ else self.keyed
+        if self.persist and not self.params.exact_keys:
+            return self._keep(similarity.shared_keys(self.classes, keyed, self._parts(KEYS_EACH)), "shared_sets")
+        return self._keep(similarity.shared_sets(similarity.with_keys(self.classes, keyed), self.shingle_parts), "shared_sets")
 
     def blocks(self, tau: float = 0.0) -> int:
         """Blocks of the classes that meet in tiles, if they can reach ``tau``; 0 where nothing is written and counting would run the scan."""
@@ -322,7 +358,7 @@ class Analysis:
     @cached_property
     def flagged_contents(self) -> DataFrame:
         """(submission_id, path, content) of the flagged files, each once."""
-        return self.files_of(self.flagged_paths(), self.contents, "content")
+        return self.files_of(self.flagged_paths(), self.as_read, "content")
 
     @cached_property
     def line_diff(self) -> DataFrame:
@@ -341,7 +377,8 @@ class Analysis:
     @cached_property
     def minhash_estimates(self) -> DataFrame:
         """Flagged file pairs with the Jaccard estimate of their 128-function MinHash signatures."""
-        files = self.files_of(self.flagged_paths(), self.normalized, "ext", "norm")
+        files = self._dealt(self.files_of(self.flagged_paths(), self.as_read, "content"))
+        files = template.normalized(files.withColumn("ext", T.extension("path" if self.params.compat_strip else "raw_path")))
         sig = fingerprint.minhash_signatures(files, self.params)
         a = sig.select(F.col("submission_id").alias("id_a"), F.col("path").alias("path_a"), F.col("sig").alias("sig_a"))
         b = sig.select(F.col("submission_id").alias("id_b"), F.col("path").alias("path_b"), F.col("sig").alias("sig_b"))

@@ -32,8 +32,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _analysis(spark: SparkSession, sf: str, params: Params = FIXTURE, n_submissions: int = fixture.N_SUBMISSIONS) -> Analysis:
-    # the documents file is a single row group, which the reader can't split: deal it out
-    params = params.with_(scan_partitions=spark.sparkContext.defaultParallelism)
+    params = params.with_(scan_partitions=fixture.to_deal(spark, sf))
     return Analysis(fixture.submission_files(spark, sf, n_submissions=n_submissions),
                     fixture.template_files(spark, sf, n_submissions=n_submissions), params)
 
@@ -197,7 +196,7 @@ def _cross(counts: DataFrame) -> DataFrame:
 
 def counts_by_index(spark, sf):
     """Shared-shingle counts of all file pairs: submissions 2 to 14 stand in a stored index, 15 to 19 are joined with it and added."""
-    params = FIXTURE.with_(scan_partitions=spark.sparkContext.defaultParallelism)
+    params = FIXTURE.with_(scan_partitions=fixture.to_deal(spark, sf))
     files, template_ = fixture.submission_files(spark, sf), fixture.template_files(spark, sf)
     old, new = (Analysis(files.where(c), template_, params) for c in ("submission_id < 15", "submission_id >= 15"))
     at = index.build(spark, f"{checkpoint_root(spark).rstrip('/')}/index-{uuid.uuid4().hex}", old.sets, old.reps, buckets=16, limit=params.block_rows)

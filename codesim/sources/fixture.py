@@ -33,6 +33,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def to_deal(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions to deal the documents out to: 0 where no task reads more than twice a core's share of them, as that shuffles all texts.  A file
+    that is a single row group can't be split by the reader and is dealt out."""
+    cores = spark.sparkContext.defaultParallelism
+    read = documents(spark, sf_dir).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = read.agg(F.max("n"), F.sum("n")).first()
+    return cores if (most or 0) * cores > 2 * (rows or 0) else 0
+
+
 def code_files(spark: SparkSession, sf_dir: str, with_revisions: bool = False, n_submissions: int = N_SUBMISSIONS) -> DataFrame:
     """``n_submissions`` other than 20 (a multiple of it) gives smaller submissions, the template still being the first two."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
