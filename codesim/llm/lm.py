@@ -342,6 +342,15 @@ def _whole(table: pa.Table) -> pa.Array:
     return texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
 
 
+def _answers(segment: LogFrequencyFilter, asked: list[bytes]) -> pa.Array:
+    """The levels of the hashes of each row.  Rows are as many as chunks and short, as a chunk's hashes are spread over all segments: they
+    are probed at once, and what several chunks ask once."""
+    low, place = np.unique(_low(b"".join(asked)), return_inverse=True)
+    level = segment.levels(low).astype(np.uint8)[place].tobytes()
+    ends = np.cumsum([len(h) // 6 for h in asked]).tolist()
+    return pa.array([level[i:j] for i, j in zip([0, *ends], ends)], pa.binary())
+
+
 def segment_levels(pieces: DataFrame, grams: DataFrame, segments: int, base: float) -> DataFrame:
     """(chunk, seg, words, pairs): levels of the distinct words and pairs of each chunk that lie in the segment, in the order of ``_asked``."""
 
@@ -360,7 +369,7 @@ def segment_levels(pieces: DataFrame, grams: DataFrame, segments: int, base: flo
     def answer(key, asked, made):
         data = [(0, d.as_py()) for d in made.column("data")]
         one = LogFrequencyFilter(data, 1, sum(len(d) for _, d in data))
-        out = [pa.array([one.levels(_low(h.as_py())).astype(np.uint8).tobytes() for h in asked.column(c)], pa.binary()) for c in ("words", "pairs")]
+        out = [_answers(one, asked.column(c).to_pylist()) for c in ("words", "pairs")]
         return pa.table([asked.column("chunk"), asked.column("seg"), *out], names=["chunk", "seg", "words", "pairs"])
 
     schema = "chunk long, seg long, words binary, pairs binary"

@@ -158,3 +158,17 @@ def test_pairs_seen_once_count_at_every_size(docs_of, spark, tmp_path):
     assert by[out[0]] > by[out[1]]
     whole, parts = (sorted(map(key, lm.scores(docs_of(rows), per_segment=500, max_bytes=m).collect())) for m in (128 << 20, 0))
     assert len(whole) == len(rows) and whole == parts
+
+
+def test_a_segment_is_probed_at_once(monkeypatch):
+    """As many rows as chunks ask a segment: it is probed once, not row by row, and each row gets its own levels."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**48, 3000, np.uint64)
+    batch = lm._parcels(h, rng.integers(1, 90, 3000), 2, 1).to_pydict()
+    one = lm.LogFrequencyFilter([(0, lm._segment(batch["kind"], batch["hashes"], batch["counts"], 1.5))], 1, 1 << 20)
+    rows = [rng.choice(np.append(h, rng.integers(0, 2**48, 50, np.uint64)), n) for n in (0, 7, 1, 0, 900, *[3] * 400)]
+    want, calls, real = [one.levels(x).tolist() for x in rows], [], lm.LogFrequencyFilter.levels
+    monkeypatch.setattr(lm.LogFrequencyFilter, "levels", lambda self, *a: calls.append(1) or real(self, *a))
+    got = lm._answers(one, [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in rows])
+    assert [list(b) for b in got.to_pylist()] == want and len(calls) == 1
+    assert lm._answers(one, []).to_pylist() == [] and lm._answers(one, [b""]).to_pylist() == [b""]
