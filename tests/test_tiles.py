@@ -2,9 +2,11 @@
 
 import contextlib
 import io
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,45 @@ def test_keys_are_not_written_by_class(spark):
     assert a.pairs.count() == 3 and a.flagged_files.count() > 0
     assert not [w for w in a.written if "/class_sets-" in w]
     a.cleanup()
+
+
+def test_a_class_is_written_once_however_many_blocks(corpus, monkeypatch):
+    """The tiles read the blocks from a table: nothing is shuffled for them, and a class stands in one block only."""
+    reps, sets = corpus
+    shared, seats = S.shared_sets(reps).localCheckpoint(), S.class_seats(sets, reps)
+    tables = []
+
+    def keep(df, name, rows_each):
+        tables.append((name, rows_each, df.localCheckpoint()))
+        return tables[-1][2]
+
+    want = _rows(S.shared_shingle_counts(reps, sets))
+    pairs = tiles.file_pairs(shared, seats, 2000, blocks=5, keep=keep)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        pairs.explain()
+    assert "CartesianProduct" in out.getvalue() and "Exchange" not in out.getvalue()
+    (name, rows_each, table), = tables
+    blocks = [tiles._opened(pa.scalar(bytes(r.data), pa.binary()), 0.0) for r in table.collect()]
+    classes = [c for t in blocks for c in zip(t["cls_hi"].to_pylist(), t["cls_lo"].to_pylist())]
+    assert (name, rows_each) == ("tile_blocks", 1) and 2 < len(blocks) <= 5 and len(classes) == len(set(classes)) == shared.count()
+    assert _rows(pairs.unionByName(S.within_class_pairs(seats))) == want
+    # a table serves higher similarities too, in small slices of work as in large ones
+    monkeypatch.setattr(tiles, "AT_ONCE", 50)
+    for tau in (0.05, 0.6):
+        again = tiles.file_pairs(shared, seats, 2000, tau, table=table)
+        assert _rows(again) == _rows(tiles.file_pairs(shared, seats, 2000, tau, blocks=3))
+    assert len(tables) == 1
+
+
+def test_an_analysis_writes_its_blocks_once_and_deletes_them(spark):
+    from codesim.plans import analyze
+
+    text = "\n".join(f"x{i} = {i}" for i in range(40)) + "\n"
+    rows = [(s, f"s{s}", f"s{s}/a{p}.py", text + f"y = {s * p}\n") for s in range(3) for p in range(3)]
+    a = analyze.analyze(spark.createDataFrame(rows, "submission_id long, submission string, raw_path string, content string"), overall_thresh=0.1, prune=True)
+    assert a.counts.count() == 27 and a.counts_at_least(0.7).count() == 27 and a.pairs.count() == 3
+    written = [w for w in a.written if "/tile_blocks-" in w]
+    assert len(written) == 1
+    a.cleanup()
+    assert not any(os.path.exists(w.removeprefix("file:")) for w in written)
