@@ -2,7 +2,8 @@
 
 Three bucketed tables under one folder hold what the shingle join needs of the old side: ``shingles`` (h, t, class), bucketed by
 (h, t); ``members`` (class, t, submission_id, path, ext, n_shingles), bucketed by (class, t); ``classes``, bucketed by class.  A query shuffles the
-new submissions' rows to those buckets; the old side is joined where it lies, without an exchange.
+new submissions' rows to those buckets; the old side is joined where it lies, without an exchange.  What it keeps there, the
+keys that new files have and the files of their classes, meets the new classes in tiles (``tiles``), so that no pair is shuffled.
 
 t splits hot keys: a shingle of m classes (a class of m members) when the index is built has ceil(m / ``limit``)
 blocks, rows go to one by hash, and the query's row goes to each.  The counts of blocks over one stand in two small
@@ -16,15 +17,20 @@ only holds the tables' names.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from . import tiles
 from .blocks import LIMIT
-from .similarity import CLS, class_shingles, shared_shingle_counts
+from .similarity import CLS, class_rank, class_seats, class_shingles, shared_keys, shared_sets, shared_shingle_counts
 
 COUNTS = ["id_a", "path_a", "id_b", "path_b", "inter", "ext", "n_a", "n_b"]
+#: Keys of the new submissions that one task groups.
+KEYS_EACH = 8_000_000
 #: table: bucketed by
 TABLES = {"shingles": ["h", "t"], "members": [*CLS, "t"], "classes": CLS}
 
@@ -85,7 +91,7 @@ class Index:
         }
         for table, rows in tables.items():
             keys = TABLES[table]
-            (rows.withColumn("addition", F.lit(addition)).repartition(self.buckets, *keys).write.mode("append").format("parquet")
+            (rows.repartition(self.buckets, *keys).withColumn("addition", F.lit(addition)).write.mode("append").format("parquet")
              .bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{table}").saveAsTable(self._name(table)))
         self.spark.createDataFrame([(addition, label)], "addition string, label string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
@@ -93,21 +99,33 @@ class Index:
         return not self.spark.catalog.tableExists(self._name("classes")) and not _exists(self.spark, f"{self.path}/manifest")
 
     # -- reading ------------------------------------------------------------
-    def counts_with_old(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
-        """Shared-shingle counts (``similarity.shared_shingle_counts``) of every pair of a new and an old file of different submissions."""
-        new = self._everywhere(class_shingles(reps).select("h", F.col("cls_hi").alias("new_hi"), F.col("cls_lo").alias("new_lo")), "shingles")
-        pairs = new.join(self._table("shingles"), ["h", "t"]).groupBy("new_hi", "new_lo", *CLS).agg(F.count(F.lit(1)).alias("inter"))
-        mine = sets.select(F.col("cls_hi").alias("new_hi"), F.col("cls_lo").alias("new_lo"), F.col("submission_id").alias("id_x"), F.col("path").alias("path_x"), F.col("n_shingles").alias("n_x"))
-        old = self._table("members").select(*CLS, "t", F.col("submission_id").alias("id_y"), F.col("path").alias("path_y"), "ext", F.col("n_shingles").alias("n_y"))
-        j = self._everywhere(pairs, "members").join(old, [*CLS, "t"]).join(mine, ["new_hi", "new_lo"]).where("id_x <> id_y")
-        first = F.col("id_x") < F.col("id_y")
-        side = lambda c, a, b, name: F.when(first, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}")).alias(name)
-        out = j.select(*[side(c, "x", "y", f"{c}_a") for c in ("id", "path", "n")], *[side(c, "y", "x", f"{c}_b") for c in ("id", "path", "n")], F.col("inter").cast("long").alias("inter"), "ext")
-        return out.select(*COUNTS)
-
-    def counts_added(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    def counts_with_old(self, sets: DataFrame, reps: DataFrame, keep: Callable[..., DataFrame] | None = None) -> DataFrame:
+        """Shared-shingle counts (``similarity.shared_shingle_counts``) of every pair of a new and an old file of different submissions.
+        Old classes keep the keys that a new file has and meet the new ones in tiles, so no pair is shuffled; ``keep`` writes the new ones' blocks."""
+        new = self._everywhere(class_shingles(reps).select("h").distinct(), "shingles")
+        shingles = self._table("shingles")
+        held = shingles.join(new, ["h", "t"], "left_semi").groupBy(*CLS).agg(F.collect_list("h").alias("keys"))
+        files = F.collect_list(F.struct("submission_id", "path"))
+        old = self._table("members").groupBy(*CLS, "t").agg(files.alias("files"), F.first("ext").alias("ext"), F.max("n_shingles").cast("long").alias("n"))
+        least = tiles.number_of_blocks(reps.limit(0))
+        # all keys of the old side are the most that it can keep
+        blocks = max(least, -(-shingles.count() // tiles.KEYS_EACH))
+        rows = old.join(self._everywhere(held, "members"), [*CLS, "t"])
+        rows = rows.select(*CLS, "n", "ext", "files", "keys", F.least(F.floor(class_rank() * blocks), F.lit(blocks - 1)).cast("int").alias("b"))
+        mine = tiles.stored_blocks(reps.where(F.size("keys") > 0), class_seats(sets, reps), self.limit, 0.0, tiles.number_of_blocks(reps), keep)
+        return tiles.pairs_between(mine, tiles.packed(rows, blocks), sets).select(*COUNTS)
+
+    def counts_added(self, sets: DataFrame, reps: DataFrame, keep: Callable[..., DataFrame] | None = None) -> DataFrame:
         """What the new submissions add to the counts of the old ones: pairs with them, and pairs among themselves."""
-        return self.counts_with_old(sets, reps).unionByName(shared_shingle_counts(reps, sets, self.limit).select(*COUNTS))
+        store = keep or (lambda df, *a: materialise(df, *a)[0])
+        if dict(reps.dtypes)["keys"] == "array<bigint>":
+            parts = -(-(reps.agg(F.sum("n")).first()[0] or 0) // KEYS_EACH) + self.spark.sparkContext.defaultParallelism
+            shared = shared_keys(reps.drop("keys"), reps.select(*CLS, "keys"), parts)
+        else:
+            shared = shared_sets(reps)
+        shared = store(shared, "shared_sets")
+        among = shared_shingle_counts(reps, sets, self.limit, shared, blocks=tiles.number_of_blocks(shared), keep=keep)
+        return self.counts_with_old(sets, reps, keep).unionByName(among.select(*COUNTS))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -233,9 +233,23 @@ def dealt_rows(classes: DataFrame, seats: DataFrame, limit: int, tau: float, blo
 def stored_blocks(classes: DataFrame, seats: DataFrame, limit: int, tau: float, blocks: int, keep: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(b, low, high, data): the blocks of ``dealt_rows``, each a row of a file of its own with its least and largest n, written by ``keep``."""
     rows = dealt_rows(classes, seats, limit, tau, blocks).where(F.col("i") == F.col("j")).drop("i", "j")
+    return (keep or (lambda df, *a: materialise(df, *a)[0]))(packed(rows, blocks), "tile_blocks", 1)
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """``kind`` with elements that may be null, as which of them can't depends on where rows come from."""
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    return pa.struct([(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
+def packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` (cls_hi, cls_lo, n, ext, files, keys, b) by their block b: (b, low, high, data)."""
+    columns = sorted(c for c in rows.columns if c != "b")
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
+        t = pa.Table.from_batches(list(batches)).select(columns)
+        t = t.cast(pa.schema([(f.name, _nullable(f.type)) for f in t.schema]))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema) as out:
             out.write_table(t)
@@ -244,8 +258,7 @@ def stored_blocks(classes: DataFrame, seats: DataFrame, limit: int, tau: float,
         yield pa.RecordBatch.from_arrays(cells, ["b", "low", "high", "data"])
 
     # hashing is uneven over few blocks
-    packed = rows.repartition(2 * blocks, "b").groupBy("b").applyInArrow(pack, "b int, low long, high long, data binary")
-    return (keep or (lambda df, *a: materialise(df, *a)[0]))(packed, "tile_blocks", 1)
+    return rows.repartition(2 * blocks, "b").groupBy("b").applyInArrow(pack, "b int, low long, high long, data binary")
 
 
 def _opened(data: pa.Scalar, tau: float) -> pa.Table:
@@ -268,6 +281,16 @@ def file_pairs(classes: DataFrame, seats: DataFrame, limit: int, tau: float = 0.
     if table is None:
         table = stored_blocks(classes, seats, limit, tau, blocks or number_of_blocks(classes, tau), keep)
 
+    near = (F.col("high_i") >= tau * F.col("low_j") - EPS) & (F.col("high_j") >= tau * F.col("low_i") - EPS)
+    return _product(table, table, (F.col("i") <= F.col("j")) & near, seats, tau, most)
+
+
+def pairs_between(table: DataFrame, other: DataFrame, seats: DataFrame) -> DataFrame:
+    """The rows of ``file_pairs`` for the files of ``table`` with those of ``other``, both of blocks as ``packed``."""
+    return _product(table, other.withColumn("b", -1 - F.col("b")), F.col("i") != F.col("j"), seats)
+
+
+def _product(table: DataFrame, other: DataFrame, meet: F.Column, seats: DataFrame, tau: float = 0.0, most: float | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
@@ -278,11 +301,10 @@ def file_pairs(classes: DataFrame, seats: DataFrame, limit: int, tau: float = 0.
                 if t.num_rows:
                     yield from _expanded(_tile(t, i, j, tau, most, end), t)
 
-    def side(s: str) -> DataFrame:
-        return table.select(F.col("b").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.col("data").alias(f"data_{s}")).hint("shuffle_replicate_nl")
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select(F.col("b").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.col("data").alias(f"data_{s}")).hint("shuffle_replicate_nl")
 
-    near = (F.col("high_i") >= tau * F.col("low_j") - EPS) & (F.col("high_j") >= tau * F.col("low_i") - EPS)
-    met = side("i").join(side("j"), (F.col("i") <= F.col("j")) & near).select("i", "j", "data_i", "data_j")
+    met = side(table, "i").join(side(other, "j"), meet).select("i", "j", "data_i", "data_j")
     id_ = seats.schema["submission_id"].dataType
     out = StructType([StructField("id_a", id_), StructField("path_a", StringType()), StructField("id_b", id_), StructField("path_b", StringType()),
                       StructField("inter", LongType()), StructField("ext", StringType()), StructField("n_a", LongType()), StructField("n_b", LongType())])

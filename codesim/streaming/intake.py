@@ -34,7 +34,7 @@ def take_in(batch: DataFrame, number: int, folder: str, template: DataFrame | No
     if batch.isEmpty():
         return
     a = Analysis(batch, template, params)
-    counts = index.counts_added(a.sets, a.reps) if index else shared_shingle_counts(a.reps, a.sets, params.block_rows)
+    counts = index.counts_added(a.sets, a.reps, a._keep) if index else shared_shingle_counts(a.reps, a.sets, params.block_rows)
     counts.select(*COUNTS).write.mode("overwrite").parquet(f"{folder}/counts/{label}")
     if index:
         index.add(a.sets, a.reps, label)

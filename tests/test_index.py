@@ -74,6 +74,26 @@ def test_the_old_side_is_not_shuffled(spark, files, tmp_path, capsys):
         assert above and "Join" in above[-1] and not any("Exchange" in x for x in above), above
 
 
+def test_no_pair_is_shuffled(spark, files, tmp_path, capsys):
+    """Pairs of new and old files, and of new ones, come straight from tiles: above them there is no exchange."""
+    old, new = (Analysis(files.where(c), None, Params()) for c in ("submission_id < 6", "submission_id >= 6"))
+    at = I.build(spark, str(tmp_path / "index"), old.sets, old.reps, buckets=8)
+    written = []
+
+    def keep(df, name, rows_each=0):
+        written.append(name)
+        return new._keep(df, name, rows_each)
+
+    added = at.counts_added(new.sets, new.reps, keep)
+    assert sorted(written) == ["shared_sets", "tile_blocks", "tile_blocks"]
+    at.counts_with_old(new.sets, new.reps, keep).explain()
+    above = capsys.readouterr().out.split("CartesianProduct")
+    assert len(above) == 2 and "Exchange" not in above[0] and "Aggregate" not in above[0]
+    want = shown(Analysis(files, None, Params()).counts)
+    assert sorted(shown(added) + shown(old.counts)) == want
+    new.cleanup()
+
+
 def test_stream_replays_give_the_full_run(spark, files, tmp_path):
     inbox, folder = str(tmp_path / "inbox"), str(tmp_path / "out")
     for k in range(3):
